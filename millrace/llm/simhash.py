@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, materialize, sized
 
 #: Members of a bucket that one task compares at once; larger buckets go the way of _midpoints.
 BUCKET_ROWS = 4096
 
 
+def _majority(h):
+    """The long whose bit b is set if more than half of the 64-bit hashes have it; a long text's bits are unpacked in parts."""
+    import numpy as np
+
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     """The 64-bit SimHash, as a signed long, of the word shingles of `text` (A-Z lower-cased, null: empty).
 
@@ -29,10 +39,7 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     for w in words:
         at.append(at[-1] + len(w) + 1)
     h = np.array([xxh64_intdigest(line[a : b - 1], seed) for a, b in zip(at, at[k:])], dtype="<u8")
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(h), 1 << 16):  # a long text's bits are not unpacked all at once
-        ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+    return _majority(h)
 
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
@@ -112,7 +119,8 @@ def near_fingerprints(fps: DataFrame, radius: int = 4, bucket_rows: int = BUCKET
     """
     if not 0 <= radius <= 5:
         raise ValueError("radius must be 0 to 5")
-    d = fps.select("fp").distinct()
+    spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = fps.select("fp").distinct().repartition(spread, "fp")  # small rows that grow by 66: more tasks than their bytes ask for
     keyed = d.select("fp", F.explode(F.expr(f"concat({_ball('shiftrightunsigned(fp, 32)', 32, 0)}, {_ball('(fp & 4294967295)', 32, 1)})")).alias("key"))
     shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     hits = keyed.join(shared, "key")
@@ -144,7 +152,121 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, seed: i
     return fps.join(table, "fp").select("doc_id", "fp", "component_id")
 
 
-def simhash_dedup(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """Rows of docs whose doc_id is its component's smallest; one of several rows with that id may stay each."""
-    keep = simhash_components(docs, width, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
+#: Bits of the long fingerprint by which near copies are verified, in longs.
+LONG = 4
+#: Seeds of the short fingerprints over a text's set of words, by which they are looked up.
+LOOKUPS = 2
+
+
+def bits_apart(similarity: float) -> int:
+    """The most bits in which long fingerprints of two texts with this Jaccard similarity of shingles are expected to differ."""
+    import math
+
+    return round(64 * LONG * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def sketch(text: str | None, width: int = 5) -> list[int]:
+    """LONG longs of SimHash over word shingles, then LOOKUPS longs over the set of words; zeros for a text without words."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return [0] * (LONG + LOOKUPS)
+    line, k = b" ".join(words), min(width, len(words))
+    at = [0]
+    for w in words:
+        at.append(at[-1] + len(w) + 1)
+    sh = np.array([xxh64_intdigest(line[a : b - 1], 42) for a, b in zip(at, at[k:])], dtype=np.uint64)
+    own = np.array([xxh64_intdigest(w, 7) for w in set(words)], dtype=np.uint64)
+    mixed = lambda h, j: (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * j * 0x632BE59BD9B4E019 & (1 << 64) - 1 | 1)
+    spread = lambda h, j: mixed(mixed(h, j), j + 5)
+    return [_majority(spread(sh, j)) for j in range(LONG)] + [_majority(spread(own, j)) for j in range(LOOKUPS)]
+
+
+def _verified_buckets(limit: int):
+    """Rows (bucket, node, s0..), sorted by bucket, to a spanning forest of each bucket's links."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def links(rows):
+            x = np.array([r[2:] for r in rows], np.int64).view(np.uint64)
+            near = np.arange(len(rows))
+            for i in range(1, len(rows)):
+                hit = np.flatnonzero(np.bitwise_count(x[:i] ^ x[i]).sum(1) <= limit)
+                for label in np.unique(near[hit]):
+                    yield rows[i][1], rows[hit[near[hit] == label][0]][1]
+                    near[near == label] = i
+
+        held: list[tuple] = []
+        for b in batches:
+            found = []
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if held and held[0][0] != row[0]:
+                    found += links(held)
+                    held = []
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], ["u", "v"])
+        last = list(links(held)) if held else []
+        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in last], pa.int64()), pa.array([v for _, v in last], pa.int64())], ["u", "v"])
+
+    return run
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """docs(doc_id, text) to (doc_id, component_id): documents alike by their shingles of five words.
+
+    A fingerprint over shingles alone differs in about ten of 64 bits at a
+    similarity of 0.8, more than small Hamming balls reach. So the table is looked
+    up by fingerprints over the set of words, of which an edit changes less: those
+    within 5 bits meet in a ball of radius 1 around one of two segments (as in
+    near_fingerprints). What meets is verified by the complete distance of the long
+    fingerprint over shingles, at most bits_apart(similarity). Equal long
+    fingerprints are one node. Buckets beyond bucket_rows are compared by joins: all
+    with the smallest, then those that differ from it with all.
+    """
+    s = [f"s{j}" for j in range(LONG)]
+    w = [f"w{j}" for j in range(LOOKUPS)]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = [sketch(t) for t in b.column(1).to_pylist()]
+            cols = [pa.array([r[j] for r in rows], pa.int64()) for j in range(LONG + LOOKUPS)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", *s, *w])
+
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    all_rows = materialize(d.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in s + w)))
+    nodes = materialize(all_rows.groupBy(*s).agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in w]))
+    limit, spread = bits_apart(similarity), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    balls = [_ball(f"(shiftrightunsigned(w{j}, 32))", 32, 2 * j) + ", " + _ball(f"(w{j} & 4294967295)", 32, 2 * j + 1) for j in range(LOOKUPS)]
+    keyed = nodes.where("node IS NOT NULL").select("node", *w).repartition(spread, "node").select("node", F.explode(F.expr(f"concat({', '.join(balls)})")).alias("key"))
+    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1"))
+    hits = materialize(keyed.join(shared, "key"))
+    buckets = hits.where(F.col("n") <= bucket_rows).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
+    members = buckets.select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node")).join(nodes.select("node", *s), "node").select("bucket", "node", *s)
+    edges = members.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_verified_buckets(limit), "u long, v long")
+    large = hits.where(F.col("n") > bucket_rows)
+    if large.limit(1).count():
+        apart = F.expr(" + ".join(f"bit_count(a.{c} ^ b.{c})" for c in s))
+        of = lambda pairs: pairs.join(nodes.alias("a"), F.col("u") == F.col("a.node")).join(nodes.alias("b"), F.col("v") == F.col("b.node")).select("u", "v", (apart <= limit).alias("same"))
+        first = materialize(of(large.where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()))
+        rest = large.join(first.where("NOT same").select(F.col("u").alias("node"), F.col("v").alias("low")), ["node", "low"], "left_semi").select("key", F.col("node").alias("u"))
+        more = rest.join(large.select("key", F.col("node").alias("v")), "key").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        edges = edges.union(first.where("same").select("u", "v")).union(of(more).where("same").select("u", "v"))
+    comp = components(edges.distinct())
+    table = materialize(nodes.join(comp, "node", "left").select(*s, F.coalesce("component", "node").alias("component_id")))
+    return all_rows.join(table, s).select("doc_id", "component_id")
+
+
+def simhash_dedup(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """docs without the near copies of a document with a smaller doc_id; columns as they were.
+
+    Rows that share a doc_id stay or go together; a row without a doc_id stays.
+    """
+    c = near_copies(docs, similarity)
+    gone = materialize(c.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(sized(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
