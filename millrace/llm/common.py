@@ -107,7 +107,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 #: A table may be broadcast if it is written in at most so many bytes, whatever the input's size.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 4 << 20
 
 
 def written_bytes(df: DataFrame) -> int:

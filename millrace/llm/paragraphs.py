@@ -145,27 +145,84 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(a, "u").join(b, "v").withColumn("same", both >= F.lit(similarity) * (F.size("a") + F.size("b") - both)).drop("a", "b")
 
 
-def near_paragraphs(docs: DataFrame, paragraphs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def _bucket_links(similarity: float):
+    """Rows (bucket, h, set) sorted by bucket to a spanning forest of each bucket's verified links."""
+
+    def links(names, sets):
+        import numpy as np
+
+        flat = np.concatenate(sets)
+        _, ids = np.unique(flat, return_inverse=True)
+        size = np.array([len(s) for s in sets])
+        at = np.concatenate([[0], np.cumsum(size)])
+        near, mark = np.arange(len(sets)), np.zeros(len(flat), bool)
+        for i in range(1, len(sets)):
+            own = ids[at[i] : at[i + 1]]
+            mark[own] = True
+            both = np.add.reduceat(mark[ids[: at[i]]], at[:i], dtype=np.int64)
+            mark[own] = False
+            hit = np.flatnonzero(both >= similarity * (size[:i] + size[i] - both))
+            for label in np.unique(near[hit]):
+                j = hit[near[hit] == label][0]
+                yield names[i], names[j]
+                near[near == label] = i
+
+    def run(batches):
+        import pyarrow as pa
+
+        bucket, names, sets = None, [], []
+
+        def table(found):
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["u", "v"])
+
+        for b in batches:
+            found = []
+            values, offsets = b.column(2).values.to_numpy(), b.column(2).offsets.to_numpy()
+            for k, (key, h) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                if key != bucket:
+                    if len(names) > 1:
+                        found += links(names, sets)
+                    bucket, names, sets = key, [], []
+                names.append(h), sets.append(values[offsets[k] : offsets[k + 1]].copy())
+            yield table(found)
+        if len(names) > 1:
+            yield table(list(links(names, sets)))
+
+    return run
+
+
+#: Members of a bucket that one task compares; larger buckets are compared as joins.
+BUCKET_ROWS = 4096
+
+
+def near_paragraphs(docs: DataFrame, paragraphs: DataFrame, similarity: float = SIMILARITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Edges (u, v) between different paragraphs (by h), all verified, with the components of all verified colliding pairs.
 
-    Copies are one h, so a bucket's size counts different texts. Each bucket's
-    members are compared with its smallest; those that differ from it (the rest)
-    with all members of the bucket. Members equal to the smallest need no links
-    among each other, so nothing is lost, and a group of near copies costs a row
-    a member instead of its square.
+    Copies are one h, so a bucket's size counts different texts. Buckets of up to
+    bucket_rows members go, once for all bands with the same members, to a task
+    that compares all and keeps a spanning forest. In larger ones, members are
+    joined with the bucket's smallest; those that differ from it (the rest) with
+    all members. Those equal to the smallest need no links among each other, so
+    nothing is lost.
     """
     one = paragraphs.where("bands IS NOT NULL").groupBy("h").agg(F.first("bands").alias("bands"))
     keyed = one.select(F.explode("bands").alias("band"), "h")
-    counts = keyed.groupBy("band").agg(F.min("h").alias("v"), F.max("h").alias("_hi")).where("v <> _hi").select("band", "v")
+    counts = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("h").alias("v")).where("n > 1")
     hits = materialize(keyed.join(counts, "band"))
     if not hits.limit(1).count():
         return hits.select(F.col("h").alias("u"), "v")
     member = docs.sparkSession.sparkContext.broadcast(bitmap(hits.select("h").distinct(), "h"))
     sets = materialize(docs.select("doc_id", "text").mapInArrow(_sets(member), "h long, set array<long>").groupBy("h").agg(F.first("set").alias("set")))
-    first = materialize(_verified(hits.where("h <> v").select(F.col("h").alias("u"), "v").distinct(), sets, similarity))
-    rest = hits.join(first.where("NOT same").select(F.col("u").alias("h"), "v"), ["h", "v"], "left_semi").select("band", F.col("h").alias("u"))
-    more = rest.join(hits.select("band", F.col("h").alias("w")), "band").where("u <> w").select(F.greatest("u", "w").alias("u"), F.least("u", "w").alias("v")).distinct()
-    return materialize(first.where("same").select("u", "v").union(_verified(more, sets, similarity).where("same").select("u", "v")))
+    buckets = hits.where(F.col("n") <= bucket_rows).groupBy("band").agg(F.sort_array(F.collect_list("h")).alias("hs")).select("hs").distinct()
+    members = buckets.select(F.xxhash64("hs").alias("bucket"), F.explode("hs").alias("h")).join(sets, "h").select("bucket", "h", "set")
+    edges = members.repartition("bucket").sortWithinPartitions("bucket", "h").mapInArrow(_bucket_links(similarity), "u long, v long")
+    large = hits.where(F.col("n") > bucket_rows)
+    if large.limit(1).count():
+        first = materialize(_verified(large.where("h <> v").select(F.col("h").alias("u"), "v").distinct(), sets, similarity))
+        rest = large.join(first.where("NOT same").select(F.col("u").alias("h"), "v"), ["h", "v"], "left_semi").select("band", F.col("h").alias("u"))
+        more = rest.join(large.select("band", F.col("h").alias("w")), "band").where("u <> w").select(F.greatest("u", "w").alias("u"), F.least("u", "w").alias("v")).distinct()
+        edges = edges.union(first.where("same").select("u", "v")).union(_verified(more, sets, similarity).where("same").select("u", "v"))
+    return materialize(edges.distinct())
 
 
 def repeats(docs: DataFrame, similarity: float = SIMILARITY, bands: int | None = None, rows: int = 4) -> DataFrame:
