@@ -134,7 +134,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     table = spark.createDataFrame(slots(pack_histogram(histogram, capacity)), schema)
     place = Window.partitionBy("length", "_bucket").orderBy("doc_id", "start")
     p = p.withColumn("_place", F.row_number().over(place) - 1)
-    p = p.join(F.broadcast(before.drop("n")), ["length", "_bucket"])  # at most capacity * RANK_BUCKETS rows
+    p = p.join(before.drop("n"), ["length", "_bucket"])
     p = p.withColumn("_rank", F.col("_before") + F.col("_place"))
     s = F.broadcast(table.withColumnRenamed("length", "_length"))
     p = p.join(s, (p.length == F.col("_length")) & (p._rank >= F.col("lo")) & (p._rank < F.col("hi")))
