@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .urls import judge_sql
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -39,5 +40,23 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_sequences, op6_substring_dedup, op8_simhash_dedup, op9_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_vectors
+
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge
+
+    return judge(read_table(spark, sf_dir, "pages"))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_documents
+
+    return score_documents(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pack_sequences, op2_embedding_dedup, op3_url_filter, op6_substring_dedup, op7_lm_scoring, op8_simhash_dedup, op9_toxicity)}
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": judge_sql()}
