@@ -58,5 +58,11 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_sequences, op2_embedding_dedup, op3_url_filter, op6_substring_dedup, op7_lm_scoring, op8_simhash_dedup, op9_toxicity)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import suffix_dedup
+
+    return suffix_dedup(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pack_sequences, op2_embedding_dedup, op3_url_filter, op6_substring_dedup, op7_lm_scoring, op8_simhash_dedup, op9_toxicity, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {"op3_url_filter": judge_sql()}
