@@ -64,5 +64,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_sequences, op2_embedding_dedup, op3_url_filter, op6_substring_dedup, op7_lm_scoring, op8_simhash_dedup, op9_toxicity, op10_suffix_dedup)}
+def op4_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import describe_media, text_media
+
+    return describe_media(text_media(read_table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_pack_sequences, op2_embedding_dedup, op3_url_filter, op4_media_avi, op6_substring_dedup, op7_lm_scoring, op8_simhash_dedup, op9_toxicity, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {"op3_url_filter": judge_sql()}
