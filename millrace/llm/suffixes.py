@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from .common import BITMAP_BITS, bitmap, materialize, sized
 
 #: Shortest repeat in bytes, and the bytes of an anchor within it.
-MIN_LENGTH, ANCHOR = 100, 32
+MIN_LENGTH, ANCHOR = 100, 48
 #: Different contexts of an anchor that one task transforms together; anchors with more go the way of _windows.
 CONTEXTS = 20_000
-#: Bytes that are transformed at once.
-BATCH_BYTES = 1 << 20
+#: Bytes that are transformed at once: so few that the arrays stay in a core's cache. One anchor's contexts are never parted.
+BATCH_BYTES = 1 << 17
 
 
 def _utf8(text):
@@ -30,9 +30,10 @@ def anchors(data: bytes, min_length: int = MIN_LENGTH):
     if len(data) < min_length:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     h, mul, step = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1), 0x9E3779B97F4A7C15, 1
-    while step < ANCHOR:  # each value covers `step` bytes
+    while step < ANCHOR // 3:  # each value covers `step` bytes
         h = h[:-step] * np.uint64(mul) + h[step:]
         mul, step = mul * mul & (1 << 64) - 1, step * 2
+    h = (h[: -2 * step] * np.uint64(mul) + h[step:-step]) * np.uint64(mul) + h[2 * step :]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
@@ -94,7 +95,10 @@ def _occurrences(member, min_length: int = MIN_LENGTH):
 
 
 def suffix_order(text):
-    """The order of all suffixes of a uint8 array by their first 128 bytes, by doubling; ends count as smallest."""
+    """The order of all suffixes of a uint8 array by their first 216 bytes; ends count as smallest.
+
+    Ranks by 8 bytes are joined to ranks by three times as many, until no two are equal.
+    """
     import numpy as np
 
     n = len(text)
@@ -102,16 +106,18 @@ def suffix_order(text):
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = (key << np.uint64(8)) | pad[j : j + n]
-    step = 8
+    step, bits = 8, np.uint64(n.bit_length())
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         k = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])]) + 1
-        if step >= 128 or rank[order[-1]] == n:
+        rank = np.zeros(n + 2 * step, np.uint64)
+        rank[order] = np.cumsum(np.concatenate([[True], k[1:] != k[:-1]])).astype(np.uint64)
+        if step >= 216 or rank[order[-1]] == n:
             return order
-        key = (rank << 32 | np.concatenate([rank[step:], np.zeros(min(step, n), np.int64)])[:n]).astype(np.uint64)
-        step *= 2
+        if 3 * n.bit_length() > 64:
+            key, step = rank[:n] << np.uint64(32) | rank[step : step + n], 2 * step
+        else:
+            key, step = (rank[:n] << bits | rank[step : step + n]) << bits | rank[2 * step : 2 * step + n], 3 * step
 
 
 def repeat_classes(text, min_length: int):
@@ -127,22 +133,22 @@ def repeat_classes(text, min_length: int):
 
     n = len(text)
     order = suffix_order(text)
-    place = np.empty(n + 1, np.int64)
-    place[order], place[n] = np.arange(n), -1
+    place = np.empty(n + 1, np.int32)
+    place[order], place[n] = np.arange(n, dtype=np.int32), -1
     after = place[np.minimum(order + 1, n)]  # the inverse of the backward step
     first = text[order]
     starts = np.ones(n, bool)
     starts[1:] = first[1:] != first[:-1]
-    open_ = np.flatnonzero(~starts)
+    open_ = np.flatnonzero(~starts).astype(np.int32)
+    a, b = after[open_], after[open_ - 1]
     for _ in range(1, min_length):
         if not len(open_):
             break
-        interval = np.cumsum(starts)
-        a, b = after[open_], after[open_ - 1]
-        ends = (a < 0) | (b < 0) | (interval[a] != interval[b])
-        new = open_[ends]
-        open_ = open_[~ends]
-        starts[new] = True
+        interval = np.cumsum(starts, dtype=np.int32)
+        stay = (interval[a] == interval[b]) & (a >= 0) & (b >= 0)
+        if not stay.all():
+            starts[open_[~stay]] = True
+            open_, a, b = open_[stay], a[stay], b[stay]
     return order, starts
 
 
@@ -182,6 +188,33 @@ def _found(rows, min_length: int = MIN_LENGTH):
     return [(int(docs[x >> 32]), int(x & 0xFFFFFFFF), int(y & 0xFFFFFFFF) + min_length) for x, y in zip(k[gap].tolist(), k[last].tolist())]
 
 
+def _candidates(rows, min_length: int = MIN_LENGTH):
+    """Of one anchor's rows, those that share with another what stands on the longer side of any repeat.
+
+    A string of min_length bytes that holds the anchor has at least half of its other
+    bytes on one side of it; a context that shares neither half has no repeat, and
+    one that shares a single half is cut to less than a half on its other side.
+    """
+    from collections import Counter
+
+    half = (min_length - ANCHOR) // 2
+    ahead = [ctx[left : left + ANCHOR + half] for _, _, _, left, ctx in rows]
+    behind = [ctx[max(0, left - half) : left + ANCHOR] for _, _, _, left, ctx in rows]
+    a, b = Counter(ahead), Counter(behind)
+    out = []
+    for r, x, y in zip(rows, ahead, behind):
+        more, less = a[x] > 1 and len(x) == ANCHOR + half, b[y] > 1 and len(y) == ANCHOR + half
+        h, doc, pos, left, ctx = r
+        if more and less:
+            out.append(r)
+        elif more:
+            cut = max(0, left - half)
+            out.append((h, doc, pos, left - cut, ctx[cut:]))
+        elif less:
+            out.append((h, doc, pos, left, ctx[: left + ANCHOR + half]))
+    return [r for r in out if len(r[4]) >= min_length]
+
+
 def _transformed(batches):
     """Rows (h, doc_id, pos, left, ctx) sorted by h to (doc_id, start, end)."""
     import pyarrow as pa
@@ -191,13 +224,19 @@ def _transformed(batches):
 
     held: list[tuple] = []
     size = 0
+    own: list[tuple] = []
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns)):
-            if size > BATCH_BYTES and row[0] != held[-1][0]:
-                yield table(_found(held))
-                held, size = [], 0
-            held.append(row)
-            size += len(row[4])
+            if own and row[0] != own[0][0]:
+                kept = _candidates(own)
+                held += kept
+                size += sum(len(r[4]) for r in kept)
+                own = []
+                if size > BATCH_BYTES:
+                    yield table(_found(held))
+                    held, size = [], 0
+            own.append(row)
+    held += _candidates(own)
     if held:
         yield table(_found(held))
 
