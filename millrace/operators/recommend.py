@@ -25,7 +25,7 @@ def _similar(both: DataFrame, size: DataFrame, threshold: float) -> DataFrame:
 
 def minhash_signatures(pairs: DataFrame, user_number: str = "user", hashes: int = 100, modulus: int = 2_147_483_647) -> DataFrame:
     """pairs(item, user: number) to (item, i, h): the least of each affine hash over an item's users; partial minima."""
-    a, b = coefficients(F.col("i"))
+    a, b = F.pmod((F.col("i") + 1) * 1_103_515_245 + 12_345, F.lit(2_147_483_647)), coefficients(F.col("i"))[1]
     x = pairs.select("item", F.col(user_number).cast("long").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(hashes - 1).cast("long"))).alias("i"))
     y = F.pmod(F.col("x"), F.lit(2_147_483_647))
     spread = F.pmod(F.pmod(y * y, F.lit(1_000_000_007)) * 48271 + y * 69621 + 7, F.lit(1_000_000_007))  # not affine in x, so that the hashes of close numbers are unalike

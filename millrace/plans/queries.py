@@ -205,7 +205,7 @@ def lsh_pairs(spark, d):
     return recommend.lsh_pairs(_ratings(spark, d).select("item", "user"))
 
 
-@query(f"SELECT r.i AS item, k AS i, min((((k * 7919 + 104729) % 99991 + 1) * (((u * u) % 1000000007 * 48271 + u * 69621 + 7) % 1000000007) + (k * 15485863 + 32452843) % 98387 + 1) % 2147483647) AS h FROM ({RATED}) r, range(100) t(k) GROUP BY 1, 2")
+@query(f"SELECT r.i AS item, k AS i, min(((((k + 1) * 1103515245 + 12345) % 2147483647) * (((u * u) % 1000000007 * 48271 + u * 69621 + 7) % 1000000007) + (k * 15485863 + 32452843) % 98387 + 1) % 2147483647) AS h FROM ({RATED}) r, range(100) t(k) GROUP BY 1, 2")
 def minhash_signatures(spark, d):
     return recommend.minhash_signatures(_ratings(spark, d).select("item", "user"))
 
