@@ -70,5 +70,11 @@ def op4_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe_media(text_media(read_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_sequences, op2_embedding_dedup, op3_url_filter, op4_media_avi, op6_substring_dedup, op7_lm_scoring, op8_simhash_dedup, op9_toxicity, op10_suffix_dedup)}
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode
+
+    return encode(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pack_sequences, op2_embedding_dedup, op3_url_filter, op4_media_avi, op5_sentencepiece, op6_substring_dedup, op7_lm_scoring, op8_simhash_dedup, op9_toxicity, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {"op3_url_filter": judge_sql()}
