@@ -273,28 +273,28 @@ def _removal(batches):
     import pyarrow as pa
 
     for b in batches:
-        spans = [[(x["start"], x["end"]) for x in s or ()] for s in b.column("_spans").to_pylist()]
+        spans = [[(x["start"], x["end"]) for x in s or ()] for s in b.column("__mr_spans").to_pylist()]
         text = [_cut_text(t, s) for t, s in zip(b.column("text").to_pylist(), spans)]
-        cols = [pa.array(text, pa.string()) if n == "text" else b.column(n) for n in b.schema.names if n != "_spans"]
-        yield pa.RecordBatch.from_arrays(cols, [n for n in b.schema.names if n != "_spans"])
+        cols = [pa.array(text, pa.string()) if n == "text" else b.column(n) for n in b.schema.names if n != "__mr_spans"]
+        yield pa.RecordBatch.from_arrays(cols, [n for n in b.schema.names if n != "__mr_spans"])
 
 
 def by_document(spans: DataFrame) -> DataFrame:
     """(doc_id, _spans): a document's spans, of which there are no more than it has words."""
-    return spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans"))
+    return spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__mr_spans"))
 
 
 def remove_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs with every repeated span cut out of `text`; other columns, and documents without repeats, as they were."""
-    per = materialize(by_document(repeats(docs, similarity)).withColumnRenamed("doc_id", "_id"))
-    joined = docs.join(sized(per), docs["doc_id"] == F.col("_id"), "left").select(*[docs[c] for c in docs.columns], "_spans")
+    per = materialize(by_document(repeats(docs, similarity)).withColumnRenamed("doc_id", "__mr_id"))
+    joined = docs.join(sized(per), docs["doc_id"] == F.col("__mr_id"), "left").select(*[docs[c] for c in docs.columns], "__mr_spans")
     return joined.mapInArrow(_removal, docs.schema)
 
 
 def substring_report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """A row a document: doc_id, n_removed (words), spans (start, end in words), first_docs (documents that keep the text)."""
     r = repeats(docs, similarity)
-    words = F.aggregate(F.col("_spans"), F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), lambda a, x: F.struct(F.greatest(a["end"], x["end"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["end"], x["start"]))).alias("n")))
-    per = materialize(by_document(r).join(r.groupBy("doc_id").agg(F.sort_array(F.collect_set("first_doc")).alias("first_docs")), "doc_id").select(F.col("doc_id").alias("_id"), words["n"].cast("long").alias("n_removed"), F.col("_spans").alias("spans"), "first_docs"))
+    words = F.aggregate(F.col("__mr_spans"), F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), lambda a, x: F.struct(F.greatest(a["end"], x["end"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["end"], x["start"]))).alias("n")))
+    per = materialize(by_document(r).join(r.groupBy("doc_id").agg(F.sort_array(F.collect_set("first_doc")).alias("first_docs")), "doc_id").select(F.col("doc_id").alias("__mr_id"), words["n"].cast("long").alias("n_removed"), F.col("__mr_spans").alias("spans"), "first_docs"))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    return d.join(sized(per), d["doc_id"] == F.col("_id"), "left").select("doc_id", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), "spans", "first_docs")
+    return d.join(sized(per), d["doc_id"] == F.col("__mr_id"), "left").select("doc_id", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), "spans", "first_docs")

@@ -268,5 +268,5 @@ def simhash_dedup(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     Rows that share a doc_id stay or go together; a row without a doc_id stays.
     """
     c = near_copies(docs, similarity)
-    gone = materialize(c.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(sized(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = materialize(c.where("doc_id <> component_id").select(F.col("doc_id").alias("__mr_gone")).distinct())
+    return docs.join(sized(gone), docs["doc_id"] == F.col("__mr_gone"), "left_anti")

@@ -322,14 +322,14 @@ def suffix_dedup(docs: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
     starts earlier: in a smaller doc_id, or earlier in the same document. Texts, null as
     empty, are UTF-8 bytes, and strings never cross documents. Of equal texts only
     the first is searched; the others go throughout. Rows that repeat a doc_id with
-    the same text are one document.
+    the same text are one document; a row without a doc_id is left whole.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = d.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"), F.length("text").alias("c"))
     first = materialize(ids.groupBy("a", "b", "c").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").drop("last"))
     copy = materialize(ids.join(sized(first), ["a", "b", "c"]).where("doc_id <> first").select(F.col("doc_id").alias("_copy")).distinct())
     flagged = d.join(sized(copy), d["doc_id"] == copy["_copy"], "left").select("doc_id", "text", F.col("_copy").isNotNull().alias("copy"))
-    spans = repeated_spans(flagged.where("NOT copy").select("doc_id", "text"), contexts)
+    spans = repeated_spans(flagged.where("NOT copy AND doc_id IS NOT NULL").select("doc_id", "text"), contexts)
     per = materialize(spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans")).withColumnRenamed("doc_id", "_doc"))
     full = flagged.join(sized(per), flagged["doc_id"] == per["_doc"], "left").select("doc_id", "text", "copy", "spans")
     return full.mapInArrow(_rest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

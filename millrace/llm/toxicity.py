@@ -115,12 +115,14 @@ class TextCNN:
 
 
 def calibrated(scores, labels, langs, least: int = 20) -> dict[str | None, float]:
-    """The threshold with the best F1 by language (None: all); languages with fewer than `least` labels of a kind take None's."""
+    """The threshold with the best F1 by language (None: all); languages with fewer than `least` labels of a kind take None's, which then is 0.5."""
     out = {}
     for lang in {None, *langs}:
         own = sorted((s, y) for s, y, x in zip(scores, labels, langs) if lang is None or x == lang)
         pos = sum(y for _, y in own)
-        if lang is not None and min(pos, len(own) - pos) < least:
+        if min(pos, len(own) - pos) < least:
+            if lang is None:
+                out[None] = 0.5
             continue
         best, out[lang], hit = -1.0, 0.5, pos
         for k, (s, y) in enumerate(own):  # those from k on are called toxic
@@ -170,11 +172,11 @@ def score(docs: DataFrame, model: TextCNN) -> DataFrame:
 
         for b in batches:
             s = pa.array([shared.value.score(word_ids(t)) for t in b.column(b.schema.get_field_index("text")).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, s], [*b.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, s], [*b.schema.names, "__mr_score"])
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__mr_score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -186,7 +188,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model, by_lang = train(docs, labels)
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     s = score(docs.select("doc_id", "text", lang.alias("lang")), model)
-    return s.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"), threshold(by_lang).alias("lang_threshold"), (F.col("_score") >= threshold(by_lang)).alias("rejected"))
+    return s.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out"), F.col("__mr_score").alias("score"), (F.col("__mr_score") >= 0.5).cast("int").alias("predicted"), threshold(by_lang).alias("lang_threshold"), (F.col("__mr_score") >= threshold(by_lang)).alias("rejected"))
 
 
 def threshold(by_lang: dict) -> F.Column:
@@ -201,4 +203,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model, by_lang = train(docs, labels)
     kept = score(docs, model)
     limit = threshold(by_lang) if "lang" in docs.columns else F.lit(float(by_lang.get(None, 0.5)))
-    return kept.where(F.col("_score") < limit).drop("_score")
+    return kept.where(F.col("__mr_score") < limit).drop("__mr_score")
