@@ -120,7 +120,7 @@ def near_fingerprints(fps: DataFrame, radius: int = 4, bucket_rows: int = BUCKET
     if not 0 <= radius <= 5:
         raise ValueError("radius must be 0 to 5")
     spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = fps.select("fp").distinct().repartition(spread, "fp")  # small rows that grow by 66: more tasks than their bytes ask for
+    d = fps.select("fp").distinct().repartition(spread, F.xxhash64("fp"))  # small rows that grow by 66: more tasks than their bytes ask for
     keyed = d.select("fp", F.explode(F.expr(f"concat({_ball('shiftrightunsigned(fp, 32)', 32, 0)}, {_ball('(fp & 4294967295)', 32, 1)})")).alias("key"))
     shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     hits = keyed.join(shared, "key")
