@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +14,10 @@ from .common import materialize, sized
 SPACE = "▁"
 #: Words of more characters are encoded by the library: a lattice's fold copies its state at each position.
 LONG_WORD = 200
-#: Encodings of at most so many bytes, as written, are looked up by broadcast; more are joined by a shuffle.
-LOOKUP_BYTES = 4 << 20
+#: Encodings of at most so many words, of at most so many characters each, go to every task, whatever the input's size.
+FREQUENT, FREQUENT_CHARS = 1 << 17, 32
+#: Different words that a task counts before it hands them on.
+HELD_WORDS = 400_000
 
 
 def processor(path: str):
@@ -27,13 +33,22 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, score double")
 
 
-def words(text):
-    """Words of a text as the model sees it: a space before it, spaces as SPACE, cut before every run of them.
+def cutter(path: str):
+    """A pattern whose matches are a text's words: cut before runs of SPACE, and between letters and others where no piece has both.
 
-    No piece holds a SPACE after another character, so no piece crosses a cut.
+    No piece holds a SPACE after another character, so no piece crosses a cut;
+    if some piece holds a letter beside another character, words are cut before SPACE alone.
     """
-    t = F.when(F.coalesce(text, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit(SPACE), F.translate(text, " ", SPACE)))
-    return F.regexp_extract_all(t, F.lit(f"({SPACE}*[^{SPACE}]+|{SPACE}+)"), F.lit(1))
+    sp = processor(path)
+    names = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))]
+    odd = "".join(sorted({c for p in names for c in p if re.match(r"[^\W\d_]", c) and not c.isalpha()}))
+    rx = re.compile(f"{SPACE}*[^\\W\\d_{odd}]+|{SPACE}*(?:[\\d_{odd}]|[^\\w{SPACE}])+|{SPACE}+")
+    return rx if all(rx.fullmatch(p) for p in names) and all(len(rx.findall(p)) == 1 for p in names) else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+
+
+def words(rx, text: str | None) -> list[str]:
+    """A text's words as the model sees them: a space before it, spaces as SPACE; none of an empty text."""
+    return rx.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
 class Merges:
@@ -48,7 +63,8 @@ class Merges:
     def __init__(self, pieces: dict[str, float]):
         self.score = pieces
         self.parts: dict[str, tuple] = {}
-        self.known: dict[tuple, bool] = {}
+        self.sides: dict[tuple, list] = {}
+        self.known: dict[int, bool] = {}
 
     def split(self, piece: str):
         """The two pieces that merged to this one; none for a character."""
@@ -65,43 +81,75 @@ class Merges:
             self.parts[piece] = last
         return self.parts[piece]
 
+    def side(self, piece: str, last: int) -> list:
+        """The tokens at a piece's end (last = 1) or beginning (0) on the way to it, each with the score of the merge that takes it up."""
+        if (piece, last) not in self.sides:
+            out, x, until = [], piece, -1e30
+            while True:
+                out.append((x, until))
+                if not (p := self.split(x)):
+                    break
+                until, x = self.score[x], p[last]
+            self.sides[piece, last] = out
+        return self.sides[piece, last]
+
     def allowed(self, a: str, b: str) -> bool:
-        key = (a, b)
-        if key not in self.known:
-            self.known[key] = self._allowed(a, b)
-        return self.known[key]
-
-    def _allowed(self, a: str, b: str) -> bool:
-        ends, x, until = [], a, -1e30
-        while True:  # the last token on the way to a, with the score of the merge that takes it up
-            ends.append((x, until))
-            if not (p := self.split(x)):
-                break
-            until, x = self.score[x], p[1]
-        heads, y, until = [], b, -1e30
-        while True:
-            heads.append((y, until))
-            if not (p := self.split(y)):
-                break
-            until, y = self.score[y], p[0]
-        for x, ux in ends:
+        heads, score = self.side(b, 0), self.score
+        for x, ux in self.side(a, 1):
             for y, uy in heads:
-                s = self.score.get(x + y)
+                s = score.get(x + y)
                 if s is not None and s >= uy and s > ux:
                     return False
         return True
 
 
+#: Answers about pairs of pieces that a Python worker keeps.
+KNOWN_PAIRS = 2_000_000
+
+
+@lru_cache(maxsize=2)
+def _merges(path: str):
+    """Piece names by id, and a worker's Merges."""
+    sp = processor(path)
+    names = {i: sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))}
+    return names, Merges({p: sp.get_score(i) for i, p in names.items()})
+
+
+def _before(w, e, s, ids, names, merges):
+    """For edges by word and end: (edge, piece before) of all that may stand side by side, by edge."""
+    import numpy as np
+
+    end = w * (1 << 20) + e
+    start = w * (1 << 20) + s
+    lo, hi = np.searchsorted(end, start, "left"), np.searchsorted(end, start, "right")
+    n = np.where(s > 0, hi - lo, 0)
+    at = np.repeat(np.arange(len(e)), n)
+    prev = ids[np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+    pairs, which = np.unique((prev.astype(np.int64) + 1 << 32) | (ids[at].astype(np.int64) + 1), return_inverse=True)
+    known = merges.known
+    if len(known) > KNOWN_PAIRS:
+        known.clear()
+    answers = []
+    for c in pairs.tolist():
+        if (ok := known.get(c)) is None:
+            a, b = (c >> 32) - 1, (c & 0xFFFFFFFF) - 1
+            ok = known[c] = a < 0 or b < 0 or merges.allowed(names[a], names[b])
+        answers.append(ok)
+    keep = np.array(answers, bool)[which] if len(at) else np.zeros(0, bool)
+    return at[keep], prev[keep]
+
+
 def lattice(vocabulary: DataFrame, pieces: DataFrame, path: str, bpe: bool = True) -> DataFrame:
     """vocabulary(word), distinct, to (word, edges): array of (e, s, id, score, prev), by end and start.
 
     Substrings of up to the longest piece's characters are exploded and joined
     with the piece table; a character that is no piece has an edge with id -1.
+    Words are dealt out before they are exploded, so that edges are grouped where they are.
     prev: ids of pieces that may stand before, for a byte-pair model; else null.
     """
     longest = int(pieces.agg(F.max(F.length("piece"))).first()[0])
     n = F.length("word")
-    spans = vocabulary.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s")).select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + longest))).alias("e"))
+    spans = vocabulary.repartition("word").select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s")).select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + longest))).alias("e"))
     spans = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s")))
     hit = spans.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR e = s + 1")
     edge = F.struct("e", "s", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(-1e6)).alias("score"))
@@ -111,23 +159,21 @@ def lattice(vocabulary: DataFrame, pieces: DataFrame, path: str, bpe: bool = Tru
         return grouped.select("word", F.transform("edges", lambda x: F.struct(x["e"].alias("e"), x["s"].alias("s"), x["id"].alias("id"), x["score"].alias("score"), F.lit(None).cast("array<int>").alias("prev"))).alias("edges"))
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        sp = processor(path)
-        names = {i: sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))}
-        merges = Merges({p: sp.get_score(i) for i, p in names.items()})
-        t = pa.list_(pa.struct([("e", pa.int32()), ("s", pa.int32()), ("id", pa.int32()), ("score", pa.float64()), ("prev", pa.list_(pa.int32()))]))
+        names, merges = _merges(path)
         for b in batches:
-            out = []
-            for edges in b.column(1).to_pylist():
-                at: dict[int, list[int]] = {}
-                for x in edges:
-                    at.setdefault(x["e"], []).append(x["id"])
-                for x in edges:
-                    before = set(at.get(x["s"], ()))
-                    x["prev"] = [i for i in before if i < 0 or x["id"] < 0 or merges.allowed(names[i], names[x["id"]])]
-                out.append(edges)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, t)], ["word", "edges"])
+            lists = b.column(1)
+            sizes = np.asarray(lists.value_lengths())
+            flat = lists.flatten()
+            e, s, ids, score = (np.asarray(x) for x in flat.flatten())
+            edge, prev = _before(np.repeat(np.arange(len(sizes)), sizes), e, s, ids, names, merges)
+            inner = np.concatenate(([0], np.cumsum(np.bincount(edge, minlength=len(e)))))
+            before = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(prev, pa.int32()))
+            edges = pa.StructArray.from_arrays([pa.array(e, pa.int32()), pa.array(s, pa.int32()), pa.array(ids, pa.int32()), pa.array(score, pa.float64()), before], ["e", "s", "id", "score", "prev"])
+            outer = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(outer, edges)], ["word", "edges"])
 
     return grouped.mapInArrow(run, f"word string, edges {kind}")
 
@@ -160,9 +206,10 @@ def viterbi(lattices: DataFrame) -> DataFrame:
 
 
 def _ids(path_: str):
-    """Paths to ids: a character that is no piece becomes its UTF-8 bytes' pieces."""
+    """Paths to ids, packed: a character that is no piece becomes its UTF-8 bytes' pieces."""
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         sp = processor(path_)
@@ -173,47 +220,128 @@ def _ids(path_: str):
                 ids = []
                 for x in path:
                     ids += [x["id"]] if x["id"] >= 0 else [bytes_[c] for c in word[x["s"]].encode()]
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["word", "ids"])
+                out.append(np.array(ids, "<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["word", "ids"])
 
     return run
 
 
 def _long_ids(path_: str):
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         sp = processor(path_)
+        skip = len(sp.encode("\n"))
         for b in batches:
             ws = b.column(0).to_pylist()
-            out = [sp.encode(w[1:].replace(SPACE, " ")) if w.startswith(SPACE) else sp.encode(w.replace(SPACE, " "))[1:] for w in ws]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["word", "ids"])
+            got = [sp.encode(w[1:].replace(SPACE, " ")) if w.startswith(SPACE) else sp.encode("\n" + w)[skip:] for w in ws]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(x, "<i4").tobytes() for x in got], pa.binary())], ["word", "ids"])
 
     return run
 
 
 def encode_words(vocabulary: DataFrame, path: str) -> DataFrame:
-    """vocabulary(word), distinct, to (word, ids)."""
+    """vocabulary(word), distinct, to (word, ids): ids as little-endian 32-bit numbers."""
     spark = vocabulary.sparkSession
     short = vocabulary.where(F.length("word") <= LONG_WORD)
-    done = viterbi(lattice(short, piece_table(spark, path), path)).mapInArrow(_ids(path), "word string, ids array<int>")
-    return done.union(vocabulary.where(F.length("word") > LONG_WORD).mapInArrow(_long_ids(path), "word string, ids array<int>"))
+    done = viterbi(lattice(short, piece_table(spark, path), path)).mapInArrow(_ids(path), "word string, ids binary")
+    return done.union(vocabulary.where(F.length("word") > LONG_WORD).mapInArrow(_long_ids(path), "word string, ids binary"))
+
+
+def _counted(path: str):
+    """Texts to (word, n): partial counts, flushed when they are many."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        rx, seen = cutter(path), Counter()
+
+        def drained():
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                seen.update(words(rx, text))
+            if len(seen) > HELD_WORDS:
+                yield drained()
+                seen.clear()
+        if seen:
+            yield drained()
+
+    return run
+
+
+def _frequent(vocabulary: DataFrame) -> DataFrame:
+    """vocabulary(word, n) with a flag for at most FREQUENT words of the highest counts, all short."""
+    step = F.floor(F.log2("n") * 4).cast("int")
+    held, least = 0, None
+    for r in sorted(vocabulary.where(F.length("word") <= FREQUENT_CHARS).groupBy(step.alias("b")).count().collect(), reverse=True):  # at most 256 rows
+        held += r["count"]
+        if held > FREQUENT:
+            break
+        least = r["b"]
+    return vocabulary.withColumn("frequent", (F.length("word") <= FREQUENT_CHARS) & (step >= least) if least is not None else F.lit(False))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """docs(doc_id, text) to (doc_id, ids, n_ids) as the model's library gives them; a row for each, null and empty texts without ids.
 
-    Every different word is encoded once. Words of a text find their ids by
-    broadcast, if the encodings are of limited size, else by a join; then they are put in order.
+    Every different word is encoded once, by its lattice. The encodings of the most
+    frequent words, bounded in number and length, go to every task; those of a text's
+    other words are found by a join and come to the text by its key. A key shared by
+    different texts is harmless, as encodings are looked up by word.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("words"))
-    vocabulary = d.select(F.explode("words").alias("word")).distinct()
-    coded = materialize(encode_words(vocabulary, path))
-    rows = materialize(d.withColumn("row", F.monotonically_increasing_id()))
-    each = rows.select("row", F.posexplode("words").alias("pos", "word")).join(sized(coded, LOOKUP_BYTES), "word")
-    ids = each.groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
-    out = rows.select("row", "doc_id").join(ids, "row", "left").select("doc_id", F.coalesce("ids", F.expr("CAST(array() AS array<int>)")).alias("ids"))
-    return out.withColumn("n_ids", F.size("ids").cast("long"))
+    spark = docs.sparkSession
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    counted = d.select("text").mapInArrow(_counted(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    vocabulary = materialize(counted)
+    flagged = _frequent(vocabulary)
+    common = encode_words(flagged.where("frequent").select("word"), path).toArrow()  # at most FREQUENT short words
+    held = spark.sparkContext.broadcast(dict(zip(common["word"].to_pylist(), common["ids"].to_pylist())))
+    coded = materialize(encode_words(flagged.where("NOT frequent").select("word"), path))
+    keyed = d.withColumn("key", F.xxhash64("doc_id", "text"))
+
+    def rare(batches):
+        import pyarrow as pa
+
+        rx, known = cutter(path), held.value
+        for b in batches:
+            keys, out = [], []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = {w for w in words(rx, text) if w not in known}
+                keys += [key] * len(found)
+                out += found
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.string())], ["key", "word"])
+
+    def packed(batches):
+        import pyarrow as pa
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            texts = [z.compress((t or "").encode()) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.binary())], ["doc_id", "key", "packed"])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import zstandard
+
+        rx, known, z = cutter(path), held.value, zstandard.ZstdDecompressor()
+        for b in batches:
+            out = []
+            for text, more in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                own = {x["word"]: x["ids"] for x in more or ()}
+                out.append(b"".join([known[w] if w in known else own[w] for w in words(rx, z.decompress(text).decode())]))
+            sizes = np.array([len(x) // 4 for x in out], np.int64)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.frombuffer(b"".join(out), "<i4"), pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(sizes, pa.int64())], ["doc_id", "ids", "n_ids"])
+
+    found = keyed.select("key", "text").mapInArrow(rare, "key long, word string").join(sized(coded), "word")
+    own = found.groupBy("key").agg(F.collect_set(F.struct("word", "ids")).alias("own"))
+    texts = keyed.select("doc_id", "key", "text").mapInArrow(packed, "doc_id long, key long, packed binary")
+    return texts.join(own, "key", "left").select("doc_id", "packed", "own").mapInArrow(run, "doc_id long, ids array<int>, n_ids long")
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
