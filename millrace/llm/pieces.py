@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,9 @@ LONG_WORD = 200
 #: Encodings of at most so many words, of at most so many characters each, go to every task, whatever the input's size.
 FREQUENT, FREQUENT_CHARS = 1 << 17, 32
 #: Different words that a task counts before it hands them on.
-HELD_WORDS = 400_000
+HELD_WORDS = 200_000
+#: Words whose lattices a task builds, about.
+TASK_WORDS = 16_000
 
 
 def processor(path: str):
@@ -33,6 +36,7 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, score double")
 
 
+@lru_cache(maxsize=2)
 def cutter(path: str):
     """A pattern whose matches are a text's words: cut before runs of SPACE, and between letters and others where no piece has both.
 
@@ -139,7 +143,7 @@ def _before(w, e, s, ids, names, merges):
     return at[keep], prev[keep]
 
 
-def lattice(vocabulary: DataFrame, pieces: DataFrame, path: str, bpe: bool = True) -> DataFrame:
+def lattice(vocabulary: DataFrame, pieces: DataFrame, path: str, bpe: bool = True, parts: int | None = None) -> DataFrame:
     """vocabulary(word), distinct, to (word, edges): array of (e, s, id, score, prev), by end and start.
 
     Substrings of up to the longest piece's characters are exploded and joined
@@ -149,7 +153,7 @@ def lattice(vocabulary: DataFrame, pieces: DataFrame, path: str, bpe: bool = Tru
     """
     longest = int(pieces.agg(F.max(F.length("piece"))).first()[0])
     n = F.length("word")
-    spans = vocabulary.repartition("word").select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s")).select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + longest))).alias("e"))
+    spans = (vocabulary.repartition(parts, "word") if parts else vocabulary.repartition("word")).select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s")).select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + longest))).alias("e"))
     spans = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s")))
     hit = spans.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR e = s + 1")
     edge = F.struct("e", "s", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(-1e6)).alias("score"))
@@ -190,9 +194,10 @@ def viterbi(lattices: DataFrame) -> DataFrame:
     ends = F.transform(F.sequence(F.lit(1), F.length("word")), lambda e: F.filter("edges", lambda x: x["e"] == e))
 
     def reach(cells, edges):
-        cand = F.transform(edges, lambda x: F.struct((F.get(cells, x["s"])["score"] + x["score"]).alias("score"), x["s"].alias("s"), x["id"].alias("id"), ((x["s"] == 0) | x["prev"].isNull() | F.array_contains(x["prev"], F.get(cells, x["s"])["id"])).alias("ok")))
-        cand = F.filter(cand, lambda c: c["ok"] & c["score"].isNotNull())
-        best = F.array_max(F.transform(cand, lambda c: F.struct(c["score"].alias("score"), c["s"].alias("s"), c["id"].alias("id"))))
+        def ok(x):
+            return (x["s"] == 0) | x["prev"].isNull() | F.array_contains(x["prev"], F.get(cells, x["s"])["id"])
+
+        best = F.array_max(F.transform(edges, lambda x: F.when(ok(x) & F.get(cells, x["s"])["score"].isNotNull(), F.struct((F.get(cells, x["s"])["score"] + x["score"]).alias("score"), x["s"].alias("s"), x["id"].alias("id")))))
         return F.concat(cells, F.array(best.cast(cell)))
 
     cells = lattices.select("word", F.aggregate(ends, start, reach).alias("cells"))
@@ -241,14 +246,26 @@ def _long_ids(path_: str):
     return run
 
 
-def encode_words(vocabulary: DataFrame, path: str) -> DataFrame:
-    """vocabulary(word), distinct, to (word, ids): ids as little-endian 32-bit numbers."""
+def encode_words(vocabulary: DataFrame, path: str, n_words: int) -> DataFrame:
+    """vocabulary(word), distinct, of n_words rows, to (word, ids): ids as little-endian 32-bit numbers."""
     spark = vocabulary.sparkSession
     short = vocabulary.where(F.length("word") <= LONG_WORD)
-    done = viterbi(lattice(short, piece_table(spark, path), path)).mapInArrow(_ids(path), "word string, ids binary")
+    done = viterbi(lattice(short, piece_table(spark, path), path, parts=n_words // TASK_WORDS + 1)).mapInArrow(_ids(path), "word string, ids binary")
     return done.union(vocabulary.where(F.length("word") > LONG_WORD).mapInArrow(_long_ids(path), "word string, ids binary"))
 
 
+@contextmanager
+def _grouped_by_hash(spark: SparkSession):
+    """While lattices are built: a task's words, at most some more than TASK_WORDS, are grouped without a sort."""
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(2 * TASK_WORDS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def _counted(path: str):
     """Texts to (word, n): partial counts, flushed when they are many."""
 
@@ -297,9 +314,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     counted = d.select("text").mapInArrow(_counted(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     vocabulary = materialize(counted)
     flagged = _frequent(vocabulary)
-    common = encode_words(flagged.where("frequent").select("word"), path).toArrow()  # at most FREQUENT short words
+    n_common, n_words = flagged.agg(F.count_if("frequent"), F.count("*")).first()
+    with _grouped_by_hash(spark):
+        common = encode_words(flagged.where("frequent").select("word"), path, n_common).toArrow()  # at most FREQUENT short words
+        coded = materialize(encode_words(flagged.where("NOT frequent").select("word"), path, n_words - n_common))
     held = spark.sparkContext.broadcast(dict(zip(common["word"].to_pylist(), common["ids"].to_pylist())))
-    coded = materialize(encode_words(flagged.where("NOT frequent").select("word"), path))
     keyed = d.withColumn("key", F.xxhash64("doc_id", "text"))
 
     def rare(batches):
@@ -309,7 +328,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             keys, out = [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = {w for w in words(rx, text) if w not in known}
+                found = set(words(rx, text)).difference(known)
                 keys += [key] * len(found)
                 out += found
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.string())], ["key", "word"])
@@ -328,12 +347,12 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         import pyarrow as pa
         import zstandard
 
-        rx, known, z = cutter(path), held.value, zstandard.ZstdDecompressor()
+        rx, get, z = cutter(path), held.value.get, zstandard.ZstdDecompressor()
         for b in batches:
             out = []
             for text, more in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 own = {x["word"]: x["ids"] for x in more or ()}
-                out.append(b"".join([known[w] if w in known else own[w] for w in words(rx, z.decompress(text).decode())]))
+                out.append(b"".join([get(w) or own[w] for w in words(rx, z.decompress(text).decode())]))
             sizes = np.array([len(x) // 4 for x in out], np.int64)
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.frombuffer(b"".join(out), "<i4"), pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(sizes, pa.int64())], ["doc_id", "ids", "n_ids"])
