@@ -310,6 +310,18 @@ def test_pieces_equal_the_library(spark):
     assert pieces.encode(docs(spark, texts).limit(0), path).count() == 0
 
 
+def test_pieces_of_rare_and_long_words(spark, monkeypatch):
+    """Few encodings held in tasks, repeated rows, rows without ids, words cut between letters and others."""
+    monkeypatch.setattr(pieces, "FREQUENT", 8)
+    path = tokenizer_path("piece_bpe_32k.model")
+    sp = pieces.processor(path)
+    texts = ["a," + "x" * 300 + "," + "1" * 300 + "!", "m² x². 3² ½a a½", "don't e.g. x_y __z 12ab3,cd", "été\u0301s naïve\u00b2.", prose(500, 9) + ", " + prose(9, 8) + ".", None, ""] * 2
+    ids = [1, 2, 3, 4, None, None, 7] * 2
+    got = sorted((r["doc_id"] or 0, list(r["ids"]), r["n_ids"]) for r in pieces.encode(docs(spark, texts, ids), path).collect())
+    assert got == sorted((i or 0, x, len(x)) for i, x in ((i, sp.encode(t or "")) for i, t in zip(ids, texts)))
+    assert "".join(pieces.words(pieces.cutter(path), texts[2])) == "▁" + texts[2].replace(" ", "▁")
+
+
 def test_unigram_lattice_takes_the_best_path(spark):
     score = {"a": -3.0, "b": -3.0, "ab": -5.0, "ba": -1.0, "aba": -7.0, "c": -2.0}
     table = spark.createDataFrame([(p, i, s) for i, (p, s) in enumerate(score.items())], "piece string, id int, score double")
