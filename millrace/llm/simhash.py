@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, sized
+from .common import bitmap, components, materialize, sized
+from .paragraphs import _bucket_links as _set_links
+from .paragraphs import _mix, tune_bands
 
 #: Members of a bucket that one task compares at once; larger buckets go the way of _midpoints.
 BUCKET_ROWS = 4096
@@ -152,36 +154,59 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, seed: i
     return fps.join(table, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Bits of the long fingerprint by which near copies are verified, in longs.
+#: Bits of the long fingerprint that rejects pairs before the exact comparison, in longs.
 LONG = 4
-#: Seeds of the short fingerprints over a text's set of words, by which they are looked up.
-LOOKUPS = 2
+#: MinHash values of a band, by which near copies are looked up.
+ROWS = 4
+#: Shingles of a group of candidates that one task compares at once; larger groups are cut and compared by pairs of parts.
+GROUP_SHINGLES = 1 << 21
 
 
-def bits_apart(similarity: float) -> int:
-    """The most bits in which long fingerprints of two texts with this Jaccard similarity of shingles are expected to differ."""
+def bits_apart(similarity: float, deviations: float = 0.0) -> int:
+    """The bits in which long fingerprints of two texts with this Jaccard similarity of shingles are expected to differ, and so many standard deviations more."""
     import math
 
-    return round(64 * LONG * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(64 * LONG * p + deviations * math.sqrt(64 * LONG * p * (1 - p)))
 
 
-def sketch(text: str | None, width: int = 5) -> list[int]:
-    """LONG longs of SimHash over word shingles, then LOOKUPS longs over the set of words; zeros for a text without words."""
+def shingle_set(text: str | None, width: int = 5):
+    """The sorted XXH64 of the different word shingles of `text`; fewer than `width` words are one shingle, none give none."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return [0] * (LONG + LOOKUPS)
+        return np.empty(0, np.uint64)
     line, k = b" ".join(words), min(width, len(words))
     at = [0]
     for w in words:
         at.append(at[-1] + len(w) + 1)
-    sh = np.array([xxh64_intdigest(line[a : b - 1], 42) for a, b in zip(at, at[k:])], dtype=np.uint64)
-    own = np.array([xxh64_intdigest(w, 7) for w in set(words)], dtype=np.uint64)
+    return np.unique(np.array([xxh64_intdigest(line[a : b - 1], 42) for a, b in zip(at, at[k:])], dtype=np.uint64))
+
+
+def set_name(sh) -> int:
+    """A long that equal shingle sets share."""
+    from xxhash import xxh64_intdigest
+
+    v = xxh64_intdigest(sh.tobytes(), 3)
+    return v - (1 << 64) if v >> 63 else v
+
+
+def sketch(sh, bands: int) -> tuple[list[int], list[int]]:
+    """LONG longs of SimHash over a shingle set, and its MinHash bands; no shingles have no bands."""
+    import numpy as np
+
+    if not len(sh):
+        return [0] * LONG, []
+    k = bands * ROWS
+    mul = np.random.default_rng(21).integers(1 << 62, size=k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    low = np.full(k, np.iinfo(np.uint64).max, np.uint64)
+    for j in range(0, len(sh), 1 << 13):
+        part = sh[j : j + (1 << 13), None]
+        low = np.minimum(low, ((part ^ (part >> np.uint64(29))) * mul[None, :]).min(0))
     mixed = lambda h, j: (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * j * 0x632BE59BD9B4E019 & (1 << 64) - 1 | 1)
-    spread = lambda h, j: mixed(mixed(h, j), j + 5)
-    return [_majority(spread(sh, j)) for j in range(LONG)] + [_majority(spread(own, j)) for j in range(LOOKUPS)]
+    return [_majority(mixed(mixed(sh, j), j + 5)) for j in range(LONG)], [_mix(x, j) for j, x in enumerate(low.reshape(bands, ROWS))]
 
 
 def _verified_buckets(limit: int):
@@ -215,35 +240,57 @@ def _verified_buckets(limit: int):
     return run
 
 
+def _candidate_sets(member):
+    """Batches of (doc_id, text) to (node, h, set): the shingle sets of the documents whose id the bitmap holds."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from .common import BITMAP_BITS
+
+        bits = np.frombuffer(member.value, np.uint8)
+        for b in batches:
+            ids, hashes, sets = [], [], []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                at = i & ((1 << BITMAP_BITS) - 1)
+                if bits[at >> 3] >> (at & 7) & 1 and len(sh := shingle_set(text)):
+                    ids.append(i), hashes.append(set_name(sh)), sets.append(sh.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "h", "set"])
+
+    return run
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """docs(doc_id, text) to (doc_id, component_id): documents alike by their shingles of five words.
 
-    A fingerprint over shingles alone differs in about ten of 64 bits at a
-    similarity of 0.8, more than small Hamming balls reach. So the table is looked
-    up by fingerprints over the set of words, of which an edit changes less: those
-    within 5 bits meet in a ball of radius 1 around one of two segments (as in
-    near_fingerprints). What meets is verified by the complete distance of the long
-    fingerprint over shingles, at most bits_apart(similarity). Equal long
-    fingerprints are one node. Buckets beyond bucket_rows are compared by joins: all
-    with the smallest, then those that differ from it with all.
+    A fingerprint over shingles differs in about ten of 64 bits at a similarity of
+    0.8, more than small Hamming balls reach. So documents meet by MinHash bands
+    over the shingles, whose recall depends on the similarity alone, not on where
+    the edits are. What meets is rejected if the SimHash of 256 bits is six standard
+    deviations beyond the distance expected at `similarity`; the groups of the rest
+    are settled by exact Jaccard. Equal shingle sets are one node. Buckets beyond
+    bucket_rows are compared by joins: all with the smallest, then those that differ
+    from it with all. Groups beyond bucket_rows or GROUP_SHINGLES are cut into parts,
+    and every pair of parts is compared in full.
     """
     s = [f"s{j}" for j in range(LONG)]
-    w = [f"w{j}" for j in range(LOOKUPS)]
+    bands = tune_bands(similarity, rows=ROWS)
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            rows = [sketch(t) for t in b.column(1).to_pylist()]
-            cols = [pa.array([r[j] for r in rows], pa.int64()) for j in range(LONG + LOOKUPS)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", *s, *w])
+            sets = [shingle_set(t) for t in b.column(1).to_pylist()]
+            rows = [sketch(x, bands) for x in sets]
+            cols = [pa.array([r[0][j] for r in rows], pa.int64()) for j in range(LONG)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_name(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *cols, pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["doc_id", "h", "size", *s, "bands"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    all_rows = materialize(d.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in s + w)))
-    nodes = materialize(all_rows.groupBy(*s).agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in w]))
-    limit, spread = bits_apart(similarity), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    balls = [_ball(f"(shiftrightunsigned(w{j}, 32))", 32, 2 * j) + ", " + _ball(f"(w{j} & 4294967295)", 32, 2 * j + 1) for j in range(LOOKUPS)]
-    keyed = nodes.where("node IS NOT NULL").select("node", *w).repartition(spread, "node").select("node", F.explode(F.expr(f"concat({', '.join(balls)})")).alias("key"))
+    all_rows = materialize(d.mapInArrow(run, "doc_id long, h long, size long, " + ", ".join(f"{c} long" for c in s) + ", bands array<long>"))
+    nodes = materialize(all_rows.groupBy("h").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("size", *s, "bands")]))
+    limit = bits_apart(similarity, 6)
+    keyed = nodes.where("node IS NOT NULL").select("node", F.explode("bands").alias("key"))
     shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1"))
     hits = materialize(keyed.join(shared, "key"))
     buckets = hits.where(F.col("n") <= bucket_rows).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
@@ -257,9 +304,26 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, bucket_rows: int = BUC
         rest = large.join(first.where("NOT same").select(F.col("u").alias("node"), F.col("v").alias("low")), ["node", "low"], "left_semi").select("key", F.col("node").alias("u"))
         more = rest.join(large.select("key", F.col("node").alias("v")), "key").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         edges = edges.union(first.where("same").select("u", "v")).union(of(more).where("same").select("u", "v"))
-    comp = components(edges.distinct())
-    table = materialize(nodes.join(comp, "node", "left").select(*s, F.coalesce("component", "node").alias("component_id")))
-    return all_rows.join(table, s).select("doc_id", "component_id")
+    comp = components(_exact(d, nodes.select("node", "h", "size"), edges, similarity, bucket_rows))
+    table = materialize(nodes.join(comp, "node", "left").select("h", F.coalesce("component", "node").alias("component_id")))
+    return all_rows.select("doc_id", "h").join(table, "h").select("doc_id", "component_id")
+
+
+def _exact(docs: DataFrame, nodes: DataFrame, edges: DataFrame, similarity: float, group_rows: int) -> DataFrame:
+    """Edges (u, v) whose components are those of all pairs with this Jaccard similarity within a component of `edges`.
+
+    nodes: (node, h, size). A node's shingles go to its group once, or once for each part of a group that is too large for a task.
+    """
+    group = materialize(components(edges).select("node", F.col("component").alias("grp")))
+    placed = materialize(nodes.join(group, "node"))
+    parts = placed.groupBy("grp").agg(F.greatest(F.ceil(2 * F.count("*") / group_rows), F.ceil(2 * F.sum("size") / GROUP_SHINGLES)).alias("parts"), F.count("*").alias("n"), F.sum("size").alias("all"))
+    parts = materialize(parts.select("grp", F.when((F.col("n") <= group_rows) & (F.col("all") <= GROUP_SHINGLES), F.lit(1)).otherwise(F.col("parts")).cast("int").alias("parts")))
+    own = placed.join(parts, "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
+    pairs = own.select("node", "h", F.explode(F.expr("transform(sequence(0, parts - 1), k -> xxhash64(grp, least(own, bigint(k)), greatest(own, bigint(k))))")).alias("bucket"))
+    member = docs.sparkSession.sparkContext.broadcast(bitmap(group.select("node"), "node"))
+    sets = materialize(docs.where("doc_id IS NOT NULL").mapInArrow(_candidate_sets(member), "node long, h long, set array<long>").groupBy("node", "h").agg(F.first("set").alias("set")))
+    rows = pairs.join(sets, ["node", "h"]).select("bucket", "node", "set")
+    return materialize(rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_set_links(similarity), "u long, v long").distinct())
 
 
 def simhash_dedup(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

@@ -162,6 +162,40 @@ def test_near_copies(spark):
     assert simhash.simhash_dedup(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_near_copies_of_every_kind_of_edit(spark):
+    def shingles(w):
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    def alike(a, b):
+        a, b = shingles(a), shingles(b)
+        return len(a & b) / len(a | b)
+
+    texts, want = {}, {}
+    for k in range(160):
+        rng = random.Random(k)
+        n = rng.randint(80, 400)
+        w = prose(n, 5000 + k).split()
+        x = [f"new{k}x{j}" for j in range(n)]
+        at = rng.randrange(n)
+        cut = int(n * 0.2)
+        if k % 5 == 3:
+            edited = list(w)
+            for j in rng.sample(range(n), max(1, n // 55)):
+                edited[j] = x[j]
+        else:
+            edited = [w + x[: int(n * 0.22)], x[: int(n * 0.22)] + w, w[: n - int(n * 0.18)], None, w[:at] + x[:cut] + w[at:]][k % 5]
+        texts[k], texts[1000 + k] = " ".join(w), " ".join(edited)
+        want[k] = alike(w, edited) >= 0.8
+    assert sum(want.values()) > 120
+    for k in range(20):  # just below: no links
+        w = prose(100, 7000 + k).split()
+        texts[2000 + k], texts[3000 + k] = " ".join(w), " ".join(w + [f"odd{k}x{j}" for j in range(30)])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs(spark, list(texts.values()), list(texts))).collect()}
+    found = sum(got[1000 + k] == k for k, y in want.items() if y)
+    assert found >= 0.97 * sum(want.values())
+    assert all(got[1000 + k] == 1000 + k for k, y in want.items() if not y) and all(got[3000 + k] == 3000 + k for k in range(20))
+
+
 def test_substring_dedup(spark):
     passage, near = prose(70, 900), prose(80, 901)
     near2 = near.split()
