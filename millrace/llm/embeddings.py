@@ -52,13 +52,13 @@ def _numbered(batches):
 
 
 def _compare(cosine: float):
-    """Rows (block, own, label, node, v) sorted by block to pairs of nodes: all of a block's own rows with all its rows."""
+    """Rows (block, own, label, node, v) sorted by block to a forest with the components of the pairs of a block's own rows with all its rows."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def pairs(rows):
+        def forest(rows):
             u, v = [], []
             groups: dict = {}
             for r in rows:
@@ -67,30 +67,91 @@ def _compare(cosine: float):
                 x = np.array([r[4] for r in own], np.float64)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 core = np.flatnonzero([r[1] for r in own])
-                ids = np.array([r[3] for r in own])
+                ids, near = [r[3] for r in own], np.arange(len(own))
                 for s in range(0, len(core), 256):
-                    a, b = np.nonzero(x[core[s : s + 256]] @ x.T >= cosine)
-                    a = core[s + a]
-                    ok = ids[a] != ids[b]
-                    u.append(np.maximum(ids[a], ids[b])[ok]), v.append(np.minimum(ids[a], ids[b])[ok])
-            e = np.unique(np.stack([np.concatenate(u), np.concatenate(v)]), axis=1) if u else np.empty((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(e[0], pa.int64()), pa.array(e[1], pa.int64())], ["u", "v"])
+                    part = core[s : s + 256]
+                    hits = x[part] @ x.T >= cosine
+                    for i, hit in zip(part[hits.sum(1) > 1], hits[hits.sum(1) > 1]):
+                        at = np.flatnonzero(hit)
+                        for label in np.unique(near[at]):
+                            if label != near[i]:
+                                j = at[near[at] == label][0]
+                                u.append(max(ids[i], ids[j])), v.append(min(ids[i], ids[j]))
+                                near[near == label] = near[i]
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         held: list[tuple] = []
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 if held and held[0][0] != row[0]:
-                    yield pairs(held)
+                    yield forest(held)
                     held = []
                 held.append(row)
         if held:
-            yield pairs(held)
+            yield forest(held)
 
     return run
 
 
+def _counted_links(cosine: float):
+    """Rows (bucket, part, node, copies, v) sorted by bucket, of one or two parts of a component, to (node, more): the copies that each node links with."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def counts(rows):
+            x = np.array([r[4] for r in rows], np.float64)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            part, copies = np.array([r[1] for r in rows]), np.array([r[3] for r in rows], np.int64)
+            more = np.zeros(len(rows), np.int64)
+            one = np.flatnonzero(part == part.min())
+            other = np.flatnonzero(part != part.min())
+            for s in range(0, len(one), 256):
+                i = one[s : s + 256]
+                if len(other):
+                    hit = x[i] @ x[other].T >= cosine
+                    more[i] += hit @ copies[other]
+                    more[other] += copies[i] @ hit
+                else:
+                    hit = x[i] @ x.T >= cosine
+                    hit[np.arange(len(i)), i] = False
+                    more[i] += hit @ copies
+            return pa.RecordBatch.from_arrays([pa.array([r[2] for r in rows], pa.int64()), pa.array(more)], ["node", "more"])
+
+        held: list[tuple] = []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if held and held[0][0] != row[0]:
+                    if held[0][5] or held[0][1] != held[-1][1]:
+                        yield counts(held)
+                    held = []
+                held.append(row)
+        if held and (held[0][5] or held[0][1] != held[-1][1]):
+            yield counts(held)
+
+    return run
+
+
+def link_counts(classes: DataFrame, comp: DataFrame, cosine: float, part_rows: int = BLOCK) -> DataFrame:
+    """classes(node, copies, v) and comp(node, component) to (node, more): with how many copies of other nodes of its component each node links.
+
+    Every component is compared in full: it is cut into parts of about part_rows
+    nodes, and a task compares two parts, or one with itself. What goes out is a
+    count a node and task, no pairs.
+    """
+    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = comp.groupBy("component").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
+    own = materialize(comp.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
+    meets = own.select("node", "component", "part", F.explode(F.expr("sequence(0, parts - 1)")).alias("other"))
+    meets = meets.select("node", "part", F.xxhash64("component", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"), (F.col("part") == F.col("other")).alias("self"))
+    rows = meets.join(classes, "node").select("bucket", "part", "node", "copies", "v", "self")
+    got = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "part").mapInArrow(_counted_links(cosine), "node long, more long")
+    return materialize(got.groupBy("node").agg(F.sum("more").alias("more")))
+
+
 def links(vectors: DataFrame, cosine: float = 0.98, passes: int = PASSES) -> DataFrame:
-    """vectors(node, label, v), all different, to distinct (u, v), u > v: pairs of a label found with a cosine of `cosine` or more.
+    """vectors(node, label, v), all different, to distinct (u, v), u > v: a forest with the components of the pairs of a label found with a cosine of `cosine` or more.
 
     Every pass sorts all vectors by label, dimension and hash. A row's number in
     that order is its place in its sorted partition plus the rows of those before,
@@ -120,17 +181,15 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.98, passes: int = PASS
     Only vectors of equal labels are compared. Vectors that are null, zero or hold
     null or non-finite components, and those with a null label, link with nothing.
     Copies are one node and link with each other; a node's links count with its
-    copies, so a group of copies costs no pairs.
+    copies, so a group of copies costs no pairs. The passes only have to connect a
+    group: its links are counted by comparing all of its vectors.
     """
     e = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"), F.col("label").cast("int").alias("label"))
     fine = F.col("label").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     e = e.withColumn("class", F.when(F.coalesce(fine, F.lit(False)), F.xxhash64("label", "v")))
     classes = materialize(e.where("class IS NOT NULL AND vec_id IS NOT NULL").groupBy("class").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")))
-    pairs = links(classes.select("node", "label", "v"), cosine, passes)
-    comp = components(pairs)
-    copies = classes.select(F.col("node").alias("v"), "copies")
-    both = pairs.union(pairs.select("v", "u"))
-    more = both.join(copies, "v").groupBy(F.col("u").alias("node")).agg(F.sum("copies").alias("more"))
+    comp = materialize(components(links(classes.select("node", "label", "v"), cosine, passes)))
+    more = link_counts(classes.select("node", "copies", "v"), comp, cosine)
     found = classes.select("class", "node", "copies").join(more, "node", "left").join(comp, "node", "left")
     found = materialize(found.select(F.col("class").alias("_class"), (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id")))
     out = e.select("vec_id", "class").join(sized(found), F.col("class") == F.col("_class"), "left")

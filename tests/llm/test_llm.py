@@ -292,6 +292,24 @@ def test_embeddings(spark):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_a_dense_group_beyond_the_window(spark):
+    rng = np.random.default_rng(9)
+    center, n = rng.normal(size=32), 9000
+    x = np.concatenate([center + rng.normal(size=(n, 32)) * 0.1, rng.normal(size=(600, 32))]).astype(np.float32)
+    copies = x[:5]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, copies]))]
+    y = np.concatenate([x, copies]).astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    near = y @ y.T >= 0.98
+    want = near.sum(1) - 1
+    assert (want[:n] > 3000).mean() > 0.5 and not near[:n, :n].all()
+    got = {r["vec_id"]: r for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    have = np.array([got[i]["n_links"] for i in range(len(rows))])
+    assert (np.abs(have - want) <= 1).all() and have.sum() >= 0.999 * want.sum()
+    linked = [i for i in range(n) if want[i] > 10]
+    assert {got[i]["component_id"] for i in linked} == {min(linked)}
+
+
 def test_url_filter(spark):
     bad = [(k, f"http://casino{k % 2}.example.net/p/{k}") for k in range(60)]
     odd = [None, "", "no scheme", "HTTP://WWW.Example.ORG/es/1?x#y", "http://example.org", "https://a.b.com/fr/x", "x://com/de/", "http://h.com?q=/de/", "http://a.org/en/1", "http://sub.example.org/en/12", "http://ÀB.Net/Ä", "http://notcom/de/"]
