@@ -50,18 +50,21 @@ def frequent_itemsets(pairs: DataFrame, support: int, max_size: int | None = Non
     return out
 
 
-def son_candidates(pairs: DataFrame, support: int, partitions: int, max_size: int = 3) -> DataFrame:
-    """itemsets frequent in some of `partitions` parts of the baskets at ceil(support / partitions): SON's first phase."""
+def son_candidates(pairs: DataFrame, support: int, partitions: int, max_size: int | None = None) -> DataFrame:
+    """itemsets frequent in some of `partitions` parts of the baskets at ceil(support / partitions): SON's first phase. Sizes grow until no part has a set left."""
     local = -(-support // partitions)
-    out = None
+    out, size = None, 0
     part = pairs.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(partitions)))
     level = part.select("part", "key", F.array("item").alias("itemset"), F.col("item").alias("last"))
     ones = part.select("part", "key", "item")
-    for _ in range(max_size):
-        found = level.groupBy("part", "itemset").agg(F.count("*").alias("n")).where(F.col("n") >= local)
+    while max_size is None or size < max_size:
+        found = cut(level.groupBy("part", "itemset").agg(F.count("*").alias("n")).where(F.col("n") >= local))
         out = found.select("itemset") if out is None else out.union(found.select("itemset"))
-        kept = level.join(found.select("part", "itemset"), ["part", "itemset"], "left_semi")
+        if not found.limit(1).count():
+            break
+        kept = cut(level.join(found.select("part", "itemset"), ["part", "itemset"], "left_semi"))
         level = kept.join(ones, ["part", "key"]).where(F.col("item") > F.col("last")).select("part", "key", F.concat("itemset", F.array("item")).alias("itemset"), F.col("item").alias("last"))
+        size += 1
     return out.distinct()
 
 

@@ -67,6 +67,13 @@ def test_frequent_itemsets_match_brute_force_and_all_paths_agree(spark):
         assert parts > 1 or cand == set(want)
 
 
+def test_son_candidates_of_every_size(spark):
+    pairs = spark.createDataFrame([(k, i) for k in range(12) for i in "abcde"], "key long, item string")
+    want = {c for n in range(1, 6) for c in itertools.combinations("abcde", n)}
+    assert {tuple(r[0]) for r in itemsets.son_candidates(pairs, 12, 1).collect()} == want
+    assert itemsets.son_candidates(pairs.limit(0), 3, 2).count() == 0
+
+
 def test_baskets(spark):
     df = spark.createDataFrame([("u", "x"), ("u", "x"), ("u", "y"), ("v", "x")], "a string, b string")
     assert rows(itemsets.baskets(itemsets.pairs_of_case(df, "a", "b", 1), "key", "item", 1), "key", "items") == [("u", ["x", "y"])]
