@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, sized
+from .common import materialize
 
 SPACE = "▁"
-#: Words of more characters are encoded by the library: a lattice's fold copies its state at each position.
-LONG_WORD = 200
 #: Encodings of at most so many words, of at most so many characters each, go to every task, whatever the input's size.
-FREQUENT, FREQUENT_CHARS = 1 << 17, 32
+FREQUENT, FREQUENT_CHARS = 1 << 20, 32
 #: Different words that a task counts before it hands them on.
-HELD_WORDS = 200_000
+HELD_WORDS = 1_000_000
 #: Words whose lattices a task builds, about.
-TASK_WORDS = 16_000
+TASK_WORDS = 32_000
+#: Characters cut into words at once; longer texts are parted before a space.
+CHUNK = 1 << 21
+#: Positions of a word that one inner fold takes: a fold copies its state at every position.
+SEGMENT = 64
+#: Answers about pairs of pieces that a Python worker keeps.
+KNOWN_PAIRS = 4_000_000
 
 
 def processor(path: str):
@@ -29,30 +30,80 @@ def processor(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def piece_table(spark: SparkSession, path: str) -> DataFrame:
+@lru_cache(maxsize=2)
+def ordinary_pieces(path: str) -> list[tuple[str, int, float]]:
     """(piece, id, score) of all ordinary pieces: a table of the model's fixed size."""
     sp = processor(path)
-    rows = [(sp.id_to_piece(i), i, float(sp.get_score(i))) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i) or sp.is_unused(i))]
-    return spark.createDataFrame(rows, "piece string, id int, score double")
+    skip = (sp.is_control, sp.is_byte, sp.is_unknown, sp.is_unused)
+    return [(sp.id_to_piece(i), i, float(sp.get_score(i))) for i in range(sp.get_piece_size()) if not any(f(i) for f in skip)]
 
 
-@lru_cache(maxsize=2)
-def cutter(path: str):
-    """A pattern whose matches are a text's words: cut before runs of SPACE, and between letters and others where no piece has both.
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """ordinary_pieces() as a table."""
+    return spark.createDataFrame(ordinary_pieces(path), "piece string, id int, score double")
 
-    No piece holds a SPACE after another character, so no piece crosses a cut;
-    if some piece holds a letter beside another character, words are cut before SPACE alone.
+
+class Cutter:
+    """Cuts texts into words: between two characters that no piece has side by side.
+
+    No piece, hence no merge, crosses such a cut, so words are encoded one by one
+    with the same result. No piece has a SPACE after another character, so every
+    word of a text is cut off there too.
     """
-    sp = processor(path)
-    names = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))]
-    odd = "".join(sorted({c for p in names for c in p if re.match(r"[^\W\d_]", c) and not c.isalpha()}))
-    rx = re.compile(f"{SPACE}*[^\\W\\d_{odd}]+|{SPACE}*(?:[\\d_{odd}]|[^\\w{SPACE}])+|{SPACE}+")
-    return rx if all(rx.fullmatch(p) for p in names) and all(len(rx.findall(p)) == 1 for p in names) else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
+    def __init__(self, names):
+        import numpy as np
+
+        inner = sorted({c for n in names if len(n) > 1 for c in n})
+        self.number = np.zeros(0x110000, np.uint16)
+        self.number[[ord(c) for c in inner]] = np.arange(1, len(inner) + 1)
+        self.side = np.zeros((len(inner) + 1, len(inner) + 1), bool)
+        for n in names:
+            k = self.number[[ord(c) for c in n]]
+            self.side[k[:-1], k[1:]] = True
+        self.side[0], self.side[:, 0] = False, False
+        self.spaced = not any(SPACE in n.lstrip(SPACE) for n in names)
+
+    def parts(self, texts):
+        """Texts to lists of (row, string) of about CHUNK characters in all; spaces as SPACE, one before each text; none of empty texts."""
+        held, size = [], 0
+        for row, text in enumerate(texts):
+            s = SPACE + text.replace(" ", SPACE) if text else ""
+            while s:
+                end = s.rfind(SPACE, 1, CHUNK) if self.spaced and len(s) > CHUNK else len(s)
+                while 0 < end < len(s) and s[end - 1] == SPACE:  # runs of spaces stay whole
+                    end -= 1
+                end = end if end > 0 else len(s)
+                held.append((row, s[:end]))
+                size, s = size + end, s[end:]
+                if size >= CHUNK:
+                    yield held
+                    held, size = [], 0
+        if held:
+            yield held
+
+    def words(self, strings):
+        """(words, counts): all words of the strings in order, as an Arrow array, and how many each string has."""
+        import numpy as np
+        import pyarrow as pa
 
-def words(rx, text: str | None) -> list[str]:
-    """A text's words as the model sees them: a space before it, spaces as SPACE; none of an empty text."""
-    return rx.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        whole = "".join(strings)
+        data = whole.encode()
+        code = self.number[np.frombuffer(whole.encode("utf-32-le"), np.uint32)]
+        cut = np.ones(len(code), bool)
+        cut[1:] = ~self.side[code[:-1], code[1:]]
+        first = np.concatenate(([0], np.cumsum([len(s) for s in strings])))
+        cut[first[:-1]] = True
+        lead = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+        offsets = np.concatenate((lead[cut], [len(data)])).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data))
+        before = np.concatenate(([0], np.cumsum(cut)))
+        return words, np.diff(before[first])
+
+
+@lru_cache(maxsize=2)
+def cutter(path: str) -> Cutter:
+    return Cutter([p for p, _, _ in ordinary_pieces(path)])
 
 
 class Merges:
@@ -65,10 +116,12 @@ class Merges:
     """
 
     def __init__(self, pieces: dict[str, float]):
+        import numpy as np
+
         self.score = pieces
         self.parts: dict[str, tuple] = {}
         self.sides: dict[tuple, list] = {}
-        self.known: dict[int, bool] = {}
+        self.asked, self.answer = np.empty(0, np.int64), np.empty(0, bool)
 
     def split(self, piece: str):
         """The two pieces that merged to this one; none for a character."""
@@ -106,185 +159,267 @@ class Merges:
                     return False
         return True
 
+    def known(self, pairs, names):
+        """allowed() of sorted pairs ((a + 1) << 32 | b + 1, by id; an id of -1 goes with any); answers are kept as arrays."""
+        import numpy as np
 
-#: Answers about pairs of pieces that a Python worker keeps.
-KNOWN_PAIRS = 2_000_000
+        at = np.minimum(np.searchsorted(self.asked, pairs), max(0, len(self.asked) - 1))
+        old = self.asked[at] == pairs if len(self.asked) else np.zeros(len(pairs), bool)
+        out = np.zeros(len(pairs), bool)
+        out[old] = self.answer[at[old]]
+        new = pairs[~old]
+        if len(new):
+            ids = [((c >> 32) - 1, (c & 0xFFFFFFFF) - 1) for c in new.tolist()]
+            got = np.array([a < 0 or b < 0 or self.allowed(names[a], names[b]) for a, b in ids], bool)
+            out[~old] = got
+            if len(self.asked) > KNOWN_PAIRS:
+                self.asked, self.answer = new, got
+            else:
+                place = np.searchsorted(self.asked, new)
+                self.asked, self.answer = np.insert(self.asked, place, new), np.insert(self.answer, place, got)
+        return out
 
 
 @lru_cache(maxsize=2)
 def _merges(path: str):
     """Piece names by id, and a worker's Merges."""
-    sp = processor(path)
-    names = {i: sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))}
-    return names, Merges({p: sp.get_score(i) for i, p in names.items()})
+    return {i: p for p, i, _ in ordinary_pieces(path)}, Merges({p: s for p, _, s in ordinary_pieces(path)})
+
+
+class Joiner:
+    """The piece table, sorted by length and hash: what substrings are joined with."""
+
+    MUL = 0x9E3779B97F4A7C15
+
+    def __init__(self, pieces):
+        import numpy as np
+
+        self.longest = max((len(p) for p, _, _ in pieces), default=1)
+        self.tables = {}
+        for n in range(1, self.longest + 1):
+            own = [x for x in pieces if len(x[0]) == n]
+            if own:
+                codes = np.array([[ord(c) for c in p] for p, _, _ in own], np.uint64)
+                h = self.start(codes[:, 0])
+                for j in range(1, n):
+                    h = self.longer(h, codes[:, j])
+                order = np.argsort(h)
+                ids, scores = np.array([i for _, i, _ in own], np.int32), np.array([s for _, _, s in own])
+                self.tables[n] = (h[order], codes[order].astype(np.uint32), ids[order], scores[order])
+
+    def start(self, c):
+        import numpy as np
 
+        return (c.astype(np.uint64) + np.uint64(1)) * np.uint64(self.MUL)
 
-def _before(w, e, s, ids, names, merges):
-    """For edges by word and end: (edge, piece before) of all that may stand side by side, by edge."""
+    def longer(self, h, c):
+        import numpy as np
+
+        return (h ^ (h >> np.uint64(29))) * np.uint64(self.MUL) + c.astype(np.uint64)
+
+    def edges(self, code, last):
+        """Characters of words laid end to end, and where the word of each ends, to (end, length, id, score) by end and length.
+
+        Substrings of every length that stay in their word are hashed and looked up among
+        the pieces of that length; a hit's characters are compared. A character that is
+        no piece gets an edge with id -1.
+        """
+        import numpy as np
+
+        n, out = len(code), []
+        at, h = np.arange(n), self.start(code)
+        for size in range(1, self.longest + 1):
+            if size > 1:
+                stay = at + size <= last[at]
+                at = at[stay]
+                h = self.longer(h[stay], code[at + size - 1])
+            if size not in self.tables:
+                if size == 1:
+                    out.append((at + 1, np.full(n, 1), np.full(n, -1, np.int32), np.full(n, -1e6)))
+                continue
+            hashes, codes, ids, scores = self.tables[size]
+            k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            hit = hashes[k] == h
+            for j in range(size):
+                hit[hit] = codes[k[hit], j] == code[at[hit] + j]
+            if size == 1:
+                out.append((at + 1, np.full(n, 1), np.where(hit, ids[k], -1).astype(np.int32), np.where(hit, scores[k], -1e6)))
+            else:
+                out.append((at[hit] + size, np.full(int(hit.sum()), size), ids[k[hit]], scores[k[hit]]))
+        end, length, ids, scores = (np.concatenate(x) for x in zip(*out))
+        order = np.argsort(end * 64 + length, kind="stable")
+        return end[order], length[order], ids[order], scores[order]
+
+
+def _before(end, length, ids, first, names, merges):
+    """For edges by end: (edge, id before) of all that may stand side by side, by edge. first: where an edge's word begins."""
     import numpy as np
 
-    end = w * (1 << 20) + e
-    start = w * (1 << 20) + s
+    start = end - length
     lo, hi = np.searchsorted(end, start, "left"), np.searchsorted(end, start, "right")
-    n = np.where(s > 0, hi - lo, 0)
-    at = np.repeat(np.arange(len(e)), n)
+    n = np.where(start > first, hi - lo, 0)
+    at = np.repeat(np.arange(len(end)), n)
     prev = ids[np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
     pairs, which = np.unique((prev.astype(np.int64) + 1 << 32) | (ids[at].astype(np.int64) + 1), return_inverse=True)
-    known = merges.known
-    if len(known) > KNOWN_PAIRS:
-        known.clear()
-    answers = []
-    for c in pairs.tolist():
-        if (ok := known.get(c)) is None:
-            a, b = (c >> 32) - 1, (c & 0xFFFFFFFF) - 1
-            ok = known[c] = a < 0 or b < 0 or merges.allowed(names[a], names[b])
-        answers.append(ok)
-    keep = np.array(answers, bool)[which] if len(at) else np.zeros(0, bool)
+    keep = merges.known(pairs, names)[which] if len(at) else np.zeros(0, bool)
     return at[keep], prev[keep]
 
 
-def lattice(vocabulary: DataFrame, pieces: DataFrame, path: str, bpe: bool = True, parts: int | None = None) -> DataFrame:
-    """vocabulary(word), distinct, to (word, edges): array of (e, s, id, score, prev), by end and start.
+EDGES = "array<array<array<struct<length:int,id:int,score:double,prev:array<int>>>>>"
+
+
+def lattice(vocabulary: DataFrame, pieces: list[tuple[str, int, float]], path: str | None = None) -> DataFrame:
+    """vocabulary(word) to (word, edges): its lattice by end position, in segments of SEGMENT positions.
 
-    Substrings of up to the longest piece's characters are exploded and joined
-    with the piece table; a character that is no piece has an edge with id -1.
-    Words are dealt out before they are exploded, so that edges are grouped where they are.
-    prev: ids of pieces that may stand before, for a byte-pair model; else null.
+    Every substring of up to the longest piece's characters is made and joined with
+    pieces (piece, id, score), in columns of a batch of words; its edges are grouped
+    by word and end. path: of a byte-pair model, whose edges also hold the ids that may
+    stand before (prev); else null. Null and empty words have no edges.
     """
-    longest = int(pieces.agg(F.max(F.length("piece"))).first()[0])
-    n = F.length("word")
-    spans = (vocabulary.repartition(parts, "word") if parts else vocabulary.repartition("word")).select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s")).select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + longest))).alias("e"))
-    spans = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s")))
-    hit = spans.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR e = s + 1")
-    edge = F.struct("e", "s", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(-1e6)).alias("score"))
-    grouped = hit.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    kind = "array<struct<e:int,s:int,id:int,score:double,prev:array<int>>>"
-    if not bpe:
-        return grouped.select("word", F.transform("edges", lambda x: F.struct(x["e"].alias("e"), x["s"].alias("s"), x["id"].alias("id"), x["score"].alias("score"), F.lit(None).cast("array<int>").alias("prev"))).alias("edges"))
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        names, merges = _merges(path)
+        joiner = Joiner(pieces)
+        names, merges = _merges(path) if path else (None, None)
+        offsets = lambda n: pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
         for b in batches:
-            lists = b.column(1)
-            sizes = np.asarray(lists.value_lengths())
-            flat = lists.flatten()
-            e, s, ids, score = (np.asarray(x) for x in flat.flatten())
-            edge, prev = _before(np.repeat(np.arange(len(sizes)), sizes), e, s, ids, names, merges)
-            inner = np.concatenate(([0], np.cumsum(np.bincount(edge, minlength=len(e)))))
-            before = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(prev, pa.int32()))
-            edges = pa.StructArray.from_arrays([pa.array(e, pa.int32()), pa.array(s, pa.int32()), pa.array(ids, pa.int32()), pa.array(score, pa.float64()), before], ["e", "s", "id", "score", "prev"])
-            outer = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(outer, edges)], ["word", "edges"])
-
-    return grouped.mapInArrow(run, f"word string, edges {kind}")
-
-
-def viterbi(lattices: DataFrame) -> DataFrame:
-    """(word, path): array of (s, id) of the best path through each lattice.
-
-    A fold over the edges, by end, keeps for every position the best score, and
-    the edge that reaches it, of paths whose neighbours are allowed; a second one
-    goes back from the end.
+            ws = [w or "" for w in b.column(0).to_pylist()]
+            size = np.array([len(w) for w in ws], np.int64)
+            code = np.frombuffer("".join(ws).encode("utf-32-le"), np.uint32)
+            ends = np.cumsum(size)
+            end, length, ids, scores = joiner.edges(code, np.repeat(ends, size))
+            if path:
+                first = np.repeat(ends - size, size)[end - 1]
+                at, prev = _before(end, length, ids, first, names, merges)
+                before = pa.ListArray.from_arrays(offsets(np.bincount(at, minlength=len(end))), pa.array(prev, pa.int32()))
+            else:
+                before = pa.nulls(len(end), pa.list_(pa.int32()))
+            edge = pa.StructArray.from_arrays([pa.array(length, pa.int32()), pa.array(ids, pa.int32()), pa.array(scores, pa.float64()), before], ["length", "id", "score", "prev"])
+            by_end = pa.ListArray.from_arrays(offsets(np.bincount(end - 1, minlength=len(code))), edge)
+            rows = (size + SEGMENT - 1) // SEGMENT
+            full = np.full(int(rows.sum()), SEGMENT)
+            full[np.cumsum(rows)[rows > 0] - 1] = (size - (rows - 1) * SEGMENT)[rows > 0]
+            segments = pa.ListArray.from_arrays(offsets(full), by_end)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets(rows), segments)], ["word", "edges"])
+
+    return vocabulary.select("word").mapInArrow(run, f"word string, edges {EDGES}")
+
+
+def viterbi(lattices: DataFrame, longest: int) -> DataFrame:
+    """(word, cells): for every end position the length and id of the last edge of the best path to it.
+
+    A fold over the end positions keeps the best score, and the edge that reaches it, of
+    paths whose neighbours are allowed. It runs over segments, of which the next one
+    sees the last `longest` cells, so that its state stays short in words of any length.
     """
-    cell = "struct<score:double,s:int,id:int>"
-    start = F.expr(f"array(CAST(named_struct('score', 0D, 's', -1, 'id', -2) AS {cell}))")
-    ends = F.transform(F.sequence(F.lit(1), F.length("word")), lambda e: F.filter("edges", lambda x: x["e"] == e))
+    cell = "struct<score:double,length:int,id:int>"
 
     def reach(cells, edges):
-        def ok(x):
-            return (x["s"] == 0) | x["prev"].isNull() | F.array_contains(x["prev"], F.get(cells, x["s"])["id"])
+        def score(x):
+            c = F.get(cells, F.size(cells) - x["length"])
+            ok = x["prev"].isNull() | (c["length"] == 0) | F.array_contains(x["prev"], c["id"])
+            best = F.struct((c["score"] + x["score"]).alias("score"), x["length"].alias("length"), x["id"].alias("id"))
+            return F.when(ok & c["score"].isNotNull(), best)
 
-        best = F.array_max(F.transform(edges, lambda x: F.when(ok(x) & F.get(cells, x["s"])["score"].isNotNull(), F.struct((F.get(cells, x["s"])["score"] + x["score"]).alias("score"), x["s"].alias("s"), x["id"].alias("id")))))
-        return F.concat(cells, F.array(best.cast(cell)))
+        return F.concat(cells, F.array(F.array_max(F.transform(edges, score)).cast(cell)))
 
-    cells = lattices.select("word", F.aggregate(ends, start, reach).alias("cells"))
-    first = F.struct(F.length("word").alias("at"), F.expr("CAST(array() AS array<struct<s:int,id:int>>)").alias("path"))
+    def segment(state, ends):
+        cells = F.aggregate(ends, state["tail"], reach)
+        mine = F.transform(F.slice(cells, F.size(state["tail"]) + 1, F.size(ends)), lambda c: F.struct(c["length"].alias("length"), c["id"].alias("id")))
+        tail = F.slice(cells, F.greatest(F.lit(1), F.size(cells) - longest + 1), F.lit(longest))
+        return F.struct(tail.alias("tail"), F.concat(state["done"], F.array(mine)).alias("done"))
 
-    def back(acc, _):
-        c = F.get(F.col("cells"), acc["at"])
-        return F.when(acc["at"] > 0, F.struct(c["s"].alias("at"), F.concat(F.array(F.struct(c["s"].alias("s"), c["id"].alias("id"))), acc["path"]).alias("path"))).otherwise(acc)
+    kind = f"struct<tail:array<{cell}>,done:array<array<struct<length:int,id:int>>>>"
+    start = F.expr(f"CAST(named_struct('tail', array(named_struct('score', 0D, 'length', 0, 'id', -2)), 'done', array()) AS {kind})")
+    return lattices.select("word", F.flatten(F.aggregate("edges", start, lambda s, e: segment(s, e).cast(kind))["done"]).alias("cells"))
 
-    return cells.select("word", F.aggregate(F.sequence(F.lit(1), F.length("word")), first, back)["path"].alias("path"))
 
+def best_paths(cells):
+    """The ids of a batch's best paths, from their ends back: (offsets, starts, ids), starts in characters of a word."""
+    import numpy as np
 
-def _ids(path_: str):
-    """Paths to ids, packed: a character that is no piece becomes its UTF-8 bytes' pieces."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
+    sizes = np.asarray(cells.value_lengths().fill_null(0))
+    flat = cells.flatten()
+    length, ids = (np.asarray(x) for x in flat.flatten())
+    ends = np.cumsum(sizes)
+    pos, word, begin = ends.copy(), np.arange(len(sizes)), ends - sizes
+    found = []
+    while len(word):
+        alive = pos > begin[word]
+        pos, word = pos[alive], word[alive]
+        if not len(word):
+            break
+        step = length[pos - 1]
+        found.append((word, pos - step - begin[word], ids[pos - 1]))
+        pos = pos - step
+    if not found:
+        return np.zeros(len(sizes) + 1, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+    word, start, ids = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(word * (1 << 32) + start)
+    return np.concatenate(([0], np.cumsum(np.bincount(word, minlength=len(sizes))))), start[order], ids[order]
 
-        sp = processor(path_)
-        bytes_ = {int(sp.id_to_piece(i)[1:-1], 16): i for i in range(sp.get_piece_size()) if sp.is_byte(i)}
-        for b in batches:
-            out = []
-            for word, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = []
-                for x in path:
-                    ids += [x["id"]] if x["id"] >= 0 else [bytes_[c] for c in word[x["s"]].encode()]
-                out.append(np.array(ids, "<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["word", "ids"])
 
-    return run
+def encode_words(vocabulary: DataFrame, path: str, n_words: int) -> DataFrame:
+    """vocabulary(word), distinct, of about n_words rows, to (word, ids): ids as little-endian 32-bit numbers.
 
+    A character that is no piece becomes its UTF-8 bytes' pieces.
+    """
+    pieces = ordinary_pieces(path)
 
-def _long_ids(path_: str):
-    def run(batches):
+    def ids(batches):
         import numpy as np
         import pyarrow as pa
 
-        sp = processor(path_)
-        skip = len(sp.encode("\n"))
+        sp = processor(path)
+        bytes_ = {int(sp.id_to_piece(i)[1:-1], 16): i for i in range(sp.get_piece_size()) if sp.is_byte(i)}
         for b in batches:
-            ws = b.column(0).to_pylist()
-            got = [sp.encode(w[1:].replace(SPACE, " ")) if w.startswith(SPACE) else sp.encode("\n" + w)[skip:] for w in ws]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(x, "<i4").tobytes() for x in got], pa.binary())], ["word", "ids"])
-
-    return run
-
-
-def encode_words(vocabulary: DataFrame, path: str, n_words: int) -> DataFrame:
-    """vocabulary(word), distinct, of n_words rows, to (word, ids): ids as little-endian 32-bit numbers."""
-    spark = vocabulary.sparkSession
-    short = vocabulary.where(F.length("word") <= LONG_WORD)
-    done = viterbi(lattice(short, piece_table(spark, path), path, parts=n_words // TASK_WORDS + 1)).mapInArrow(_ids(path), "word string, ids binary")
-    return done.union(vocabulary.where(F.length("word") > LONG_WORD).mapInArrow(_long_ids(path), "word string, ids binary"))
-
-
-@contextmanager
-def _grouped_by_hash(spark: SparkSession):
-    """While lattices are built: a task's words, at most some more than TASK_WORDS, are grouped without a sort."""
-    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    old = spark.conf.get(name)
-    spark.conf.set(name, str(2 * TASK_WORDS))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, old)
+            at, start, found = best_paths(b.column(1))
+            found = found.astype("<i4")
+            raw, offsets = found.tobytes(), (at * 4).astype(np.int32)
+            if (found < 0).any():
+                ws, out = b.column(0).to_pylist(), []
+                for k, w in enumerate(ws):
+                    own = found[at[k] : at[k + 1]]
+                    if (own < 0).any():
+                        own = np.array([y for s, x in zip(start[at[k] : at[k + 1]].tolist(), own.tolist()) for y in ([x] if x >= 0 else [bytes_[c] for c in w[s].encode()])], "<i4")
+                    out.append(own.tobytes())
+                raw, offsets = b"".join(out), np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
+            coded = pa.BinaryArray.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([b.column(0), coded], ["word", "ids"])
+
+    dealt = vocabulary.repartition(n_words // TASK_WORDS + 1, "word")
+    longest = max((len(p) for p, _, _ in pieces), default=1)
+    return viterbi(lattice(dealt, pieces, path), longest).mapInArrow(ids, "word string, ids binary")
 
 
 def _counted(path: str):
-    """Texts to (word, n): partial counts, flushed when they are many."""
+    """Texts to (word, n): partial counts, handed on when they are many."""
 
     def run(batches):
         import pyarrow as pa
 
-        rx, seen = cutter(path), Counter()
+        cut, held, rows = cutter(path), [], 0
 
-        def drained():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        def merged():
+            t = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+            return pa.table({"word": t["word"], "n": t["n_sum"]})
 
         for b in batches:
-            for text in b.column(0).to_pylist():
-                seen.update(words(rx, text))
-            if len(seen) > HELD_WORDS:
-                yield drained()
-                seen.clear()
-        if seen:
-            yield drained()
+            for part in cut.parts(b.column(0).to_pylist()):
+                words, _ = cut.words([s for _, s in part])
+                seen = words.value_counts()
+                held.append(pa.table({"word": seen.field(0), "n": seen.field(1)}))
+                rows += len(seen)
+            if rows > 2 * HELD_WORDS:
+                held = [merged()]
+                rows = len(held[0])
+                if rows > HELD_WORDS:
+                    yield from held[0].to_batches()
+                    held, rows = [], 0
+        if held:
+            yield from merged().to_batches()
 
     return run
 
@@ -298,73 +433,144 @@ def _frequent(vocabulary: DataFrame) -> DataFrame:
         if held > FREQUENT:
             break
         least = r["b"]
-    return vocabulary.withColumn("frequent", (F.length("word") <= FREQUENT_CHARS) & (step >= least) if least is not None else F.lit(False))
+    flag = (F.length("word") <= FREQUENT_CHARS) & (step >= least) if least is not None else F.lit(False)
+    return vocabulary.withColumn("frequent", flag)
+
+
+class _Dictionary:
+    """The frequent words' encodings as Arrow and numpy arrays, the commonest first."""
+
+    def __init__(self, table):
+        import numpy as np
+        import pyarrow as pa
+
+        t = table.combine_chunks()
+        coded = t["ids"].combine_chunks() if len(t) else pa.array([], pa.binary())
+        coded = coded if isinstance(coded, pa.Array) else coded.chunk(0)
+        words = t["word"].combine_chunks() if len(t) else pa.array([], pa.string())
+        self.words = words if isinstance(words, pa.Array) else words.chunk(0)
+        raw = coded.to_pylist()
+        self.size = np.array([len(x) // 4 for x in raw], np.int64)
+        self.start = np.concatenate(([0], np.cumsum(self.size)))[:-1]
+        self.ids = np.frombuffer(b"".join(raw), "<i4")
+
+    def codes(self, cut, part):
+        """(rows' counts, code of every word, rare words): a word's code is its place here, or len(self.words) plus its place among the rare ones."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        words, counts = cut.words([s for _, s in part])
+        d = words.dictionary_encode()
+        place = pc.index_in(d.dictionary, value_set=self.words)
+        known = np.asarray(place.fill_null(-1)).astype(np.int64)
+        rare = known < 0
+        known[rare] = len(self.words) + np.arange(int(rare.sum()))
+        return counts, known[np.asarray(d.indices)], d.dictionary.filter(pa.array(rare))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """docs(doc_id, text) to (doc_id, ids, n_ids) as the model's library gives them; a row for each, null and empty texts without ids.
 
     Every different word is encoded once, by its lattice. The encodings of the most
-    frequent words, bounded in number and length, go to every task; those of a text's
-    other words are found by a join and come to the text by its key. A key shared by
-    different texts is harmless, as encodings are looked up by word.
+    frequent words, bounded in number and length, go to every task, which turns a
+    text into their numbers; those of its other words are found by a join and come
+    to it by its key. A key shared by different texts is harmless, as encodings are
+    looked up by word.
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counted = d.select("text").mapInArrow(_counted(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    vocabulary = materialize(counted)
-    flagged = _frequent(vocabulary)
-    n_common, n_words = flagged.agg(F.count_if("frequent"), F.count("*")).first()
-    with _grouped_by_hash(spark):
-        common = encode_words(flagged.where("frequent").select("word"), path, n_common).toArrow()  # at most FREQUENT short words
-        coded = materialize(encode_words(flagged.where("NOT frequent").select("word"), path, n_words - n_common))
-    held = spark.sparkContext.broadcast(dict(zip(common["word"].to_pylist(), common["ids"].to_pylist())))
+    vocabulary = _frequent(materialize(counted))
+    n_common, n_words = vocabulary.agg(F.count_if("frequent"), F.count("*")).first()
+    frequent = encode_words(vocabulary.where("frequent").select("word"), path, n_common)
+    order = vocabulary.where("frequent").select("word", "n")
+    common = frequent.join(order, "word").select("word", "ids", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])  # at most FREQUENT short words
+    coded = encode_words(vocabulary.where("NOT frequent").select("word"), path, n_words - n_common)
+    held = spark.sparkContext.broadcast(_Dictionary(common))
     keyed = d.withColumn("key", F.xxhash64("doc_id", "text"))
 
     def rare(batches):
+        import numpy as np
         import pyarrow as pa
 
-        rx, known = cutter(path), held.value
+        cut, known = cutter(path), held.value
         for b in batches:
-            keys, out = [], []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = set(words(rx, text)).difference(known)
-                keys += [key] * len(found)
-                out += found
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.string())], ["key", "word"])
+            keys = np.asarray(b.column(0))
+            for part in cut.parts(b.column(1).to_pylist()):
+                counts, codes, names = known.codes(cut, part)
+                row = np.repeat([r for r, _ in part], counts)
+                far = codes >= len(known.words)
+                both = np.unique(row[far] * (1 << 32) + codes[far] - len(known.words))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[both >> 32], pa.int64()), names.take(pa.array(both & 0xFFFFFFFF))], ["key", "word"])
 
     def packed(batches):
+        import numpy as np
         import pyarrow as pa
         import zstandard
 
-        z = zstandard.ZstdCompressor(level=3)
+        cut, known, z = cutter(path), held.value, zstandard.ZstdCompressor(level=3)
+        base = len(known.words)
         for b in batches:
-            texts = [z.compress((t or "").encode()) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.binary())], ["doc_id", "key", "packed"])
+            n = len(b)
+            codes, names = [[] for _ in range(n)], [[] for _ in range(n)]
+            for part in cut.parts(b.column(2).to_pylist()):
+                counts, got, rare_words = known.codes(cut, part)
+                ends = np.cumsum(counts)
+                for (row, _), s, e in zip(part, ends - counts, ends):
+                    c = got[s:e]
+                    far = c >= base
+                    if far.any():
+                        own, at = np.unique(c[far], return_inverse=True)
+                        c = c.copy()
+                        c[far] = base + len(names[row]) + at
+                        names[row] += rare_words.take(pa.array(own - base)).to_pylist()
+                    codes[row].append(c)
+            out = []
+            for own in codes:
+                c = np.concatenate(own).astype("<u4") if own else np.empty(0, "<u4")
+                out.append(z.compress(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 4).T).tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary()), pa.array(names, pa.list_(pa.string()))], ["doc_id", "key", "packed", "names"])
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import zstandard
 
-        rx, get, z = cutter(path), held.value.get, zstandard.ZstdDecompressor()
+        known, z = held.value, zstandard.ZstdDecompressor()
+        base = len(known.words)
         for b in batches:
             out = []
-            for text, more in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for raw, names, more in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                c = np.ascontiguousarray(np.frombuffer(z.decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
                 own = {x["word"]: x["ids"] for x in more or ()}
-                out.append(b"".join([get(w) or own[w] for w in words(rx, z.decompress(text).decode())]))
-            sizes = np.array([len(x) // 4 for x in out], np.int64)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.frombuffer(b"".join(out), "<i4"), pa.int32()))
+                tail = [own[w] for w in names]
+                n = np.array([len(x) // 4 for x in tail], np.int64)
+                far = c >= base
+                size, first = np.empty(len(c), np.int64), np.empty(len(c), np.int64)
+                size[~far], first[~far] = known.size[c[~far]], known.start[c[~far]]
+                size[far], first[far] = n[c[far] - base], (np.cumsum(n) - n)[c[far] - base]
+                at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                if far.any():
+                    there, got = np.repeat(far, size), np.empty(len(at), "<i4")
+                    got[there], got[~there] = np.frombuffer(b"".join(tail), "<i4")[at[there]], known.ids[at[~there]]
+                else:
+                    got = known.ids[at]
+                out.append(got)
+            sizes = np.array([len(x) for x in out], np.int64)
+            flat = np.concatenate([np.empty(0, "<i4"), *out])
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(sizes, pa.int64())], ["doc_id", "ids", "n_ids"])
 
-    found = keyed.select("key", "text").mapInArrow(rare, "key long, word string").join(sized(coded), "word")
+    found = keyed.select("key", "text").mapInArrow(rare, "key long, word string").join(coded, "word")
     own = found.groupBy("key").agg(F.collect_set(F.struct("word", "ids")).alias("own"))
-    texts = keyed.select("doc_id", "key", "text").mapInArrow(packed, "doc_id long, key long, packed binary")
-    return texts.join(own, "key", "left").select("doc_id", "packed", "own").mapInArrow(run, "doc_id long, ids array<int>, n_ids long")
+    texts = keyed.select("doc_id", "key", "text").mapInArrow(packed, "doc_id long, key long, packed binary, names array<string>")
+    joined = texts.join(own, "key", "left").select("doc_id", "packed", "names", "own")
+    return joined.mapInArrow(run, "doc_id long, ids array<int>, n_ids long")
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
-    """coded(doc_id, ids) to (doc_id, text)."""
+    """coded(doc_id, ids) to (doc_id, text); null ids, like none, give an empty text."""
 
     def run(batches):
         import pyarrow as pa

@@ -367,28 +367,37 @@ def test_pieces_of_rare_and_long_words(spark, monkeypatch):
     monkeypatch.setattr(pieces, "FREQUENT", 8)
     path = tokenizer_path("piece_bpe_32k.model")
     sp = pieces.processor(path)
-    texts = ["a," + "x" * 300 + "," + "1" * 300 + "!", "m² x². 3² ½a a½", "don't e.g. x_y __z 12ab3,cd", "été\u0301s naïve\u00b2.", prose(500, 9) + ", " + prose(9, 8) + ".", None, ""] * 2
-    ids = [1, 2, 3, 4, None, None, 7] * 2
+    texts = ["a," + "x" * 300 + "," + "1" * 300 + "!", "aaab" * 2500 + " " + "th" * 5000, "  lead \n  in\n\n out  ", "m² x². 3² ½a a½", "don't e.g. x_y __z 12ab3,cd", "été\u0301s naïve\u00b2.", prose(500, 9) + ", " + prose(9, 8) + ".", None, ""] * 2
+    ids = [1, 2, 3, 4, None, None, 7, 8, 9] * 2
     got = sorted((r["doc_id"] or 0, list(r["ids"]), r["n_ids"]) for r in pieces.encode(docs(spark, texts, ids), path).collect())
     assert got == sorted((i or 0, x, len(x)) for i, x in ((i, sp.encode(t or "")) for i, t in zip(ids, texts)))
-    assert "".join(pieces.words(pieces.cutter(path), texts[2])) == "▁" + texts[2].replace(" ", "▁")
+    monkeypatch.setattr(pieces, "CHUNK", 40)
+    for t in texts[:7]:
+        cut = pieces.cutter(path)
+        words = [w for part in cut.parts([t]) for w in cut.words([s for _, s in part])[0].to_pylist()]
+        assert "".join(words) == ("▁" + t.replace(" ", "▁") if t else "")
+        assert [i for w in words for i in sp.encode_as_ids("\n" + w)[len(sp.encode("\n")) :]] == sp.encode(t)
 
 
 def test_unigram_lattice_takes_the_best_path(spark):
     score = {"a": -3.0, "b": -3.0, "ab": -5.0, "ba": -1.0, "aba": -7.0, "c": -2.0}
-    table = spark.createDataFrame([(p, i, s) for i, (p, s) in enumerate(score.items())], "piece string, id int, score double")
-    words = ["ababa", "abc", "cab", "b", "aab"]
-    lat = pieces.lattice(spark.createDataFrame([(w,) for w in words], "word string"), table, "", bpe=False)
+    table = [(p, i, s) for i, (p, s) in enumerate(score.items())]
+    words = ["ababa", "abc", "cab", "b", "aab", "ab" * 90, None, ""]
+    lat = pieces.lattice(spark.createDataFrame([(w,) for w in words], "word string"), table)
     names = list(score)
 
     def best(w):
-        if not w:
-            return 0.0, []
-        return max((score[w[:k]] + best(w[k:])[0], [w[:k], *best(w[k:])[1]]) for k in range(1, len(w) + 1) if w[:k] in score)
-
-    for r in pieces.viterbi(lat).collect():
-        got = [names[x["id"]] for x in r["path"]]
-        assert "".join(got) == r["word"] and sum(score[p] for p in got) == pytest.approx(best(r["word"])[0])
+        top = [0.0]
+        for e in range(1, len(w) + 1):
+            top.append(max(top[e - k] + score[w[e - k : e]] for k in (1, 2, 3) if k <= e and w[e - k : e] in score))
+        return top[-1]
+
+    t = pieces.viterbi(lat, 3).toArrow()
+    at, starts, ids = pieces.best_paths(t["cells"].combine_chunks())
+    assert len(t) == len(words)
+    for k, w in enumerate(t["word"].to_pylist()):
+        got = [names[x] for x in ids[at[k] : at[k + 1]]]
+        assert "".join(got) == (w or "") and sum(score[p] for p in got) == pytest.approx(best(w or ""))
 
 
 def test_lm(spark):
