@@ -17,7 +17,7 @@ HELD_WORDS = 1_000_000
 #: Words whose lattices a task builds, about.
 TASK_WORDS = 32_000
 #: Characters cut into words at once; longer texts are parted before a space.
-CHUNK = 1 << 21
+CHUNK = 1 << 22
 #: Positions of a word that one inner fold takes: a fold copies its state at every position.
 SEGMENT = 64
 #: Answers about pairs of pieces that a Python worker keeps.
@@ -251,18 +251,28 @@ class Joiner:
         return end[order], length[order], ids[order], scores[order]
 
 
-def _before(end, length, ids, first, names, merges):
-    """For edges by end: (edge, id before) of all that may stand side by side, by edge. first: where an edge's word begins."""
+def _before(end, length, ids, first, last, names, merges):
+    """For edges by end: (edge, edge before) of all that may stand side by side, and which edges may be on a path.
+
+    first, last: where an edge's word begins and ends. An edge is left out if nothing
+    allowed comes before it, or nothing allowed after it, looked at twice over.
+    """
     import numpy as np
 
     start = end - length
     lo, hi = np.searchsorted(end, start, "left"), np.searchsorted(end, start, "right")
     n = np.where(start > first, hi - lo, 0)
     at = np.repeat(np.arange(len(end)), n)
-    prev = ids[np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
-    pairs, which = np.unique((prev.astype(np.int64) + 1 << 32) | (ids[at].astype(np.int64) + 1), return_inverse=True)
+    prev = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    pairs, which = np.unique((ids[prev].astype(np.int64) + 1 << 32) | (ids[at].astype(np.int64) + 1), return_inverse=True)
     keep = merges.known(pairs, names)[which] if len(at) else np.zeros(0, bool)
-    return at[keep], prev[keep]
+    at, prev, alive = at[keep], prev[keep], np.ones(len(end), bool)
+    for _ in range(2):
+        for here, there, edge in ((at, prev, start == first), (prev, at, end == last)):
+            edge[here[alive[there]]] = True
+            alive &= edge
+    keep = alive[at] & alive[prev]
+    return at[keep], prev[keep], alive
 
 
 EDGES = "array<array<array<struct<length:int,id:int,score:double,prev:array<int>>>>>"
@@ -291,9 +301,10 @@ def lattice(vocabulary: DataFrame, pieces: list[tuple[str, int, float]], path: s
             ends = np.cumsum(size)
             end, length, ids, scores = joiner.edges(code, np.repeat(ends, size))
             if path:
-                first = np.repeat(ends - size, size)[end - 1]
-                at, prev = _before(end, length, ids, first, names, merges)
-                before = pa.ListArray.from_arrays(offsets(np.bincount(at, minlength=len(end))), pa.array(prev, pa.int32()))
+                of = np.repeat(np.arange(len(size)), size)[end - 1]
+                at, prev, alive = _before(end, length, ids, (ends - size)[of], ends[of], names, merges)
+                before = pa.ListArray.from_arrays(offsets(np.bincount(at, minlength=len(end))[alive]), pa.array(ids[prev], pa.int32()))
+                end, length, ids, scores = end[alive], length[alive], ids[alive], scores[alive]
             else:
                 before = pa.nulls(len(end), pa.list_(pa.int32()))
             edge = pa.StructArray.from_arrays([pa.array(length, pa.int32()), pa.array(ids, pa.int32()), pa.array(scores, pa.float64()), before], ["length", "id", "score", "prev"])
@@ -342,7 +353,7 @@ def best_paths(cells):
 
     sizes = np.asarray(cells.value_lengths().fill_null(0))
     flat = cells.flatten()
-    length, ids = (np.asarray(x) for x in flat.flatten())
+    length, ids = (np.asarray(x.fill_null(0)) for x in flat.flatten())
     ends = np.cumsum(sizes)
     pos, word, begin = ends.copy(), np.arange(len(sizes)), ends - sizes
     found = []
@@ -437,6 +448,22 @@ def _frequent(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.withColumn("frequent", flag)
 
 
+def _hashes(words):
+    """A 64-bit hash of each of an Arrow array of strings."""
+    import numpy as np
+
+    n = len(words)
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
+    size = np.diff(at)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[at[0] : at[-1]].astype(np.uint64) if n and at[-1] > at[0] else np.empty(0, np.uint64)
+    place = np.arange(len(data)) - np.repeat(at[:-1] - at[0], size)
+    salt = np.random.default_rng(6).integers(1 << 63, size=256, dtype=np.uint64)
+    x = (data + np.uint64(1) + salt[place & 255]) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(31)
+    total = np.concatenate(([np.uint64(0)], np.cumsum(x * np.uint64(0xD6E8FEB86659FD93), dtype=np.uint64)))
+    return (total[at[1:] - at[0]] - total[at[:-1] - at[0]]) ^ size.astype(np.uint64) if n else np.empty(0, np.uint64)
+
+
 class _Dictionary:
     """The frequent words' encodings as Arrow and numpy arrays, the commonest first."""
 
@@ -453,17 +480,34 @@ class _Dictionary:
         self.size = np.array([len(x) // 4 for x in raw], np.int64)
         self.start = np.concatenate(([0], np.cumsum(self.size)))[:-1]
         self.ids = np.frombuffer(b"".join(raw), "<i4")
+        h = _hashes(self.words)
+        self.by_hash = np.argsort(h)
+        self.hashes = h[self.by_hash]
+        self.clear = len(np.unique(h)) == len(h)
+
+    def places(self, words):
+        """Every word's place, or -1."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not self.clear or not len(self.words):  # two words share a hash
+            return np.asarray(pc.index_in(words, value_set=self.words).fill_null(-1)).astype(np.int64)
+        h = _hashes(words)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        place = self.by_hash[at]
+        hit = self.hashes[at] == h
+        place[hit] = np.where(np.asarray(pc.equal(self.words.take(pa.array(place[hit])), words.filter(pa.array(hit)))), place[hit], -1)
+        return np.where(hit, place, -1)
 
     def codes(self, cut, part):
         """(rows' counts, code of every word, rare words): a word's code is its place here, or len(self.words) plus its place among the rare ones."""
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
 
         words, counts = cut.words([s for _, s in part])
         d = words.dictionary_encode()
-        place = pc.index_in(d.dictionary, value_set=self.words)
-        known = np.asarray(place.fill_null(-1)).astype(np.int64)
+        known = self.places(d.dictionary)
         rare = known < 0
         known[rare] = len(self.words) + np.arange(int(rare.sum()))
         return counts, known[np.asarray(d.indices)], d.dictionary.filter(pa.array(rare))
