@@ -9,18 +9,20 @@ from pyspark.sql.window import Window
 
 from .common import materialize
 
-#: Pieces counted and ranked together in one bucket of a length.
-RANK_BUCKETS = 256
+#: Pieces of one length that one task ranks, about; there are as many buckets as that asks for.
+BUCKET_ROWS = 100_000
 
 
 def tokenizer(path: str):
-    """encode(texts) -> lists of ids for a tokenizers JSON file of a byte-level BPE.
+    """encode(texts) -> lists of ids for a tokenizers JSON file of a byte-level BPE, as the library gives without its own special tokens.
 
     The file's own vocabulary is read as merge ranks into tiktoken, which gives
     the same ids (tests hold both against each other) in a quarter of the time.
-    Special tokens' strings in a text are ordinary text.
+    Added tokens that stand in a text are found first, the leftmost and of those
+    the first in the file, and what is between them is encoded by itself.
     """
     import json
+    import re
 
     import tiktoken
 
@@ -28,11 +30,20 @@ def tokenizer(path: str):
         spec = json.load(f)
     codes = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(c): c for c in codes} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in codes)}
-    special = {t["content"] for t in spec["added_tokens"]}
-    ranks = {bytes(byte[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
+    added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    if any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that look at what is around them are not supported")
+    ranks = {bytes(byte[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in added}
     pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     enc = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda texts: [enc.encode_ordinary(t) for t in texts]
+    parted = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
+
+    def encode(text):
+        if not parted or not parted.search(text):
+            return enc.encode_ordinary(text)
+        return [i for part in parted.split(text) if part for i in ([added[part]] if part in added else enc.encode_ordinary(part))]
+
+    return lambda texts: [encode(t) for t in texts]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
@@ -126,13 +137,15 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     counts, plus its place in the bucket, so that no length is sorted in one task.
     """
     spark = pieces.sparkSession
-    p = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(RANK_BUCKETS)))
+    buckets = max(256, pieces.count() // BUCKET_ROWS)
+    p = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
     counts = p.groupBy("length", "_bucket").agg(F.count("*").alias("n"))
     before = materialize(counts.withColumn("_before", F.sum("n").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).select("length", "_bucket", F.coalesce("_before", F.lit(0)).alias("_before"), "n"))
     histogram = {r[0]: r[1] for r in before.groupBy("length").agg(F.sum("n")).collect()}
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("length", "lo", "hi", "times", "first", "at")])
     table = spark.createDataFrame(slots(pack_histogram(histogram, capacity)), schema)
-    place = Window.partitionBy("length", "_bucket").orderBy("doc_id", "start")
+    # rows that tie in all three are the same piece of the same text, so any order gives the same result
+    place = Window.partitionBy("length", "_bucket").orderBy("doc_id", "start", *[c for c in ("ids_crc32", "doc_tokens") if c in pieces.columns])
     p = p.withColumn("_place", F.row_number().over(place) - 1)
     p = p.join(before.drop("n"), ["length", "_bucket"])
     p = p.withColumn("_rank", F.col("_before") + F.col("_place"))

@@ -58,8 +58,8 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(tokenizer_path())
-    tk.encode_special_tokens = True
-    texts = AWKWARD + [prose(k * 7, k) for k in range(60)]
+    mark = "<|endoftext|>"
+    texts = AWKWARD + [f"a{mark}b", mark * 3, f" {mark} a {mark}", f"{mark}\n{mark[:-1]}", f"x {mark}{prose(300, 5)} {mark}"] + [prose(k * 7, k) for k in range(60)]
     got = packing.pack_documents(docs(spark, texts), tokenizer_path(), capacity=256).collect()
     ids = {i: [*tk.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
     covered = {i: [0] * len(x) for i, x in ids.items()}
@@ -79,6 +79,9 @@ def test_packing(spark):
         assert at <= 256
     total = sum(map(len, ids.values()))
     assert len(rows) <= total / 256 * 1.1 + 1
+    twice = packing.pack_documents(docs(spark, ["a b", "c d", "a b", None], [4, 4, 4, None]), tokenizer_path()).collect()
+    assert sorted(r["ids_crc32"] for r in twice) == sorted(zlib.crc32(np.array([*tk.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for t in ("a b", "c d", "a b", ""))
+    assert sorted(r["offset"] for r in twice)[0] == 0 and len({r["sequence_id"] for r in twice}) == 1
     assert packing.pack_documents(docs(spark, AWKWARD).limit(0), tokenizer_path()).count() == 0
 
 
