@@ -313,11 +313,14 @@ def test_embeddings_of_a_dense_group_beyond_the_window(spark):
     assert {got[i]["component_id"] for i in linked} == {min(linked)}
 
 
+JUNK, FINE = "<p>BUY NOW!! CHEAP$$$ </p>", "<p>Some plain words, and more of them.</p>"
+
+
 def test_url_filter(spark):
-    bad = [(k, f"http://casino{k % 2}.example.net/p/{k}") for k in range(60)]
+    bad = [(k, f"http://user@host{k % 2}.example.net:80{k}/p/{k}", JUNK if k % 10 else FINE) for k in range(60)]
     odd = [None, "", "no scheme", "HTTP://WWW.Example.ORG/es/1?x#y", "http://example.org", "https://a.b.com/fr/x", "x://com/de/", "http://h.com?q=/de/", "http://a.org/en/1", "http://sub.example.org/en/12", "http://ÀB.Net/Ä", "http://notcom/de/"]
-    rows = bad + [(100 + k, u) for k, u in enumerate(odd)] + [(200 + k, f"http://good.example.net/{k}") for k in range(200)]
-    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame([(*r, "v") for r in rows], "page_id long, url string, verdict string")).collect()}
+    rows = bad + [(100 + k, u, None) for k, u in enumerate(odd)] + [(200 + k, f"http://casino.example.net/{k}", FINE if k % 20 else JUNK) for k in range(200)]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame([(*r, "v") for r in rows], "page_id long, url string, html string, verdict string")).collect()}
     rule = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in got.values()}
     assert rule[100] == rule[101] == rule[102] == ("", "", None, "allow")
     assert rule[103] == ("www.example.org", "/es/1", "example.org/es/", "block")
@@ -325,9 +328,40 @@ def test_url_filter(spark):
     assert rule[107] == ("h.com", "", None, "allow") and rule[108][2:] == ("org/", "allow") and rule[109][2:] == ("example.org/en/1", "block")
     assert rule[110][:2] == ("Àb.net", "/Ä") and rule[111][2] is None
     assert all(rule[k][3] == "block" for k in range(60)) and all(rule[200 + k][3] == "allow" for k in range(200))
+    assert rule[1][0] == "user@host1.example.net:801" and got[0]["bad_bound"] > 0.5 > 0.1 > got[200]["bad_bound"] > 0
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_outcomes_and_domains(spark):
+    pages = [(JUNK, "/a"), (FINE, "/a"), (FINE, "/a//b"), (None, "/a"), ("", ""), ("<b>OK</b> fine then", "/"), ("a!! b!! c", "/")]
+    df = spark.createDataFrame([("h", p, t) for t, p in pages], "host string, path string, html string")
+    assert [r["bad"] for r in urls.page_outcomes(df).collect()] == [1, 0, 1, None, 0, 0, 1]
+    want = {"a.b.co.uk": ("b.co.uk", "co.uk"), "x.y.example.com": ("example.com", "com"), "com": ("com", ""), "10.0.0.1": ("10.0.0.1", ""), "[::1]": ("[::1]", ""), "": ("", ""), "co.uk": ("co.uk", "uk"), "u:p@a.net:8080": ("a.net", "net"), "a.net.": ("a.net", "net"), "[::1]:80": ("[::1]", "")}
+    d = spark.createDataFrame([(h,) for h in want], "host string")
+    d = d.withColumn("domain", urls.domain_of(urls.site(F.col("host")))).withColumn("suffix", urls.suffix_of(F.col("domain")))
+    assert {r["host"]: (r["domain"], r["suffix"]) for r in d.collect()} == want
+
+
+def test_url_reputation_by_hand(spark):
+    """Two hosts of one domain, four and six pages: rates shrink from the host to what is known of all."""
+    rows = [("a.x.com", 1)] * 3 + [("a.x.com", 0)] + [("b.x.com", 0)] * 6 + [("b.x.com", None), (None, 1)]
+    got = {r["host"]: r for r in urls.reputation(spark.createDataFrame(rows, "host string, bad long")).collect()}
+    p = 3.5 / 11
+
+    def weight(groups):
+        v = sum(n * (k / n - p) ** 2 for k, n in groups) / sum(n for _, n in groups)
+        return min(1000.0, max(1.0, p * (1 - p) / v - 1)) if v > 0 else 1000.0
+
+    ws, wh = weight([(3, 10)]), weight([(3, 4), (0, 6)])
+    s = (3 + ws * p) / (10 + ws)
+    d = (3 + ws * s) / (10 + ws)
+    for h, k, n in (("a.x.com", 3, 4), ("b.x.com", 0, 6)):
+        a, b = k + wh * d, n - k + wh * (1 - d)
+        assert (got[h]["n"], got[h]["bad"]) == (n, k)
+        assert got[h]["bad_bound"] == pytest.approx(a / (a + b) - urls.Z * math.sqrt(a * b / ((a + b) ** 2 * (a + b + 1))))
+    assert 0.4 < got["a.x.com"]["bad_bound"] + 0.3 and got["b.x.com"]["bad_bound"] < 0.1
+
+
 def test_media_round_trip(spark):
     d = docs(spark, AWKWARD)
     stored = media.text_media(d)
