@@ -9,26 +9,80 @@ from .common import materialize
 
 #: Byte that stands before a text and ends it; UTF-8 has none.
 END = 255
-#: Bytes of the longest context. Contexts of two bytes and more are nodes of the trie if they have at least 1/SHARE of all
-#: bytes, so each length has SHARE nodes at most; a node's shorter contexts are nodes too. Those of none and one byte always are.
-ORDER, SHARE = 5, 1 << 15
+#: Bytes of the longest context. Every context of the training texts is a node of the trie.
+ORDER = 5
 #: Words with at least 1/FREQUENT of all training tokens are broadcast; so there are no more of them. The others are joined.
 FREQUENT = 1 << 19
+#: Slots (2 to this power) of the table in which every task counts pairs, and of that of common pairs sent to all tasks.
+SLOTS = 21
+#: Bytes of a text that are looked at together.
+STEP = 1 << 20
 
 
 def _bytes(text):
     return (text or "").encode("utf-8", "replace").lower()
 
 
-def _contexts(data: bytes):
-    """The bytes of a text and its end, and the ORDER bytes before each as one number."""
+def _pairs(data: bytes, step: int = STEP):
+    """The pairs of a text, by parts: for every byte and the END after the last one number, of the ORDER bytes before it and itself."""
     import numpy as np
 
-    b = np.frombuffer(bytes([END] * ORDER) + data + bytes([END]), np.uint8).astype(np.uint64)
-    n, ctx = len(data) + 1, np.zeros(len(data) + 1, np.uint64)
-    for j in range(ORDER):
-        ctx = (ctx << np.uint64(8)) | b[j : j + n]
-    return b[ORDER:], ctx
+    padded = bytes([END] * ORDER) + data + bytes([END])
+    for s in range(0, len(data) + 1, step):
+        n = min(step, len(data) + 1 - s)
+        b = np.frombuffer(padded, np.uint8, n + ORDER, s).astype(np.int64)
+        key = b[:n]
+        for j in range(1, ORDER + 1):
+            key = (key << 8) | b[j : j + n]
+        yield key
+
+
+def _slots(keys, slots: int = SLOTS):
+    """The slot of each pair: its remainder by a prime."""
+    return keys % ((1 << slots) - 9)
+
+
+class _Counter:
+    """Counts of pairs: those that come first to their slot in a table, the others by sorting."""
+
+    def __init__(self):
+        import numpy as np
+
+        self.key, self.n = np.full(1 << SLOTS, -1), np.zeros(1 << SLOTS, np.int64)
+        self.rest, self.size = [], 0
+
+    def add(self, keys):
+        import numpy as np
+
+        at = _slots(keys)
+        new = self.key[at] < 0
+        self.key[at[new]] = keys[new]
+        hit = self.key[at] == keys
+        self.n += np.bincount(at[hit], minlength=1 << SLOTS)
+        if not hit.all():
+            self.rest.append(np.unique(keys[~hit], return_counts=True))
+            self.size += len(self.rest[-1][0])
+
+    def drained(self):
+        """(keys, counts) of the pairs outside the table, which are then forgotten."""
+        import numpy as np
+
+        keys, at = np.unique(np.concatenate([np.empty(0, np.int64), *[k for k, _ in self.rest]]), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([np.empty(0), *[n for _, n in self.rest]]), minlength=len(keys)).astype(np.int64)
+        self.rest, self.size = [], 0
+        return keys, n
+
+
+def _split(data: bytes, step: int = STEP):
+    """Words of a text, by parts that end at white space."""
+    import re
+
+    s = 0
+    while s < len(data):
+        m = re.compile(rb"[\x20\x09-\x0D]").search(data, s + step)
+        e = m.start() if m else len(data)
+        yield data[s:e].split()
+        s = e
 
 
 def _word_hash(words):
@@ -39,45 +93,45 @@ def _word_hash(words):
 
 
 def _counted(batches):
-    """Batches of text to partial counts: (kind, key, n); kind 0: word by hash, 1: context and byte, 2: texts."""
+    """Batches of (text, held out) to partial counts (kind, key, n). Kind 0: word by hash, 1: pair, 2: texts, 3: pair of a held-out text, whose words don't count."""
     from collections import Counter
 
     import numpy as np
     import pyarrow as pa
 
     words, texts = Counter(), 0
-    keys: list = []
+    pairs = {1: _Counter()}
 
     def row(kind, key, n):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["kind", "key", "n"])
 
-    def merged(parts):
-        k, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        return k, np.bincount(at, weights=np.concatenate([p[1] for p in parts]).astype(float)).astype(np.int64)
-
     for b in batches:
-        held = []
-        for t in b.column(0).to_pylist():
+        held_keys = {1: [], 3: []}
+        for t, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             data = _bytes(t)
-            words.update(data.split())
-            sym, ctx = _contexts(data)
-            held.append((ctx << np.uint64(8)) | sym)
-            texts += 1
-        if held:
-            keys.append(np.unique(np.concatenate(held), return_counts=True))
-        if sum(len(k[0]) for k in keys) > 1 << 21:
-            keys = [merged(keys)]
+            if not held:
+                for part in _split(data):
+                    words.update(part)
+                texts += 1
+            own = held_keys[3 if held else 1]
+            for keys in _pairs(data):
+                own.append(keys)
+                if len(keys) == STEP:
+                    pairs.setdefault(3 if held else 1, _Counter()).add(own.pop())
+        for kind, own in held_keys.items():
+            if own:
+                pairs.setdefault(kind, _Counter()).add(np.concatenate(own))
         if len(words) > 1 << 20:  # bounded memory: what was gathered goes out
             yield row(0, _word_hash(words), list(words.values()))
             words.clear()
-        if keys and len(keys[0][0]) > 1 << 22:
-            yield row(1, keys[0][0].astype(np.int64), keys[0][1])
-            keys = keys[1:]
+        for kind, c in pairs.items():
+            if c.size > 1 << 21:
+                yield row(kind, *c.drained())
     if words:
         yield row(0, _word_hash(words), list(words.values()))
-    if keys:
-        k, n = merged(keys)
-        yield row(1, k.astype(np.int64), n)
+    for kind, c in pairs.items():
+        yield row(kind, *c.drained())
+        yield row(kind, c.key[c.n > 0], c.n[c.n > 0])
     yield row(2, [0], [texts])
 
 
@@ -104,76 +158,66 @@ def mixed_row(levels):
     return p + np.where(out, 0, mass / np.maximum(left, 1))
 
 
-class ByteModel:
-    """A pretrained trie: the log10 probabilities of every byte at every node, and the nodes of each context length."""
-
-    def __init__(self, none, short, nodes: dict):
-        """Counts of each byte (256) without context, (256, 256) after each byte, and by length (contexts, sorted; counts)."""
-        import numpy as np
-
-        rows = [mixed_row([none[None, :]]), mixed_row([short, np.broadcast_to(none, (256, 256))])]
-        rows = [np.log10(r).astype(np.float32) for r in rows]
-        self.nodes, base = {}, 257
-        for k in sorted(nodes):
-            keys, counts = nodes[k]
-            self.nodes[k] = (keys, base)
-            for i in range(0, len(keys), 2048):
-                part, levels = keys[i : i + 2048], [counts[i : i + 2048]]
-                for j in range(k - 1, 1, -1):
-                    levels.append(nodes[j][1][np.searchsorted(nodes[j][0], part & np.uint64((1 << 8 * j) - 1))])
-                levels += [short[(part & np.uint64(255)).astype(int)], np.broadcast_to(none, (len(part), 256))]
-                rows.append(np.log10(mixed_row(levels)).astype(np.float32))
-            base += len(keys)
-        self.logs = np.concatenate(rows)
-
-    def rows(self, ctx):
-        """The row of the longest node of every context."""
-        import numpy as np
+def _level(key: str) -> str:
+    return f"shiftright({key}, 48)"
 
-        out = (ctx & np.uint64(255)).astype(np.int64) + 1
-        todo = np.arange(len(ctx))
-        for k in sorted(self.nodes, reverse=True):
-            keys, base = self.nodes[k]
-            if len(keys):
-                own = ctx[todo] & np.uint64((1 << 8 * k) - 1)
-                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                hit = keys[at] == own
-                out[todo[hit]] = base + at[hit]
-                todo = todo[~hit]
-        return out
-
-    def score(self, data: bytes) -> float:
-        """log10 probability of a text and its end."""
-        import numpy as np
 
-        total, step = 0.0, 1 << 20
-        for s in range(0, len(data) + 1, step):  # a long text in parts, each led in by the bytes before it
-            lead, last = min(ORDER, s), s + step > len(data)
-            sym, ctx = _contexts(data[s - lead : s + step])
-            sym, ctx = sym[lead : None if last else -1], ctx[lead : None if last else -1]
-            total += float(self.logs[self.rows(ctx), sym.astype(np.int64)].sum(dtype=np.float64))
-        return total
+def _shorter(key: str) -> str:
+    """A numbered pair (level << 48 | context << 8 | byte) with the first byte of its context dropped."""
+    return f"shiftleft({_level(key)} - 1, 48) | ({key} & (shiftleft(1L, int(8 * {_level(key)})) - 1))"
 
 
-def byte_model(counts: DataFrame) -> ByteModel:
-    """counts(key: context << 8 | byte, n), distinct keys, to a model of bounded size; only rows of kept contexts reach the driver."""
-    import numpy as np
+def trie(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pairs(key, n), distinct, to (entries, nodes), both of all levels, 0 to ORDER bytes of context.
 
-    c = counts.select(F.expr("key >> 8").alias("ctx"), F.expr("int(key & 255)").alias("sym"), "n")
-    total = c.agg(F.sum("n")).first()[0] or 0
-    short = np.zeros((256, 256))
-    for r in c.groupBy(F.expr("int(ctx & 255)").alias("c"), "sym").agg(F.sum("n").alias("n")).collect():  # at most 2^16
-        short[r["c"], r["sym"]] = r["n"]
-    nodes = {}
-    for k in range(2, ORDER + 1):
-        level = c.groupBy(F.expr(f"ctx & {(1 << 8 * k) - 1}L").alias("ctx"), "sym").agg(F.sum("n").alias("n"))
-        keep = level.groupBy("ctx").agg(F.sum("n").alias("t")).where(F.col("t") * SHARE >= total).select("ctx")
-        got = level.join(F.broadcast(keep), "ctx").toArrow()  # at most SHARE contexts
-        keys, row = np.unique(got["ctx"].to_numpy().astype(np.uint64), return_inverse=True)
-        counted = np.zeros((len(keys), 256), np.float32)
-        counted[row, got["sym"].to_numpy()] = got["n"].to_numpy()
-        nodes[k] = (keys, counted)
-    return ByteModel(short.sum(0), short, nodes)
+    entries(key, n): level << 48 | context << 8 | byte. nodes(node, n, d, whole, escape):
+    level << 40 | context, its counts and kinds of byte, and what its next shorter
+    context then gives from: `whole`, the counts of bytes that the node has not seen
+    plus their kinds, and `escape`, the share of the kinds. As a node's bytes are all
+    seen by its shorter contexts too, these follow from sums over joined entries.
+    """
+    levels = F.expr(f"explode(transform(sequence(0, {ORDER}), k -> shiftleft(bigint(k), 48) | (key & (shiftleft(1L, 8 * (k + 1)) - 1)))) AS key")
+    entries = materialize(pairs.select(levels, "n").groupBy("key").agg(F.sum("n").alias("n")))
+    inner = entries.where("key >= shiftleft(1L, 48)").select(F.expr("shiftright(key, 8)").alias("node"), "n", F.expr(_shorter("key")).alias("up"))
+    seen = inner.join(entries.select(F.col("key").alias("up"), F.col("n").alias("above")), "up")
+    sums = [F.sum("n").alias("n"), F.count("*").alias("d")]
+    root = entries.where("key < shiftleft(1L, 48)").groupBy(F.expr("shiftright(key, 8)").alias("node")).agg(*sums, F.lit(0).cast("long").alias("x"))
+    own = materialize(seen.groupBy("node").agg(*sums, F.sum("above").alias("x")).union(root))
+    up = F.expr("shiftleft(shiftright(node, 40) - 1, 40) | (node & (shiftleft(1L, int(8 * (shiftright(node, 40) - 1))) - 1))")
+    above = own.select(F.col("node").alias("up"), F.col("n").alias("an"), F.col("d").alias("ad"))
+    new = F.col("ad") - F.col("d")
+    whole = F.when(new > 0, F.col("an") - F.col("x") + new)
+    nodes = own.withColumn("up", F.when(F.col("node") >= 1 << 40, up)).join(above, "up", "left")
+    return entries, materialize(nodes.select("node", "n", "d", F.coalesce(whole, F.lit(1)).alias("whole"), F.coalesce(new / whole, F.lit(1.0)).alias("escape")))
+
+
+def pair_logs(entries: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, n, log) of the trie's own pairs and of pairs(key, n): log10 of the mixed probability, by method C with symbol exclusion.
+
+    The longest context that is a node gives a byte its count of n + d; a byte it has
+    not seen gets d of that, and what the next shorter ones leave, each without the
+    bytes of the longer; bytes that no level has seen share what is left.
+    """
+    own = entries.where(f"key >= shiftleft({ORDER}L, 48)").select("key", F.col("n").alias("c"), F.expr("shiftright(key, 8)").alias("node")).join(nodes, "node")
+    own = own.select(F.expr("key & (shiftleft(1L, 48) - 1)").alias("key"), F.col("c").alias("n"), F.log10(F.col("c") / (F.col("n") + F.col("d"))).alias("log"))
+    new = materialize(pairs.join(own.select("key"), "key", "left_anti"))
+    asked = new.select("key", F.expr(f"explode(transform(sequence(0, {ORDER}), k -> shiftleft(bigint(k), 48) | (key & (shiftleft(1L, 8 * (k + 1)) - 1)))) AS at"))
+    asked = asked.join(entries.select(F.col("key").alias("at"), F.col("n").alias("c")), "at", "left").withColumn("node", F.expr("shiftright(at, 8)"))
+    asked = asked.join(nodes, "node").select("key", F.struct((-F.expr(_level("at"))).alias("order"), "c", "n", "d", "whole", "escape").alias("level"))
+    chain = asked.groupBy("key").agg(F.sort_array(F.collect_list("level")).alias("levels"))
+    kinds = nodes.where("node = 0").select("d").first()
+    start = F.expr("CAST(named_struct('p', 1D, 'done', false, 'whole', 0, 'escape', 0D) AS struct<p:double,done:boolean,whole:bigint,escape:double>)")
+
+    def step(s, x):
+        first = s["whole"] == 0
+        whole, escape = F.when(first, x["n"] + x["d"]).otherwise(s["whole"]), F.when(first, x["d"] / (x["n"] + x["d"])).otherwise(s["escape"])
+        share = F.when(x["c"].isNotNull(), x["c"] / whole).otherwise(escape)
+        go = F.struct((s["p"] * share).alias("p"), x["c"].isNotNull().alias("done"), x["whole"].alias("whole"), x["escape"].alias("escape"))
+        return F.when(s["done"], s).otherwise(go)
+
+    end = F.aggregate("levels", start, step)
+    p = F.when(F.col("levels").isNull(), 1 / 256).otherwise(F.when(end["done"], end["p"]).otherwise(end["p"] / (256 - (kinds[0] if kinds else 0))))
+    return own.union(new.join(chain, "key", "left").select("key", "n", F.log10(p).alias("log")))
 
 
 def adaptive_cost(text: str | None, order: int = ORDER) -> float:
@@ -195,53 +239,80 @@ def adaptive_cost(text: str | None, order: int = ORDER) -> float:
     return total
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, slots: int = SLOTS, step: int = STEP, frequent: int = FREQUENT) -> DataFrame:
     """docs(doc_id, text) to doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a row for each.
 
     Texts, null as empty, are lower-cased (A-Z) and learnt from where
-    crc32(doc_id as text) mod 7 is not 2; a null doc_id is not held out. Word and
-    byte-context counts are summed within tasks first. Frequent words are looked
-    up in a broadcast whose size FREQUENT bounds; the others are joined by hash.
+    crc32(doc_id as text) mod 7 is not 2; a null doc_id is not held out. The trie
+    holds every context of the training texts, in tables. Of its pairs of context
+    and byte, and of those that held-out texts add, the commonest of each slot go
+    to every task, in a table of fixed size; the others' logs are joined to the
+    texts that hold them, like those of rare words. Without training texts every
+    byte has a probability of 1/256.
     """
     import math
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = materialize(d.where(~held).select("text").mapInArrow(_counted, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    counts = materialize(d.select("text", held.alias("held")).mapInArrow(_counted, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     sums = {r["kind"]: (r["n"], r["v"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     texts = sums.get(2, (0, 0))[0]
     tokens, kinds = sums.get(0, (0, 0))[0] + texts, sums.get(0, (0, 0))[1] + (texts > 0)
     floor = math.log10(tokens + kinds + 1)
     vocabulary = counts.where("kind = 0").select("key", "n")
-    top = vocabulary.where(F.col("n") * FREQUENT >= tokens).toArrow().sort_by("key")
-    rare = vocabulary.where(F.col("n") * FREQUENT < tokens)
-    model = byte_model(counts.where("kind = 1").select("key", "n"))
-    shared = docs.sparkSession.sparkContext.broadcast((top["key"].to_numpy(), top["n"].to_numpy(), model))
+    top = vocabulary.where(F.col("n") * frequent >= tokens).toArrow().sort_by("key")
+    rare = vocabulary.where(F.col("n") * frequent < tokens)
+    entries, nodes = trie(counts.where("kind = 1").select("key", "n"))
+    logs = materialize(pair_logs(entries, nodes, counts.where("kind = 3").select("key", "n")))
+    slot = (F.col("key") % ((1 << slots) - 9)).alias("slot")
+    common = logs.groupBy(slot).agg(F.max_by(F.struct("key", "log"), F.struct("n", "key")).alias("x")).select("slot", "x.key", F.col("x.log").cast("float").alias("log")).toArrow()  # a row a slot at most
+    shared = docs.sparkSession.sparkContext.broadcast((top["key"].to_numpy(), top["n"].to_numpy(), *(common[c].to_numpy() for c in ("slot", "key", "log"))))
     end = math.log10(texts + 1)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        keys, ns, ppm = shared.value
+        keys, ns, taken, pair_keys, pair_log = shared.value
         logs = np.log10(ns + 1.0)
+        of, value = np.full(1 << slots, -1), np.zeros(1 << slots, np.float32)
+        of[taken], value[taken] = pair_keys, pair_log
         for b in batches:
-            cols = [[] for _ in range(5)]
+            cols = [[] for _ in range(6)]
             for t in b.column(1).to_pylist():
-                data = _bytes(t)
-                h = _word_hash(data.split())
-                at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-                hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-                for col, v in zip(cols, (len(h) + 1, int(hit.sum()) + (texts > 0), float(logs[at[hit]].sum()) + end, ppm.score(data), h[~hit])):
+                data, n, known, base, far = _bytes(t), 1, int(texts > 0), end, []
+                for part in _split(data, step):
+                    h = _word_hash(part)
+                    at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
+                    hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
+                    n, known, base = n + len(h), known + int(hit.sum()), base + float(logs[at[hit]].sum())
+                    far.append(h[~hit])
+                score, rest = 0.0, []
+                for pairs in _pairs(data, step):
+                    at = _slots(pairs, slots)
+                    hit = of[at] == pairs
+                    score += float(value[at[hit]].sum(dtype=np.float64))
+                    rest.append(pairs[~hit])
+                for col, v in zip(cols, (n, known, base, score, np.concatenate([np.empty(0, np.int64), *far]), np.concatenate(rest))):
                     col.append(v)
-            kinds_ = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds_)]], ["doc_id", "n_tokens", "n_top", "top_logs", "score", "rest"])
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, types)]], ["doc_id", "n_tokens", "n_top", "top_logs", "top_score", "words", "pairs"])
 
-    scored = d.mapInArrow(run, "doc_id long, n_tokens long, n_top long, top_logs double, score double, rest array<long>")
+    scored = d.mapInArrow(run, "doc_id long, n_tokens long, n_top long, top_logs double, top_score double, words array<long>, pairs array<long>")
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()))
-    more = scored.select("row", F.explode("rest").alias("key")).join(rare, "key").groupBy("row").agg(F.count("*").alias("n"), F.sum(F.log10(F.col("n") + 1)).alias("logs"))
-    out = scored.drop("rest").join(more, "row", "left")
+    asked = scored.select("row", F.explode("words").alias("key"), F.lit(0).alias("kind")).union(scored.select("row", F.explode("pairs"), F.lit(1)))
+    table = rare.select("key", F.lit(0).alias("kind"), F.log10(F.col("n") + 1).alias("log")).union(logs.select("key", F.lit(1), "log"))
+    more = asked.groupBy("row", "kind", "key").agg(F.count("*").alias("times")).join(table, ["key", "kind"])
+    value = F.col("times") * F.col("log")
+    more = more.groupBy("row").agg(F.sum(F.when(F.col("kind") == 0, F.col("times"))).alias("n"), F.sum(F.when(F.col("kind") == 0, value)).alias("logs"), F.sum(F.when(F.col("kind") == 1, value)).alias("score"))
+    out = scored.drop("words", "pairs").join(more, "row", "left")
+    zero = F.lit(0.0)
     return out.select(
-        "doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False)).alias("held_out"), "n_tokens", (F.col("n_top") + F.coalesce("n", F.lit(0))).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"), (F.col("top_logs") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * floor).alias("base_score"), "score",
-    )
+        "doc_id",
+        held.alias("held_out"),
+        "n_tokens",
+        (F.col("n_top") + F.coalesce("n", F.lit(0))).alias("n_known"),
+        F.lit(tokens).cast("long").alias("train_tokens"),
+        (F.col("top_logs") + F.coalesce("logs", zero) - F.col("n_tokens") * floor).alias("base_score"),
+        (F.col("top_score") + F.coalesce("score", zero)).alias("score"),
+    )

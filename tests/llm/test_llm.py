@@ -437,10 +437,13 @@ def test_unigram_lattice_takes_the_best_path(spark):
         assert "".join(got) == (w or "") and sum(score[p] for p in got) == pytest.approx(best(w or ""))
 
 
-def test_lm(spark):
+@pytest.mark.parametrize("slots", [21, 6])
+def test_lm(spark, slots):
+    """Every context counts; with few slots nearly all pairs go by the joins, with short steps texts go in parts."""
+    few = {} if slots == 21 else {"slots": 6, "step": 100, "frequent": 4}
     texts = AWKWARD + [prose(60, 400 + k) for k in range(60)]
     d = docs(spark, texts)
-    got = {r["doc_id"]: r for r in lm.score_documents(d).collect()}
+    got = {r["doc_id"]: r for r in lm.score_documents(d, **few).collect()}
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     words = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
     c = Counter(w for i, t in enumerate(texts) if not held(i) for w in [*words(t), b" "])
@@ -452,7 +455,6 @@ def test_lm(spark):
             for k in range(lm.ORDER, len(s)):
                 for o in range(lm.ORDER + 1):
                     trie[s[k - o : k], s[k]] += 1
-    total = sum(x for (ctx, _), x in trie.items() if not ctx)
     size = Counter()
     for (ctx, _), x in trie.items():
         size[ctx] += x
@@ -463,7 +465,7 @@ def test_lm(spark):
             mass, gone = 1.0, set()
             for o in range(lm.ORDER, -1, -1):
                 ctx = s[k - o : k]
-                if not size[ctx] or (o > 1 and size[ctx] * lm.SHARE < total):
+                if not size[ctx]:
                     continue
                 seen = {b: trie[ctx, b] for b in range(256) if trie[ctx, b] and b not in gone}
                 if not seen:
@@ -485,7 +487,13 @@ def test_lm(spark):
         assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w))
         if len(w) < 100:
             assert r["score"] == pytest.approx(ppm(t), rel=1e-5)
+    if slots == 6:
+        return
     assert lm.score_documents(d.limit(0)).count() == 0
+    alone = [r for r in lm.score_documents(d.where(F.expr("crc32(cast(cast(doc_id AS string) AS binary)) % 7 = 2"))).collect()]
+    assert alone and all(r["n_known"] == r["train_tokens"] == 0 and r["score"] == pytest.approx(-math.log10(256) * (len((texts[r["doc_id"]] or "").encode()) + 1)) for r in alone)
+    twins = lm.score_documents(docs(spark, ["a b", "c", "a b"], [8, 8, None])).collect()
+    assert [r["n_tokens"] for r in sorted(twins, key=lambda r: r["n_tokens"])] == [2, 3, 3]
     assert lm.adaptive_cost("abab" * 20) > lm.adaptive_cost(prose(14, 3)[:80])
 
 
