@@ -11,10 +11,8 @@ from .common import materialize
 END = 255
 #: Bytes of the longest context. Every context of the training texts is a node of the trie.
 ORDER = 5
-#: Words with at least 1/FREQUENT of all training tokens are broadcast; so there are no more of them. The others are joined.
-FREQUENT = 1 << 19
-#: Slots (2 to this power) of the table in which every task counts pairs, and of that of common pairs sent to all tasks.
-SLOTS = 21
+#: Slots (2 to this power) of the table in which every task counts pairs, and of those of common pairs and words sent to all tasks.
+SLOTS, PAIR_SLOTS, WORD_SLOTS = 21, 22, 20
 #: Bytes of a text that are looked at together.
 STEP = 1 << 20
 
@@ -38,10 +36,34 @@ def _pairs(data: bytes, step: int = STEP):
 
 
 def _slots(keys, slots: int = SLOTS):
-    """The slot of each pair: its remainder by a prime."""
+    """The slot of each key: its remainder by an odd number (a prime for 21 bits)."""
     return keys % ((1 << slots) - 9)
 
 
+def _common(table: DataFrame, column: str, slots: int):
+    """table(key, n, column) to (slots, keys, values) arrays: the commonest key of each slot, so at most 2 ** slots rows."""
+    slot = F.pmod("key", F.lit((1 << slots) - 9)).alias("slot")
+    t = table.groupBy(slot).agg(F.max_by(F.struct("key", column), F.struct("n", "key")).alias("x")).select(F.col("slot").cast("int"), "x.key", F.col(f"x.{column}").alias("value")).toArrow()
+    return tuple(t[c].to_numpy() for c in ("slot", "key", "value"))
+
+
+class _Table:
+    """A lookup by slot."""
+
+    def __init__(self, slots: int, taken, keys, values):
+        import numpy as np
+
+        self.slots, self.key, self.value = slots, np.full(1 << slots, -1), np.zeros(1 << slots, np.float32 if values.dtype.kind == "f" else np.int64)
+        self.held = np.zeros(1 << slots, bool)
+        self.key[taken], self.value[taken], self.held[taken] = keys, values, True
+
+    def find(self, keys):
+        """(values of the keys that are here, which keys are)."""
+        at = _slots(keys, self.slots)
+        hit = (self.key[at] == keys) & self.held[at]
+        return self.value[at[hit]], hit
+
+
 class _Counter:
     """Counts of pairs: those that come first to their slot in a table, the others by sorting."""
 
@@ -239,15 +261,15 @@ def adaptive_cost(text: str | None, order: int = ORDER) -> float:
     return total
 
 
-def score_documents(docs: DataFrame, slots: int = SLOTS, step: int = STEP, frequent: int = FREQUENT) -> DataFrame:
+def score_documents(docs: DataFrame, pair_slots: int = PAIR_SLOTS, word_slots: int = WORD_SLOTS, step: int = STEP) -> DataFrame:
     """docs(doc_id, text) to doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a row for each.
 
     Texts, null as empty, are lower-cased (A-Z) and learnt from where
     crc32(doc_id as text) mod 7 is not 2; a null doc_id is not held out. The trie
     holds every context of the training texts, in tables. Of its pairs of context
-    and byte, and of those that held-out texts add, the commonest of each slot go
-    to every task, in a table of fixed size; the others' logs are joined to the
-    texts that hold them, like those of rare words. Without training texts every
+    and byte, of those that held-out texts add, and of words, the commonest of each
+    slot go to every task, in tables of fixed size; the others' logs are joined to
+    the texts that hold them. Without training texts every
     byte has a probability of 1/256.
     """
     import math
@@ -260,38 +282,30 @@ def score_documents(docs: DataFrame, slots: int = SLOTS, step: int = STEP, frequ
     tokens, kinds = sums.get(0, (0, 0))[0] + texts, sums.get(0, (0, 0))[1] + (texts > 0)
     floor = math.log10(tokens + kinds + 1)
     vocabulary = counts.where("kind = 0").select("key", "n")
-    top = vocabulary.where(F.col("n") * frequent >= tokens).toArrow().sort_by("key")
-    rare = vocabulary.where(F.col("n") * frequent < tokens)
     entries, nodes = trie(counts.where("kind = 1").select("key", "n"))
     logs = materialize(pair_logs(entries, nodes, counts.where("kind = 3").select("key", "n")))
-    slot = (F.col("key") % ((1 << slots) - 9)).alias("slot")
-    common = logs.groupBy(slot).agg(F.max_by(F.struct("key", "log"), F.struct("n", "key")).alias("x")).select("slot", "x.key", F.col("x.log").cast("float").alias("log")).toArrow()  # a row a slot at most
-    shared = docs.sparkSession.sparkContext.broadcast((top["key"].to_numpy(), top["n"].to_numpy(), *(common[c].to_numpy() for c in ("slot", "key", "log"))))
+    words = vocabulary.select("key", "n", F.log10(F.col("n") + 1).alias("log"))
+    shared = docs.sparkSession.sparkContext.broadcast((_common(words, "n", word_slots), _common(logs, "log", pair_slots)))
     end = math.log10(texts + 1)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        keys, ns, taken, pair_keys, pair_log = shared.value
-        logs = np.log10(ns + 1.0)
-        of, value = np.full(1 << slots, -1), np.zeros(1 << slots, np.float32)
-        of[taken], value[taken] = pair_keys, pair_log
+        common_words, common_pairs = _Table(word_slots, *shared.value[0]), _Table(pair_slots, *shared.value[1])
         for b in batches:
             cols = [[] for _ in range(6)]
             for t in b.column(1).to_pylist():
                 data, n, known, base, far = _bytes(t), 1, int(texts > 0), end, []
                 for part in _split(data, step):
                     h = _word_hash(part)
-                    at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-                    hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-                    n, known, base = n + len(h), known + int(hit.sum()), base + float(logs[at[hit]].sum())
+                    counted, hit = common_words.find(h)
+                    n, known, base = n + len(h), known + len(counted), base + float(np.log10(counted + 1.0, dtype=np.float64).sum())
                     far.append(h[~hit])
                 score, rest = 0.0, []
                 for pairs in _pairs(data, step):
-                    at = _slots(pairs, slots)
-                    hit = of[at] == pairs
-                    score += float(value[at[hit]].sum(dtype=np.float64))
+                    found, hit = common_pairs.find(pairs)
+                    score += float(found.sum(dtype=np.float64))
                     rest.append(pairs[~hit])
                 for col, v in zip(cols, (n, known, base, score, np.concatenate([np.empty(0, np.int64), *far]), np.concatenate(rest))):
                     col.append(v)
@@ -301,7 +315,7 @@ def score_documents(docs: DataFrame, slots: int = SLOTS, step: int = STEP, frequ
     scored = d.mapInArrow(run, "doc_id long, n_tokens long, n_top long, top_logs double, top_score double, words array<long>, pairs array<long>")
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()))
     asked = scored.select("row", F.explode("words").alias("key"), F.lit(0).alias("kind")).union(scored.select("row", F.explode("pairs"), F.lit(1)))
-    table = rare.select("key", F.lit(0).alias("kind"), F.log10(F.col("n") + 1).alias("log")).union(logs.select("key", F.lit(1), "log"))
+    table = words.select("key", F.lit(0).alias("kind"), "log").union(logs.select("key", F.lit(1), "log"))
     more = asked.groupBy("row", "kind", "key").agg(F.count("*").alias("times")).join(table, ["key", "kind"])
     value = F.col("times") * F.col("log")
     more = more.groupBy("row").agg(F.sum(F.when(F.col("kind") == 0, F.col("times"))).alias("n"), F.sum(F.when(F.col("kind") == 0, value)).alias("logs"), F.sum(F.when(F.col("kind") == 1, value)).alias("score"))

@@ -440,7 +440,7 @@ def test_unigram_lattice_takes_the_best_path(spark):
 @pytest.mark.parametrize("slots", [21, 6])
 def test_lm(spark, slots):
     """Every context counts; with few slots nearly all pairs go by the joins, with short steps texts go in parts."""
-    few = {} if slots == 21 else {"slots": 6, "step": 100, "frequent": 4}
+    few = {} if slots == 21 else {"pair_slots": 6, "word_slots": 5, "step": 100}
     texts = AWKWARD + [prose(60, 400 + k) for k in range(60)]
     d = docs(spark, texts)
     got = {r["doc_id"]: r for r in lm.score_documents(d, **few).collect()}
