@@ -219,17 +219,66 @@ def test_substring_dedup(spark):
     assert paragraphs.remove_repeats(d.limit(0)).count() == 0
 
 
-def test_paragraph_buckets_beyond_the_cap_are_joined(spark):
-    base = prose(90, 77).split()
-    texts = []
-    for k in range(25):
-        w = list(base)
-        w[k * 3] = f"edit{k}"
-        texts.append(" ".join(w))
-    d = docs(spark, texts).select("doc_id", "text")
-    p = common.materialize(d.mapInArrow(paragraphs._paragraphs(14, 4), "doc_id long, start int, end int, h long, bands array<long>"))
-    ends = [sorted((r["node"], r["component"]) for r in common.components(paragraphs.near_paragraphs(d, p, bucket_rows=cap)).collect()) for cap in (1, 4096)]
-    assert ends[0] == ends[1] and len(ends[0]) > 15
+def brute_repeats(texts):
+    """Words removed by line: a line of five words and more that equals or nearly equals, over links, an earlier one."""
+    lines = []
+    for i, t in enumerate(texts):
+        at = 0
+        for part in (t or "").encode().lower().split(b"\n"):
+            w = part.split()
+            if len(w) >= 5:
+                lines.append((i, at, at + len(w), frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4))))
+            at += len(w)
+    group = brute_groups(lines, lambda a, b: len(a[3] & b[3]) >= 0.8 * len(a[3] | b[3]))
+    return {(i, k) for j, (i, s, e, _) in enumerate(lines) if group[j] != j for k in range(s, e)}
+
+
+def test_paragraphs_equal_brute_force(spark):
+    """Lines of any length from five words on, near copies with edits anywhere, chains, equal lines of one text."""
+    texts = list(AWKWARD)
+    for k in range(60):
+        rng = random.Random(k)
+        own = [prose(rng.choice([4, 5, 6, 9, 14, 24, 30, 80]), 300 + 7 * k + j).split() for j in range(4)]
+        old = prose([5, 8, 12, 30, 60][k % 5], 9000 + k % 12).split()
+        for _ in range(rng.choice([0, 0, 1])):
+            old[rng.randrange(len(old))] = f"edit{k}"
+        texts.append("\n".join(" ".join(w) for w in [*own[:2], old, *own[2:], own[0]]))
+    d = docs(spark, texts)
+    want = brute_repeats(texts)
+    got = {(r["doc_id"], k) for r in paragraphs.repeats(d).collect() for x in r["spans"] for k in range(x["start"], x["end"])}
+    assert len(want) > 500 and not want - got
+    for i, k in got - want:  # only what is repeated word for word over a run of lines or passages
+        w = (texts[i] or "").lower().split()
+        here = any(" ".join(w[j : j + 10]) in " ".join((t or "").lower().split()) for j in range(max(0, k - 9), k + 1) for t in texts[: i + 1])
+        assert here
+    small = {r["doc_id"]: r["spans"] for r in paragraphs.repeats(d, bucket_rows=1).collect()}
+    assert small == {r["doc_id"]: r["spans"] for r in paragraphs.repeats(d).collect()}
+
+
+def test_passages_of_fifty_words_are_found_whole(spark):
+    texts, where = [], []
+    for k in range(120):
+        rng = random.Random(k)
+        p = [f"p{k}w{rng.randrange(40)}" if k % 3 else f"p{k}w{j % 9}" for j in range(rng.randint(51, 140))]
+        for copy in range(2):
+            a, b = [f"a{k}x{copy}y{j}" for j in range(rng.randint(0, 90))], [f"b{k}x{copy}y{j}" for j in range(rng.randint(0, 90))]
+            texts.append(" ".join(a + p + b))
+            where.append((len(a), len(a) + len(p)))
+    got = {r["doc_id"]: [(x["start"], x["end"]) for x in r["spans"]] for r in paragraphs.repeats(docs(spark, texts)).collect()}
+    for k in range(0, 240, 2):
+        s, e = where[k + 1]
+        kept = [j for j in range(s, e) if not any(a <= j < b for a, b in got.get(k + 1, []))]
+        assert not kept and all(s <= a and b <= e for a, b in got[k + 1]), (k, s, e, got.get(k + 1))
+        if (k // 2) % 3:
+            assert k not in got
+
+
+def test_paragraph_tables_with_repeated_and_missing_ids(spark):
+    t = prose(60, 5)
+    other = prose(50, 6) + "\n"
+    d = docs(spark, [t, t, t, other + t, None, prose(40, 7)], [3, None, 3, 4, 3, 3])
+    out = sorted((r["doc_id"] or 0, r["text"] or "") for r in paragraphs.remove_repeats(d).collect())
+    assert out == sorted([(3, t), (0, t), (3, t), (4, other.strip()), (3, ""), (3, prose(40, 7))])
     assert paragraphs.tune_bands(0.8, 0.998) == 12
 
 
