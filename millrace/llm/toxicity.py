@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, materialize
+
 #: Hash buckets of words and of their first letters; embedding width; filter widths; filters of each.
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 12, (1, 2, 3), 12
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE_ROWS = 6000
+#: Characters of their texts in all, at most: the driver holds them as numbers.
+SAMPLE_CHARS = 64_000_000
+#: Steps of a logit in which scores are counted, and the largest logit.
+STEPS, LARGEST = 20, 30
 #: Words scored at a time.
 CHUNK = 1 << 15
 
@@ -114,53 +120,86 @@ class TextCNN:
         return self
 
 
-def calibrated(scores, labels, langs, least: int = 20) -> dict[str | None, float]:
-    """The threshold with the best F1 by language (None: all); languages with fewer than `least` labels of a kind take None's, which then is 0.5."""
-    out = {}
-    for lang in {None, *langs}:
-        own = sorted((s, y) for s, y, x in zip(scores, labels, langs) if lang is None or x == lang)
-        pos = sum(y for _, y in own)
-        if min(pos, len(own) - pos) < least:
-            if lang is None:
-                out[None] = 0.5
+def calibrated(counts, least: int = 20) -> dict[str | None, float]:
+    """counts of (lang, step, label, n) to the threshold with the best F1 by language (None: all).
+
+    Languages with fewer than `least` labels of a kind take None's, which then is
+    0.5; a row without a language counts under None alone.
+    """
+    import math
+
+    out = {None: 0.5}
+    langs = {lang for lang, _, _, _ in counts if lang is not None}
+    for lang in [None, *sorted(langs)]:
+        own: dict[int, list[int]] = {}
+        for x, step, y, n in counts:
+            if lang is None or x == lang:
+                own.setdefault(step, [0, 0])[y] += n
+        pos, neg = sum(v[1] for v in own.values()), sum(v[0] for v in own.values())
+        if min(pos, neg) < least:
             continue
-        best, out[lang], hit = -1.0, 0.5, pos
-        for k, (s, y) in enumerate(own):  # those from k on are called toxic
-            f1 = 2 * hit / max(1, pos + len(own) - k)
+        best, hit, called = -1.0, pos, pos + neg
+        for step in sorted(own):  # this step and those above are called toxic
+            f1 = 2 * hit / (pos + called)
             if f1 > best:
-                best, out[lang] = f1, ((own[k - 1][0] if k else 0.0) + s) / 2
-            hit -= y
+                best, out[lang] = f1, 1 / (1 + math.exp(-(step - 0.5) / STEPS))
+            hit, called = hit - own[step][1], called - sum(own[step])
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
-    """(model, thresholds by language) from at most `sample_rows` labelled documents, those with the smallest hash of doc_id.
+def _learnable(labels: DataFrame) -> DataFrame:
+    """(_id, _y) of the labelled documents that may be learnt from: crc32(doc_id as text) mod 5 is not 0."""
+    y = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL AND crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 0")
+    return y.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("_y"))
+
 
-    Rows whose crc32(doc_id as text) mod 5 is 0 are never learnt from. Of the
-    sample, a tenth sets the thresholds. Null labels, and documents without a
-    text, teach nothing; without both kinds of label the model is untrained.
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS):
+    """(model, fitted ids): fitted on at most `sample_rows` labelled documents, those with the smallest hash of doc_id.
+
+    Of these, nine in ten are fitted on, as long as their texts have `sample_chars`
+    characters at most. Null labels, and documents without a text, teach nothing;
+    without both kinds of label the model is untrained. Of documents that share an id
+    each text is learnt.
     """
-    pick = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL AND crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 0").groupBy("doc_id").agg(F.max("toxic").alias("_y"))
-    pick = pick.select(F.col("doc_id").alias("_id"), "_y").orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    pick = _learnable(labels).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
 
     def ids(batches):
         import pyarrow as pa
 
         for b in batches:
             flat = [word_ids(t).ravel() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_y"), b.column("lang"), pa.array(flat, pa.list_(pa.int32()))], ["id", "y", "lang", "ids"])
-
-    d = docs.select("doc_id", "text", lang.alias("lang")).join(F.broadcast(pick), F.col("doc_id") == F.col("_id")).select(F.col("_id").cast("long"), F.col("_y").cast("int"), "lang", "text")
-    got = d.mapInArrow(ids, "id long, y int, lang string, ids array<int>").toArrow().sort_by("id")
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_y"), pa.array(flat, pa.list_(pa.int32()))], ["id", "y", "ids"])
+
+    d = docs.select("doc_id", "text").join(F.broadcast(pick), F.col("doc_id") == F.col("_id")).select(F.col("_id").cast("long").alias("_id"), "_y", "text")
+    total, chosen = 0, []
+    for k, r in enumerate(d.groupBy("_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n")).orderBy(F.xxhash64("_id"), "_id").collect()):  # at most sample_rows
+        total += r["n"]
+        if k % 10 and total <= sample_chars:
+            chosen.append(r["_id"])
+    fitted = docs.sparkSession.createDataFrame([(i,) for i in chosen], "_fit long")
+    got = d.join(F.broadcast(fitted), F.col("_id") == F.col("_fit"), "left_semi").mapInArrow(ids, "id long, y int, ids array<int>").toArrow()
+    got = got.append_column("size", pa_lengths(got["ids"])).sort_by([("id", "ascending"), ("size", "ascending")])
     xs = [x.values.to_numpy().reshape(-1, 2) if (x := got["ids"][i]).values is not None else None for i in range(len(got))]
-    ys, langs = got["y"].to_pylist(), got["lang"].to_pylist()
+    ys = got["y"].to_pylist()
     model = TextCNN()
-    hold = [i % 10 == 0 for i in range(len(xs))]
     if len(set(ys)) == 2:
-        model.fit([x for x, h in zip(xs, hold) if not h], [y for y, h in zip(ys, hold) if not h])
-    held = [i for i, h in enumerate(hold) if h]
-    return model, calibrated([model.score(xs[i]) for i in held], [ys[i] for i in held], [langs[i] for i in held])
+        model.fit(xs, ys)
+    return model, fitted
+
+
+def pa_lengths(lists):
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.list_value_length(lists), 0)
+
+
+def thresholds(scored: DataFrame, labels: DataFrame, fitted: DataFrame) -> dict[str | None, float]:
+    """calibrated() over scored(doc_id, lang, score): all learnable labelled documents that the model was not fitted on, counted in the cluster."""
+    own = _learnable(labels).join(F.broadcast(fitted), F.col("_id") == F.col("_fit"), "left_anti")
+    s = F.least(F.greatest(F.col("score"), F.lit(1e-12)), F.lit(1 - 1e-12))
+    step = F.round(F.least(F.greatest(F.log(s / (1 - s)), F.lit(-LARGEST)), F.lit(LARGEST)) * STEPS).cast("int")
+    counts = scored.join(own, scored["doc_id"] == own["_id"]).groupBy("lang", step.alias("step"), "_y").agg(F.count("*").alias("n"))
+    return calibrated([tuple(r) for r in counts.collect()])  # at most 2 * (2 * STEPS * LARGEST + 1) rows a language
 
 
 def score(docs: DataFrame, model: TextCNN) -> DataFrame:
@@ -179,16 +218,25 @@ def score(docs: DataFrame, model: TextCNN) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__mr_score", T.DoubleType())]))
 
 
+def _scored(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict]:
+    """A table (doc_id, lang, t, score), t the text's hash, of every row, and the thresholds by language."""
+    model, fitted = train(docs, labels)
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    d = docs.select("doc_id", lang.alias("lang"), F.xxhash64("text").alias("t"), "text")
+    s = materialize(score(d, model).select("doc_id", "lang", "t", F.col("__mr_score").alias("score")))
+    return s, thresholds(s, labels, fitted)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted (score >= 0.5), lang_threshold, rejected (score above its language's threshold).
+    """doc_id, held_out, score, predicted (score >= 0.5), lang_threshold, rejected (score at its language's threshold or above).
 
     Every row of docs(doc_id, text[, lang]); labels(doc_id, toxic). lang chooses
-    the threshold only.
+    the threshold only. Null texts count as empty.
     """
-    model, by_lang = train(docs, labels)
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    s = score(docs.select("doc_id", "text", lang.alias("lang")), model)
-    return s.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out"), F.col("__mr_score").alias("score"), (F.col("__mr_score") >= 0.5).cast("int").alias("predicted"), threshold(by_lang).alias("lang_threshold"), (F.col("__mr_score") >= threshold(by_lang)).alias("rejected"))
+    s, by_lang = _scored(docs, labels)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    limit = threshold(by_lang)
+    return s.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), limit.alias("lang_threshold"), (F.col("score") >= limit).alias("rejected"))
 
 
 def threshold(by_lang: dict) -> F.Column:
@@ -199,8 +247,9 @@ def threshold(by_lang: dict) -> F.Column:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that the classifier rejects; columns as they were."""
-    model, by_lang = train(docs, labels)
-    kept = score(docs, model)
-    limit = threshold(by_lang) if "lang" in docs.columns else F.lit(float(by_lang.get(None, 0.5)))
-    return kept.where(F.col("__mr_score") < limit).drop("__mr_score")
+    """docs without those that the classifier rejects; columns as they were. Rows that share an id and a text stay or go together."""
+    s, by_lang = _scored(docs, labels)
+    gone = materialize(s.where(F.col("score") >= threshold(by_lang)).select(F.col("doc_id").alias("__mr_id"), F.col("t").alias("__mr_t")).distinct())
+    discard(s)
+    same = docs["doc_id"].eqNullSafe(F.col("__mr_id")) & (F.xxhash64(docs["text"]) == F.col("__mr_t"))
+    return docs.join(gone, same, "left_anti")

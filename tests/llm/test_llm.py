@@ -546,6 +546,44 @@ def test_lm(spark, slots):
     assert lm.adaptive_cost("abab" * 20) > lm.adaptive_cost(prose(14, 3)[:80])
 
 
+def test_thresholds_by_language():
+    rng = random.Random(5)
+    counts = Counter((lang, round((rng.gauss(1.5, 1) if y else rng.gauss(-1, 1)) * toxicity.STEPS), y) for lang in ("en", "de") for y in (0, 1) for _ in range(300))
+    counts += Counter(("es", 40 * y, y) for y in (0, 1) for _ in range(5))
+    rows = [(*k, n) for k, n in counts.items()]
+    got = toxicity.calibrated(rows)
+    assert set(got) == {None, "en", "de"}
+
+    def f1(lang, t):
+        own = [(1 / (1 + math.exp(-s / toxicity.STEPS)) >= t, y, n) for x, s, y, n in rows if lang in (None, x)]
+        hit = sum(n for c, y, n in own if c and y)
+        return 2 * hit / (sum(n for c, _, n in own if c) + sum(n for _, y, n in own if y))
+
+    for lang, t in got.items():
+        assert f1(lang, t) == pytest.approx(max(f1(lang, k / 200) for k in range(1, 200)), abs=0.01)
+    assert toxicity.calibrated([]) == {None: 0.5} == toxicity.calibrated([("en", 3, 1, 50)])
+
+
+def test_classifier_equals_a_plain_convolution():
+    """pooled() over chunks against loops over all positions, and a step of training against numeric gradients."""
+    model = toxicity.TextCNN()
+    for n in (0, 1, 2, 3, 50):
+        ids = toxicity.word_ids(prose(n, n) if n else "")
+        x = [model.embed(ids[k : k + 1])[0] for k in range(len(ids))]
+        best = model.pooled(ids)
+        for w in toxicity.WIDTHS:
+            rows = x + [np.zeros(toxicity.DIM, np.float32)] * max(0, w - len(x))
+            want = np.max([np.maximum(0, np.concatenate(rows[k : k + w]) @ model.filters[w] + model.bias[w]) for k in range(len(rows) - w + 1)], axis=0)
+            assert np.allclose(best[w][0], want, atol=1e-5)
+    long = toxicity.word_ids(prose(toxicity.CHUNK + 40, 3))
+    a, b = model.pooled(long), [model.pooled(long[s : s + toxicity.CHUNK // 2 + 5]) for s in range(0, len(long), toxicity.CHUNK // 2)]
+    for w in toxicity.WIDTHS:
+        assert np.allclose(a[w][0], np.max([x[w][0] for x in b], axis=0), atol=1e-5)
+    ids, before = toxicity.word_ids("some words of one text"), model.score(toxicity.word_ids("some words of one text"))
+    model.fit([ids, toxicity.word_ids("quite other ones")], [1, 0], epochs=20)
+    assert model.score(ids) > max(before, 0.6) and model.score(toxicity.word_ids("quite other ones")) < 0.4
+
+
 def test_toxicity(spark):
     slurs = ["grunk", "blarf", "snode", "vexil", "quorp"]
     texts, toxic = [], []
@@ -566,6 +604,8 @@ def test_toxicity(spark):
     assert kept.columns == d.columns
     left = {r["doc_id"] for r in kept.collect()}
     assert sum(toxic[i] for i in left if i < 500) <= 5 and sum(not toxic[i] for i in left if i < 500) >= 390 and {500, 501} <= left
+    odd = toxicity.classify(docs(spark, AWKWARD, [None, 1, 1, *range(3, len(AWKWARD))]), labels.withColumn("toxic", F.lit(None).cast("int"))).collect()
+    assert len(odd) == len(AWKWARD) and all(0 <= r["score"] <= 1 and r["lang_threshold"] == 0.5 for r in odd)
     assert toxicity.keep_clean(d, labels.limit(0)).count() <= 502 and toxicity.classify(d.limit(0), labels).count() == 0
 
 
