@@ -126,8 +126,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-#: A table may be broadcast if it is written in at most so many bytes, whatever the input's size.
-BROADCAST_BYTES = 4 << 20
+#: A table may be broadcast if it is written in at most so many bytes, and has so many values, whatever the input's size.
+BROADCAST_BYTES, BROADCAST_VALUES = 4 << 20, 1 << 20
 
 
 def written_bytes(df: DataFrame) -> int:
@@ -137,9 +137,10 @@ def written_bytes(df: DataFrame) -> int:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A materialised table, hinted for broadcast if its size is within the limit; else it is joined by a shuffle."""
-    return F.broadcast(df) if written_bytes(df) <= limit else df
+def sized(df: DataFrame, limit: int = BROADCAST_BYTES, values: int = BROADCAST_VALUES) -> DataFrame:
+    """A materialised table, hinted for broadcast if it is small as written and, by rows and columns, in memory; else joined by a shuffle."""
+    small = written_bytes(df) <= limit and df.count() * len(df.columns) <= values
+    return F.broadcast(df) if small else df
 
 
 #: Bits of a membership bitmap: 8 MB, at most 2^20 rows to the driver.

@@ -13,7 +13,7 @@ SIMILARITY = 0.8
 #: two texts share has a passage that both have.
 WINDOW = 14
 #: Words on either side of a passage that are compared with those around its first occurrence.
-AROUND = 24
+AROUND = 20
 #: Words of the shortest repeated run, of passages side by side, that is removed from inside a line.
 SHORTEST = 25
 
@@ -186,8 +186,9 @@ def _paragraphs(bands: int, rows: int):
 def _details(again, compared):
     """Batches of (doc_id, text, t) to (kind, h, doc_id, t, start, end, left, right, set), of what the bitmap `again` holds.
 
-    left, right: hashes of the words around a passage, from it outwards. set: the
-    different shingles of a line that the bitmap `compared` holds.
+    left, right: hashes of the words around a run of such passages, from it outwards, at
+    its two outermost passages; else null. set: the different shingles of a line that
+    the bitmap `compared` holds.
     """
 
     def run(batches):
@@ -204,10 +205,17 @@ def _details(again, compared):
             batch = _Batch(b.column(1).to_pylist())
             text, start, end, h = batch.passages()
             hit = within(bits, h)
-            for k, s, e, x in zip(*(v[hit].tolist() for v in (text, start, end, h))):
-                short = batch.hashes[k][max(0, s - AROUND) : e + AROUND].view(np.int32)[::2]
-                own = s - max(0, s - AROUND)
-                for col, v in zip(cols, (PASSAGE, x, ids[k], ts[k], s, e, short[:own][::-1], short[own + e - s :], None)):
+            text, start, end, h = (v[hit] for v in (text, start, end, h))
+            joint = (text[1:] == text[:-1]) & (start[1:] + WIDTH == end[:-1])  # with the passage before
+            outer = np.ones((2, len(h)), bool)
+            outer[0, 1:], outer[1, :-1] = ~joint, ~joint
+            outer[0, 1:] |= outer[0, :-1].copy()  # the two passages at either end of a run: the last may be in the bitmap by chance
+            outer[1, :-1] |= outer[1, 1:].copy()
+            for k, s, e, x, l, r in zip(*(v.tolist() for v in (text, start, end, h, *outer))):
+                words = batch.hashes[k]
+                left = words[max(0, s - AROUND) : s].view(np.int32)[::2][::-1] if l else None
+                right = words[e : e + AROUND].view(np.int32)[::2] if r else None
+                for col, v in zip(cols, (PASSAGE, x, ids[k], ts[k], s, e, left, right, None)):
                     col.append(v)
             for k, s, e, sh in batch.paragraphs():
                 x = _mix(sh, 2)
@@ -309,10 +317,10 @@ def near_paragraphs(hits: DataFrame, sets: DataFrame, similarity: float = SIMILA
     return materialize(edges.distinct())
 
 
-def _alike(a: str, b: str):
+def _alike(a, b):
     """How many elements at the beginning of two arrays of ints are equal."""
     unlike = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
-    return F.when(unlike > 0, unlike - 1).otherwise(F.size(a)).cast("int")
+    return F.when(a.isNull() | b.isNull(), 0).when(unlike > 0, unlike - 1).otherwise(F.size(a)).cast("int")
 
 
 def _runs(batches):
@@ -350,8 +358,8 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, bands: int | None =
     components; a cluster's first paragraph, by doc_id and start, is no repeat.
     Passages, from one chosen shingle to the next (WINDOW), are held against each
     other by the hashes of all their shingles. One that occurs earlier is extended,
-    word by word, as far as the text around it equals that around its first
-    occurrence; runs of SHORTEST words and more go, also across lines. Words are
+    word by word, as far as the text around its run equals that around the first run
+    with the passage at that end; runs of SHORTEST words and more go, also across lines. Words are
     split at ASCII white space, A-Z lower-cased; null and short texts have no spans.
     """
     bands = bands or tune_bands(similarity, rows=rows)
@@ -370,10 +378,17 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, bands: int | None =
     first = placed.groupBy("cluster").agg(F.min(F.struct("doc_id", "t", "start")).alias("first"))
     whole = placed.join(first, "cluster").where("struct(doc_id, t, start) <> first").select("doc_id", "t", "start", "end", F.col("first.doc_id").alias("first_doc"), F.lit(True).alias("whole"))
     own = found.where(f"kind = {PASSAGE}").select("h", "doc_id", "t", "start", "end", "left", "right")
-    early = materialize(own.groupBy("h").agg(F.min_by(F.struct("doc_id", "t", "start", "left", "right"), F.struct("doc_id", "t", "start")).alias("f"), F.count("*").alias("n")).where("n > 1"))
-    pairs = own.join(early.drop("n"), "h").where("struct(doc_id, t, start) <> struct(f.doc_id, f.t, f.start)")
-    pairs = pairs.select("doc_id", "t", "start", "end", "left", "right", F.col("f.doc_id").alias("first_doc"), F.col("f.left").alias("fl"), F.col("f.right").alias("fr"))
-    inner = pairs.select("doc_id", "t", (F.col("start") - _alike("left", "fl")).alias("start"), (F.col("end") + _alike("right", "fr")).alias("end"), "first_doc", F.lit(False).alias("whole"))
+    at = F.struct("doc_id", "t", "start")
+    ends = [F.min(F.when(F.col(c).isNotNull(), F.struct("doc_id", "t", "start", c))).alias(f"f{c}") for c in ("left", "right")]
+    early = materialize(own.groupBy("h").agg(F.min(at).alias("f"), F.count("*").alias("n"), *ends).where("n > 1").drop("n"))
+    pairs = own.join(early, "h").where(at != F.col("f"))
+
+    def more(c):  # against the first occurrence that has words on that side, if it is an earlier one
+        other = F.col(f"f{c}")
+        earlier = F.struct(other["doc_id"].alias("doc_id"), other["t"].alias("t"), other["start"].alias("start")) < at
+        return F.when(earlier, _alike(F.col(c), other[c])).otherwise(0)
+
+    inner = pairs.select("doc_id", "t", (F.col("start") - more("left")).alias("start"), (F.col("end") + more("right")).alias("end"), F.col("f.doc_id").alias("first_doc"), F.lit(False).alias("whole"))
     spans = whole.union(inner).groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "end", "whole")).alias("spans"), F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
     out = materialize(spans.mapInArrow(_runs, "doc_id long, t long, spans array<struct<start:int,end:int>>, first_docs array<long>").where("size(spans) > 0"))
     for t in (p, lines, hits, found, sets, cluster, placed, early):

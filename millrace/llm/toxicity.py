@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, sized
 
 #: Hash buckets of words and of their first letters; embedding width; filter widths; filters of each.
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 12, (1, 2, 3), 12
@@ -252,4 +252,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     gone = materialize(s.where(F.col("score") >= threshold(by_lang)).select(F.col("doc_id").alias("__mr_id"), F.col("t").alias("__mr_t")).distinct())
     discard(s)
     same = docs["doc_id"].eqNullSafe(F.col("__mr_id")) & (F.xxhash64(docs["text"]) == F.col("__mr_t"))
-    return docs.join(gone, same, "left_anti")
+    return docs.join(sized(gone), same, "left_anti")
