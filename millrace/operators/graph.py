@@ -13,9 +13,17 @@ def coshare_edges(pairs: DataFrame, threshold: int) -> DataFrame:
     """pairs(node, item), distinct, to (src, dst), both directions: nodes that share at least `threshold` (1 or more) items."""
     if threshold < 1:
         raise ValueError("threshold must be at least 1")
+    return both_ways(share_counts(pairs).where(F.col("n") >= threshold))
+
+
+def share_counts(pairs: DataFrame) -> DataFrame:
+    """(src, dst, n), src < dst: how many items two nodes share."""
     a, b = pairs.select(F.col("node").alias("src"), "item"), pairs.select(F.col("node").alias("dst"), "item")
-    half = a.join(b, "item").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("n")).where(F.col("n") >= threshold).select("src", "dst")
-    return half.union(half.select("dst", "src"))
+    return a.join(b, "item").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def both_ways(half: DataFrame) -> DataFrame:
+    return half.select("src", "dst").union(half.select("dst", "src"))
 
 
 def label_propagation(edges: DataFrame, steps: int = 5) -> DataFrame:

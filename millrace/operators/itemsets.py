@@ -76,3 +76,8 @@ def fp_growth(baskets_: DataFrame, support: int) -> DataFrame:
     if not n:
         return baskets_.select(F.col("items").alias("itemset"), F.lit(0).cast("long").alias("n"))
     return FPGrowth(itemsCol="items", minSupport=max(0.0, (support - 0.5) / n)).fit(baskets_).freqItemsets.select(F.sort_array("items").alias("itemset"), F.col("freq").alias("n"))
+
+
+def longest(itemsets: DataFrame) -> DataFrame:
+    """(n): the size of the largest itemset, 0 without any."""
+    return itemsets.agg(F.coalesce(F.max(F.size("itemset")), F.lit(0)).cast("long").alias("n"))

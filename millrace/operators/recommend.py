@@ -24,9 +24,12 @@ def _similar(both: DataFrame, size: DataFrame, threshold: float) -> DataFrame:
 
 
 def minhash_signatures(pairs: DataFrame, user_number: str = "user", hashes: int = 100, modulus: int = 2_147_483_647) -> DataFrame:
-    """pairs(item, user: number) to (item, i, h): the least of each affine hash over an item's users; partial minima."""
+    """pairs(item, user: number or text) to (item, i, h): the least of each affine hash over an item's users; partial minima.
+
+    Texts are first turned into numbers by their hash; user_index() gives dense ones.
+    """
     a, b = F.pmod((F.col("i") + 1) * 1_103_515_245 + 12_345, F.lit(2_147_483_647)), coefficients(F.col("i"))[1]
-    x = pairs.select("item", F.col(user_number).cast("long").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(hashes - 1).cast("long"))).alias("i"))
+    x = pairs.select("item", (F.pmod(F.xxhash64(user_number), F.lit(modulus)) if pairs.schema[user_number].dataType.typeName() == "string" else F.col(user_number).cast("long")).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(hashes - 1).cast("long"))).alias("i"))
     y = F.pmod(F.col("x"), F.lit(2_147_483_647))
     spread = F.pmod(F.pmod(y * y, F.lit(1_000_000_007)) * 48271 + y * 69621 + 7, F.lit(1_000_000_007))  # not affine in x, so that the hashes of close numbers are unalike
     return x.groupBy("item", "i").agg(F.min(affine(spread, a, b, modulus)).alias("h"))
@@ -130,3 +133,17 @@ def hybrid(tree: DataFrame, cf: DataFrame, weight: float = 0.78) -> DataFrame:
 
 def rmse(df: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
     return df.agg(F.round(F.sqrt(F.avg(F.pow(F.col(label) - F.col(prediction), F.lit(2)))), 6).alias("rmse"))
+
+
+def user_index(pairs: DataFrame, user: str = "user") -> DataFrame:
+    """(user, n): users numbered from 0 in their order, without one sort task."""
+    from ..plans.lineage import numbered
+
+    return numbered(pairs.select(user).where(F.col(user).isNotNull()).distinct(), [user], "_n").select(user, (F.col("_n") - 1).alias("n"))
+
+
+def distinct_predictions(predictions: DataFrame, user: str = "user_id", item: str = "business_id") -> DataFrame:
+    """One row a pair, that with the smallest row_id, so that the choice is the same however rows are dealt."""
+    rest = [c for c in predictions.columns if c not in (user, item)]
+    best = predictions.groupBy(user, item).agg(F.min_by(F.struct(*rest), F.col("row_id")).alias("_x"))
+    return best.select(user, item, *[F.col(f"_x.{c}").alias(c) for c in rest])

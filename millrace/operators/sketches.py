@@ -1,18 +1,23 @@
-"""Stream sketches over (batch, seq, user: number), as relations."""
+"""Stream sketches over (batch, seq, user: number or text), as relations."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import affine, coefficients, trailing_zeros
+from ..functions.columns import affine, bytes_mod, coefficients, trailing_zeros
+
+
+def _number(stream: DataFrame, modulus: int):
+    """A user as a number: texts by their UTF-8 bytes as one big-endian number, modulo `modulus`."""
+    return bytes_mod(F.col("user"), modulus) if stream.schema["user"].dataType.typeName() == "string" else F.col("user")
 
 
 def bloom_fpr(stream: DataFrame, bits: int = 69997, hashes: int = 60) -> DataFrame:
     """(batch, n_new, n_false, fpr): first-time users whose bits were all set before, of all first-time users; null without any."""
     first = stream.groupBy("user").agg(F.min(F.struct("seq", "batch")).alias("f")).select("user", "f.seq", "f.batch")
     a, b = coefficients(F.col("i"))
-    pos = first.select("user", "seq", "batch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(hashes - 1).cast("long"))).alias("i")).select("user", "seq", "batch", affine(F.col("user"), a, b, bits).alias("pos"))
+    pos = first.select("user", _number(stream, bits).alias("x"), "seq", "batch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(hashes - 1).cast("long"))).alias("i")).select("user", "seq", "batch", affine(F.col("x"), a, b, bits).alias("pos"))
     set_at = pos.groupBy("pos").agg(F.min("seq").alias("set_at"))
     judged = pos.join(set_at, "pos").groupBy("user", "batch").agg(F.min((F.col("set_at") < F.col("seq")).cast("long")).alias("hit"))
     per = judged.groupBy("batch").agg(F.count("*").alias("n_new"), F.sum("hit").alias("n_false"))
@@ -24,8 +29,9 @@ def fm_distinct(stream: DataFrame, hashes: int = 2000, groups: int = 4, modulus:
     """(batch, n_distinct, estimate): the median over groups of 2 to the mean of each hash's most trailing zeros, cut to a whole number."""
     users = stream.select("batch", "user").distinct()
     a, b = coefficients(F.col("i"))
-    h = users.select("batch", "user", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(hashes - 1).cast("long"))).alias("i"))
-    top = h.groupBy("batch", "i").agg(F.max(trailing_zeros(affine(F.col("user") * 2654435 + 97, a, b, modulus))).alias("z"))
+    text = stream.schema["user"].dataType.typeName() == "string"
+    h = users.select("batch", (_number(stream, modulus) if text else F.col("user") * 2654435 + 97).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(hashes - 1).cast("long"))).alias("i"))
+    top = h.groupBy("batch", "i").agg(F.max(trailing_zeros(affine(F.col("x"), a, b, modulus))).alias("z"))
     mean = top.groupBy("batch", F.floor(F.col("i") / (hashes // groups)).alias("g")).agg(F.pow(F.lit(2.0), F.avg("z")).alias("e"))
     return mean.groupBy("batch").agg(F.floor(F.median("e")).cast("long").alias("estimate")).join(users.groupBy("batch").agg(F.count("*").alias("n_distinct")), "batch").select("batch", "n_distinct", "estimate")
 

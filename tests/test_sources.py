@@ -28,3 +28,54 @@ def test_entry_without_the_llm_subpackage():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_report_files(spark, tmp_path):
+    import json
+
+    from millrace.operators import relational, sketches
+
+    p = lambda n: str(tmp_path / n)
+    reviews = spark.createDataFrame([("u", "b", "2018-01-02"), ("u", "c", "2017-01-02"), ("v", "b", "2018-05-02")], "user_id string, business_id string, date string")
+    sinks.stats_report(relational.review_stats(reviews, 2018), p("s.json"))
+    assert json.load(open(p("s.json"))) == {"n_review": 3, "n_review_2018": 2, "n_user": 2, "n_business": 2, "top10_user": [["u", 2], ["v", 1]], "top10_business": [["b", 2], ["c", 1]]}
+    dealt = relational.repartition_by_first_letter(reviews, "business_id", 2)
+    got = sinks.partition_report(relational.layout(reviews.repartition(3)), relational.layout(dealt), p("p.json"))
+    assert json.load(open(p("p.json"))) == got and got["default"]["n_partition"] == 3 and got["customized"]["n_items"] == [2, 1] and got["default"]["exe_time"] > 0
+    avg = spark.createDataFrame([("Reno", 4.5), ("Ash, Fork", 3.0)], "city string, stars double")
+    sinks.text_lines(sinks.average_lines(avg, "city", "stars"), p("a.txt"), "city,stars")
+    assert open(p("a.txt")).read() == "city,stars\nReno,4.5\nAsh, Fork,3.0\n"
+    groups = spark.createDataFrame([(["b", "c"],), (["a"],)], "members array<string>")
+    assert [r["line"] for r in sinks.community_lists(groups).collect()] == ["'a'", "'b', 'c'"] == [r["line"] for r in sinks.community_lines(groups).collect()]
+    scores = spark.createDataFrame([("a", "b", 2.0), ("a", "c", 12.5)], "u string, v string, score double")
+    assert [r["line"] for r in sinks.betweenness_lines(scores).collect()] == ["('a', 'c'), 12.5", "('a', 'b'), 2.0"]
+    sinks.stream_csv(spark.createDataFrame([(1, 0.5), (0, 0.0)], "batch long, fpr double"), p("f.csv"), ["Time", "FPR"], "batch")
+    assert open(p("f.csv"), newline="").read() == "Time,FPR\r\n0,0.0\r\n1,0.5\r\n"
+    stream = spark.createDataFrame([(k // 100, k + 1, f"u{k}") for k in range(200)], "batch long, seq long, user string")
+    wide = sinks.reservoir_rows(sketches.reservoir_snapshots(stream))
+    assert wide.columns == ["seqnum", "0_id", "20_id", "40_id", "60_id", "80_id"] and wide.orderBy("seqnum").first()["20_id"] == "u20"
+    assert sinks.duration_line(1.5, lambda x: None) == "Duration: 1.5"
+    h = tmp_path / "h.csv"
+    h.write_text("user_id,business_id,stars\nu,b,4.0\n")
+    assert [tuple(r) for r in tables.header_csv(spark, str(h), tables.RATINGS).collect()] == [("u", "b", 4.0)]
+    h.write_text("user_id,business_id\nu,b\n")
+    assert [tuple(r) for r in tables.header_csv(spark, str(h), tables.PAIRS).collect()] == [("u", "b")]
+    j = tmp_path / "b.json"
+    j.write_text('{"business_id":"b","city":"Reno","stars":4,"attributes":{"NoiseLevel":"loud"}}\n{"business_id":"c"}\n')
+    rows = tables.json_lines(spark, str(j), tables.BUSINESS).orderBy("business_id").collect()
+    assert rows[0]["attributes"] == {"NoiseLevel": "loud"} and rows[1]["city"] is None
+    j.write_text('{"business_id":"b","time":{"Mon-1":3}}\n')
+    assert tables.json_lines(spark, str(j), tables.CHECKIN).first()["time"] == {"Mon-1": 3}
+
+
+def test_text_users(spark):
+    from millrace.operators import recommend, sketches
+
+    names = [f"user-{k}" for k in range(40)]
+    stream = spark.createDataFrame([(k // 20, k + 1, u) for k, u in enumerate(names + names[:10])], "batch long, seq long, user string")
+    bits = {(c, int.from_bytes(u.encode(), "big")) for u in names for c in range(2)}
+    assert len(bits) == 80 and [r["n_new"] for r in sketches.bloom_fpr(stream).orderBy("batch").collect()] == [20, 20, 0]
+    assert all(r["estimate"] >= 1 for r in sketches.fm_distinct(stream, 200).collect())
+    pairs = spark.createDataFrame([("x", u) for u in names[:10]] + [("y", u) for u in names[:8]] + [("z", "q")], "item string, user string")
+    assert [(r["item_1"], r["item_2"], r["similarity"]) for r in recommend.lsh_pairs(pairs).collect()] == [("x", "y", 0.8)]
+    assert sorted((r["n"], r["user"]) for r in recommend.user_index(pairs).collect()) == [(n, u) for n, u in enumerate(sorted({*names[:10], "q"}))]
