@@ -288,11 +288,35 @@ def _bucket_links(similarity: float):
 BUCKET_ROWS = 4096
 
 
+def _held_bands(member):
+    """Batches of (h, bands) to (band, h): the bands that the bitmap holds."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from .common import BITMAP_BITS
+
+        bits = np.frombuffer(member.value, np.uint8)
+        for b in batches:
+            lists = b.column(1)
+            band = lists.flatten().to_numpy(zero_copy_only=False)
+            h = np.repeat(b.column(0).to_numpy(zero_copy_only=False), np.asarray(lists.value_lengths()))
+            hit = (bits[(band & ((1 << BITMAP_BITS) - 1)) >> 3] >> (band & 7) & 1).astype(bool)
+            yield pa.RecordBatch.from_arrays([pa.array(band[hit], pa.int64()), pa.array(h[hit], pa.int64())], ["band", "h"])
+
+    return run
+
+
 def shared_bands(paragraphs: DataFrame) -> DataFrame:
-    """paragraphs(h, bands), distinct, to (band, h, n, v): the members of bands that several have, their number and the smallest."""
-    keyed = paragraphs.select(F.explode("bands").alias("band"), "h")
-    counts = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("h").alias("v")).where("n > 1")
-    return materialize(keyed.join(counts, "band"))
+    """paragraphs(h, bands), distinct, to (band, h, n, v): the members of bands that several have, their number and the smallest.
+
+    Most bands have one member; a bitmap of the others drops them before the join.
+    """
+    counts = paragraphs.select(F.explode("bands").alias("band"), "h").groupBy("band").agg(F.count("*").alias("n"), F.min("h").alias("v"))
+    counts = materialize(counts.where("n > 1"))
+    member = paragraphs.sparkSession.sparkContext.broadcast(bitmap(counts, "band"))
+    return materialize(paragraphs.select("h", "bands").mapInArrow(_held_bands(member), "band long, h long").join(counts, "band"))
 
 
 def near_paragraphs(hits: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
