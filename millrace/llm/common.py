@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -50,10 +51,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Spark deletes a query's shuffle files when it ends, not when the driver's heap is next collected.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Shuffle files of queries run inside go when each ends: for those whose result is kept elsewhere. The setting is put back."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it: cuts lineage, and lost executors lose nothing."""
     path = f"{shared_dir(df.sparkSession)}/millrace/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with freed_shuffles(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._millrace_path = path
     return out
@@ -152,7 +169,8 @@ def bitmap(df: DataFrame, column: str) -> bytes:
     import numpy as np
 
     rows = df.selectExpr(f"(({column} & {(1 << BITMAP_BITS) - 1}L) >> 6) AS w", f"shiftleft(1L, int({column} & 63L)) AS m")
-    got = rows.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    with freed_shuffles(df.sparkSession):
+        got = rows.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     words = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
     words[got["w"].to_numpy()] = got["m"].to_numpy()
     return words.tobytes()

@@ -32,6 +32,20 @@ def docs(spark, texts, ids=None):
 AWKWARD = [None, "", " ", "\n\n", "one", "a b", "A b", "a\0b", "é" * 50, "x" * 5000, "\x1c \x85 \u00a0 w", "<|endoftext|>", prose(3000, 1), prose(3000, 1), prose(40, 2), prose(40, 2)]
 
 
+def test_materialize_frees_shuffles_and_keeps_the_setting(spark):
+    from millrace.llm import common
+
+    before = spark.conf.get(common.FREE_SHUFFLES, None)
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    kept = common.materialize(rows)
+    assert spark.conf.get(common.FREE_SHUFFLES, None) == before
+    assert sorted(kept.collect()) == sorted(rows.collect())
+    common.discard(kept)
+    bits = common.bitmap(spark.createDataFrame([(5,), (-1,), (5,)], "h long"), "h")
+    assert [k for k, b in enumerate(bits) if b] == [0, (1 << common.BITMAP_BITS - 3) - 1] and bits[0] == 1 << 5
+    assert spark.conf.get(common.FREE_SHUFFLES, None) == before
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1100)] + [(5000, 6000 + k) for k in range(500)]
