@@ -17,7 +17,7 @@ HELD_WORDS = 1_000_000
 #: Words whose lattices a task builds, about.
 TASK_WORDS = 32_000
 #: Characters cut into words at once; longer texts are parted before a space.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 #: Positions of a word that one inner fold takes: a fold copies its state at every position.
 SEGMENT = 64
 #: Answers about pairs of pieces that a Python worker keeps.
@@ -476,12 +476,11 @@ class _Dictionary:
         coded = coded if isinstance(coded, pa.Array) else coded.chunk(0)
         words = t["word"].combine_chunks() if len(t) else pa.array([], pa.string())
         self.words = words if isinstance(words, pa.Array) else words.chunk(0)
-        raw = coded.to_pylist()
-        self.size = np.array([len(x) // 4 for x in raw], np.int64)
-        self.start = np.concatenate(([0], np.cumsum(self.size)))[:-1]
-        self.ids = np.frombuffer(b"".join(raw), "<i4")
+        at = np.frombuffer(coded.buffers()[1], np.int32)[coded.offset : coded.offset + len(coded) + 1] // 4 if len(coded) else np.zeros(1, np.int32)
+        self.size, self.start = np.diff(at), at[:-1] - at[0]
+        self.ids = np.frombuffer(coded.buffers()[2], "<i4")[at[0] : at[-1]].copy() if at[-1] > at[0] else np.empty(0, "<i4")
         h = _hashes(self.words)
-        self.by_hash = np.argsort(h)
+        self.by_hash = np.argsort(h).astype(np.int32)
         self.hashes = h[self.by_hash]
         self.clear = len(np.unique(h)) == len(h)
 
@@ -495,7 +494,7 @@ class _Dictionary:
             return np.asarray(pc.index_in(words, value_set=self.words).fill_null(-1)).astype(np.int64)
         h = _hashes(words)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        place = self.by_hash[at]
+        place = self.by_hash[at].astype(np.int64)
         hit = self.hashes[at] == h
         place[hit] = np.where(np.asarray(pc.equal(self.words.take(pa.array(place[hit])), words.filter(pa.array(hit)))), place[hit], -1)
         return np.where(hit, place, -1)

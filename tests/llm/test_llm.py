@@ -33,8 +33,6 @@ AWKWARD = [None, "", " ", "\n\n", "one", "a b", "A b", "a\0b", "é" * 50, "x" *
 
 
 def test_materialize_frees_shuffles_and_keeps_the_setting(spark):
-    from millrace.llm import common
-
     before = spark.conf.get(common.FREE_SHUFFLES, None)
     rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
     kept = common.materialize(rows)
