@@ -66,6 +66,17 @@ def freed_shuffles(spark: SparkSession):
         spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
 
 
+def collected(spark: SparkSession) -> None:
+    """Give the driver's unused memory back, Python's first, as it holds references into the JVM: around a large result on the driver."""
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark._jvm.System.gc()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it: cuts lineage, and lost executors lose nothing."""
     path = f"{shared_dir(df.sparkSession)}/millrace/{uuid.uuid4().hex}"

@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import collected, freed_shuffles, materialize
 
 SPACE = "▁"
 #: Encodings of at most so many words, of at most so many characters each, go to every task, whatever the input's size.
@@ -470,8 +470,9 @@ class _Dictionary:
     def __init__(self, table):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        t = table.combine_chunks()
+        t = table.select(["word", "ids"]).take(pc.sort_indices(table, [("n", "descending"), ("word", "ascending")])).combine_chunks()
         coded = t["ids"].combine_chunks() if len(t) else pa.array([], pa.binary())
         coded = coded if isinstance(coded, pa.Array) else coded.chunk(0)
         words = t["word"].combine_chunks() if len(t) else pa.array([], pa.string())
@@ -528,9 +529,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     n_common, n_words = vocabulary.agg(F.count_if("frequent"), F.count("*")).first()
     frequent = encode_words(vocabulary.where("frequent").select("word"), path, n_common)
     order = vocabulary.where("frequent").select("word", "n")
-    common = frequent.join(order, "word").select("word", "ids", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])  # at most FREQUENT short words
+    collected(spark)
+    with freed_shuffles(spark):
+        held = spark.sparkContext.broadcast(_Dictionary(frequent.join(order, "word").select("word", "ids", "n").toArrow()))  # at most FREQUENT short words
+    collected(spark)
     coded = encode_words(vocabulary.where("NOT frequent").select("word"), path, n_words - n_common)
-    held = spark.sparkContext.broadcast(_Dictionary(common))
     keyed = d.withColumn("key", F.xxhash64("doc_id", "text"))
 
     def rare(batches):
