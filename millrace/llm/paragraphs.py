@@ -244,11 +244,10 @@ def _bucket_links(similarity: float):
     def links(names, sets):
         import numpy as np
 
-        flat = np.concatenate(sets)
-        _, ids = np.unique(flat, return_inverse=True)
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
         size = np.array([len(s) for s in sets])
         at = np.concatenate([[0], np.cumsum(size)])
-        near, mark = np.arange(len(sets)), np.zeros(len(flat), bool)
+        near, mark = np.arange(len(sets)), np.zeros(len(ids), bool)
         for i in range(1, len(sets)):
             own = ids[at[i] : at[i + 1]]
             mark[own] = True

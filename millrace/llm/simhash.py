@@ -159,7 +159,7 @@ LONG = 4
 #: MinHash values of a band, by which near copies are looked up.
 ROWS = 4
 #: Shingles of a group of candidates that one task compares at once; larger groups are cut and compared by pairs of parts.
-GROUP_SHINGLES = 1 << 20
+GROUP_SHINGLES = 1 << 19
 
 
 def bits_apart(similarity: float, deviations: float = 0.0) -> int:
