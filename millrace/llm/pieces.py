@@ -13,15 +13,15 @@ SPACE = "▁"
 #: Encodings of at most so many words, of at most so many characters each, go to every task, whatever the input's size.
 FREQUENT, FREQUENT_CHARS = 1 << 20, 32
 #: Different words that a task counts before it hands them on.
-HELD_WORDS = 1 << 18
+HELD_WORDS = 1_000_000
 #: Words whose lattices a task builds, about.
 TASK_WORDS = 32_000
 #: Characters cut into words at once; longer texts are parted before a space.
-CHUNK = 1 << 19
+CHUNK = 1 << 20
 #: Positions of a word that one inner fold takes: a fold copies its state at every position.
 SEGMENT = 64
 #: Answers about pairs of pieces that a Python worker keeps.
-KNOWN_PAIRS = 1 << 21
+KNOWN_PAIRS = 4_000_000
 
 
 def processor(path: str):
