@@ -77,6 +77,25 @@ def collected(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def trimmed(run):
+    """run, over Arrow batches, whose worker gives its free memory back to the system at the end of a task: workers stay, beside those of other stages."""
+
+    def out(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+            if trim:
+                trim(0)
+
+    return out
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it: cuts lineage, and lost executors lose nothing."""
     path = f"{shared_dir(df.sparkSession)}/millrace/{uuid.uuid4().hex}"

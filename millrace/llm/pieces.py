@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import collected, freed_shuffles, materialize
+from .common import collected, freed_shuffles, materialize, trimmed
 
 SPACE = "▁"
 #: Encodings of at most so many words, of at most so many characters each, go to every task, whatever the input's size.
@@ -315,7 +315,7 @@ def lattice(vocabulary: DataFrame, pieces: list[tuple[str, int, float]], path: s
             segments = pa.ListArray.from_arrays(offsets(full), by_end)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets(rows), segments)], ["word", "edges"])
 
-    return vocabulary.select("word").mapInArrow(run, f"word string, edges {EDGES}")
+    return vocabulary.select("word").mapInArrow(trimmed(run), f"word string, edges {EDGES}")
 
 
 def viterbi(lattices: DataFrame, longest: int) -> DataFrame:
@@ -402,7 +402,7 @@ def encode_words(vocabulary: DataFrame, path: str, n_words: int) -> DataFrame:
 
     dealt = vocabulary.repartition(n_words // TASK_WORDS + 1, "word")
     longest = max((len(p) for p, _, _ in pieces), default=1)
-    return viterbi(lattice(dealt, pieces, path), longest).mapInArrow(ids, "word string, ids binary")
+    return viterbi(lattice(dealt, pieces, path), longest).mapInArrow(trimmed(ids), "word string, ids binary")
 
 
 def _counted(path: str):
@@ -524,7 +524,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counted = d.select("text").mapInArrow(_counted(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = d.select("text").mapInArrow(trimmed(_counted(path)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     vocabulary = _frequent(materialize(counted))
     n_common, n_words = vocabulary.agg(F.count_if("frequent"), F.count("*")).first()
     frequent = encode_words(vocabulary.where("frequent").select("word"), path, n_common)
@@ -608,11 +608,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(sizes, pa.int64())], ["doc_id", "ids", "n_ids"])
 
-    found = keyed.select("key", "text").mapInArrow(rare, "key long, word string").join(coded, "word")
+    found = keyed.select("key", "text").mapInArrow(trimmed(rare), "key long, word string").join(coded, "word")
     own = found.groupBy("key").agg(F.collect_set(F.struct("word", "ids")).alias("own"))
-    texts = keyed.select("doc_id", "key", "text").mapInArrow(packed, "doc_id long, key long, packed binary, names array<string>")
+    texts = keyed.select("doc_id", "key", "text").mapInArrow(trimmed(packed), "doc_id long, key long, packed binary, names array<string>")
     joined = texts.join(own, "key", "left").select("doc_id", "packed", "names", "own")
-    return joined.mapInArrow(run, "doc_id long, ids array<int>, n_ids long")
+    return joined.mapInArrow(trimmed(run), "doc_id long, ids array<int>, n_ids long")
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
