@@ -152,7 +152,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     Null ends are dropped; no edges give no rows.
     """
     e = edges.select(F.col(edges.columns[0]).cast("long").alias("u"), F.col(edges.columns[1]).cast("long").alias("v")).where("u <> v")
-    e = materialize(e.mapInArrow(_local_forest, "u long, v long").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = materialize(e.mapInArrow(trimmed(_local_forest), "u long, v long").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     for _ in range(rounds):
         both = e.union(e.select("v", "u"))

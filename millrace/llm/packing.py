@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, trimmed
 
 #: Pieces of one length that one task ranks, about; there are as many buckets as that asks for.
 BUCKET_ROWS = 100_000
@@ -72,7 +72,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
             cols = [pa.array(c, pa.int64()) for c in out[:5]] + ([pa.array(out[5], pa.list_(pa.int32()))] if keep_ids else [])
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(cols)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, fields)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), fields)
 
 
 def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, components, discard, materialize, sized
+from .common import bitmap, components, discard, materialize, sized, trimmed
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -315,7 +315,7 @@ def shared_bands(paragraphs: DataFrame) -> DataFrame:
     counts = paragraphs.select(F.explode("bands").alias("band"), "h").groupBy("band").agg(F.count("*").alias("n"), F.min("h").alias("v"))
     counts = materialize(counts.where("n > 1"))
     member = paragraphs.sparkSession.sparkContext.broadcast(bitmap(counts, "band"))
-    return materialize(paragraphs.select("h", "bands").mapInArrow(_held_bands(member), "band long, h long").join(counts, "band"))
+    return materialize(paragraphs.select("h", "bands").mapInArrow(trimmed(_held_bands(member)), "band long, h long").join(counts, "band"))
 
 
 def near_paragraphs(hits: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -330,7 +330,7 @@ def near_paragraphs(hits: DataFrame, sets: DataFrame, similarity: float = SIMILA
     """
     buckets = hits.where(F.col("n") <= bucket_rows).groupBy("band").agg(F.sort_array(F.collect_list("h")).alias("hs")).select("hs").distinct()
     members = buckets.select(F.xxhash64("hs").alias("bucket"), F.explode("hs").alias("h")).join(sets, "h").select("bucket", "h", "set")
-    edges = members.repartition("bucket").sortWithinPartitions("bucket", "h").mapInArrow(_bucket_links(similarity), "u long, v long")
+    edges = members.repartition("bucket").sortWithinPartitions("bucket", "h").mapInArrow(trimmed(_bucket_links(similarity)), "u long, v long")
     large = hits.where(F.col("n") > bucket_rows)
     if large.limit(1).count():
         first = materialize(_verified(large.where("h <> v").select(F.col("h").alias("u"), "v").distinct(), sets, similarity))
@@ -387,13 +387,13 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, bands: int | None =
     """
     bands = bands or tune_bands(similarity, rows=rows)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t")).where("doc_id IS NOT NULL")
-    p = materialize(docs.mapInArrow(_paragraphs(bands, rows), "kind byte, h long, bands array<long>"))
+    p = materialize(docs.mapInArrow(trimmed(_paragraphs(bands, rows)), "kind byte, h long, bands array<long>"))
     lines = materialize(p.where(f"kind = {LINE}").groupBy("h").agg(F.count("*").alias("n"), F.first("bands").alias("bands")))
     hits = shared_bands(lines.select("h", "bands"))
     twice = p.where(f"kind = {PASSAGE}").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     again = twice.union(lines.where("n > 1").select("h")).union(hits.select("h").distinct())
     share = docs.sparkSession.sparkContext.broadcast
-    found = materialize(docs.mapInArrow(_details(share(bitmap(again, "h")), share(bitmap(hits.select("h").distinct(), "h"))), DETAILS))
+    found = materialize(docs.mapInArrow(trimmed(_details(share(bitmap(again, "h")), share(bitmap(hits.select("h").distinct(), "h")))), DETAILS))
     sets = materialize(found.where("set IS NOT NULL").groupBy("h").agg(F.first("set").alias("set")))
     cluster = materialize(components(near_paragraphs(hits, sets, similarity, bucket_rows)).select(F.col("node").alias("h"), F.col("component").alias("cluster")))
     placed = found.where(f"kind = {LINE}").select("h", "doc_id", "t", "start", "end").join(sized(cluster), "h", "left")
@@ -413,7 +413,7 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, bands: int | None =
 
     inner = pairs.select("doc_id", "t", (F.col("start") - more("left")).alias("start"), (F.col("end") + more("right")).alias("end"), F.col("f.doc_id").alias("first_doc"), F.lit(False).alias("whole"))
     spans = whole.union(inner).groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "end", "whole")).alias("spans"), F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
-    out = materialize(spans.mapInArrow(_runs, "doc_id long, t long, spans array<struct<start:int,end:int>>, first_docs array<long>").where("size(spans) > 0"))
+    out = materialize(spans.mapInArrow(trimmed(_runs), "doc_id long, t long, spans array<struct<start:int,end:int>>, first_docs array<long>").where("size(spans) > 0"))
     for t in (p, lines, hits, found, sets, cluster, placed, early):
         discard(t)
     return out
@@ -451,7 +451,7 @@ def remove_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     """docs with every repeated span cut out of `text`; other columns, and documents without repeats, as they were."""
     per = repeats(docs, similarity).select(F.col("doc_id").alias("__mr_id"), F.col("t").alias("__mr_t"), F.col("spans").alias("__mr_spans"))
     joined = docs.join(per, (docs["doc_id"] == F.col("__mr_id")) & (F.xxhash64(docs["text"]) == F.col("__mr_t")), "left").select(*[docs[c] for c in docs.columns], "__mr_spans")
-    return joined.mapInArrow(_removal, docs.schema)
+    return joined.mapInArrow(trimmed(_removal), docs.schema)
 
 
 def substring_report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, components, materialize, sized
+from .common import bitmap, components, materialize, sized, trimmed
 from .paragraphs import _bucket_links as _set_links
 from .paragraphs import _mix, tune_bands
 
@@ -287,7 +287,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, bucket_rows: int = BUC
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_name(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *cols, pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["doc_id", "h", "size", *s, "bands"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    all_rows = materialize(d.mapInArrow(run, "doc_id long, h long, size long, " + ", ".join(f"{c} long" for c in s) + ", bands array<long>"))
+    all_rows = materialize(d.mapInArrow(trimmed(run), "doc_id long, h long, size long, " + ", ".join(f"{c} long" for c in s) + ", bands array<long>"))
     nodes = materialize(all_rows.groupBy("h").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("size", *s, "bands")]))
     limit = bits_apart(similarity, 6)
     keyed = nodes.where("node IS NOT NULL").select("node", F.explode("bands").alias("key"))
@@ -295,7 +295,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, bucket_rows: int = BUC
     hits = materialize(keyed.join(shared, "key"))
     buckets = hits.where(F.col("n") <= bucket_rows).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
     members = buckets.select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node")).join(nodes.select("node", *s), "node").select("bucket", "node", *s)
-    edges = members.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_verified_buckets(limit), "u long, v long")
+    edges = members.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(trimmed(_verified_buckets(limit)), "u long, v long")
     large = hits.where(F.col("n") > bucket_rows)
     if large.limit(1).count():
         apart = F.expr(" + ".join(f"bit_count(a.{c} ^ b.{c})" for c in s))
@@ -321,9 +321,9 @@ def _exact(docs: DataFrame, nodes: DataFrame, edges: DataFrame, similarity: floa
     own = placed.join(parts, "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
     pairs = own.select("node", "h", F.explode(F.expr("transform(sequence(0, parts - 1), k -> xxhash64(grp, least(own, bigint(k)), greatest(own, bigint(k))))")).alias("bucket"))
     member = docs.sparkSession.sparkContext.broadcast(bitmap(group.select("node"), "node"))
-    sets = materialize(docs.where("doc_id IS NOT NULL").mapInArrow(_candidate_sets(member), "node long, h long, set array<long>").groupBy("node", "h").agg(F.first("set").alias("set")))
+    sets = materialize(docs.where("doc_id IS NOT NULL").mapInArrow(trimmed(_candidate_sets(member)), "node long, h long, set array<long>").groupBy("node", "h").agg(F.first("set").alias("set")))
     rows = pairs.join(sets, ["node", "h"]).select("bucket", "node", "set")
-    return materialize(rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_set_links(similarity), "u long, v long").distinct())
+    return materialize(rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(trimmed(_set_links(similarity)), "u long, v long").distinct())
 
 
 def simhash_dedup(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

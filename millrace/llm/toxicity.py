@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, sized
+from .common import discard, materialize, sized, trimmed
 
 #: Hash buckets of words and of their first letters; embedding width; filter widths; filters of each.
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 12, (1, 2, 3), 12
@@ -215,7 +215,7 @@ def score(docs: DataFrame, model: TextCNN) -> DataFrame:
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__mr_score", T.DoubleType())]))
+    return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields, T.StructField("__mr_score", T.DoubleType())]))
 
 
 def _scored(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict]:

@@ -44,6 +44,21 @@ def test_materialize_frees_shuffles_and_keeps_the_setting(spark):
     assert spark.conf.get(common.FREE_SHUFFLES, None) == before
 
 
+def test_trimmed_passes_batches_on():
+    assert list(common.trimmed(lambda batches: (2 * b for b in batches))(iter([1, 2]))) == [2, 4]
+    assert list(common.trimmed(lambda batches: iter(()))(iter([1]))) == []
+    part = common.trimmed(lambda batches: (b for b in batches))(iter([1, 2]))
+    assert next(part) == 1
+    part.close()  # as under a limit
+
+    def fails(batches):
+        yield from batches
+        raise ValueError("kept")
+
+    with pytest.raises(ValueError, match="kept"):
+        list(common.trimmed(fails)(iter([1])))
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1100)] + [(5000, 6000 + k) for k in range(500)]
