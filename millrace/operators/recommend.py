@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,12 +55,47 @@ def item_pearson(ratings: DataFrame) -> DataFrame:
     Means are over the common users; r is 0 where either side has no variance.
     """
     a, b = ratings.toDF("user", "item_1", "x"), ratings.toDF("user", "item_2", "y")
-    s = a.join(b, "user").where("item_1 < item_2").groupBy("item_1", "item_2").agg(F.count("*").alias("n"), *[F.sum(F.expr(e)).alias(k) for k, e in (("sx", "x"), ("sy", "y"), ("xx", "x * x"), ("yy", "y * y"), ("xy", "x * y"))])
+    return _pearson(a.join(b, "user").where("item_1 < item_2"))
+
+
+def _pearson(pairs: DataFrame) -> DataFrame:
+    """pairs(item_1, item_2, x, y), a row for each common user, to (item_1, item_2, n_common, r)."""
+    s = pairs.groupBy("item_1", "item_2").agg(F.count("*").alias("n"), *[F.sum(F.expr(e)).alias(k) for k, e in (("sx", "x"), ("sy", "y"), ("xx", "x * x"), ("yy", "y * y"), ("xy", "x * y"))])
     vx, vy = F.col("xx") - F.col("sx") * F.col("sx") / F.col("n"), F.col("yy") - F.col("sy") * F.col("sy") / F.col("n")
     r = F.when((vx > 1e-9) & (vy > 1e-9), (F.col("xy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(vx * vy)).otherwise(0.0)
     return s.select("item_1", "item_2", F.col("n").alias("n_common"), r.alias("r"))
 
 
+#: Pair rows that one pass of item_links may shuffle, however few the ratings are.
+PAIR_ROWS = 1 << 23
+
+
+def item_links(ratings: DataFrame, min_common: int, min_r: float) -> DataFrame:
+    """item_pearson() where n_common >= min_common and r > min_r, as a stored table.
+
+    A user with d ratings has d * (d - 1) / 2 pairs, so all pairs are many times
+    the ratings. They are made and summed in passes by the hash of item_1, each
+    of some two rows a rating (one item_1 has at most one a rating), and only
+    what links stays of a pass.
+    """
+    from ..plans.lineage import stored
+
+    # by position, as in item_pearson; pairs come out of a user's list, so that a pass shuffles nothing but them
+    users = ratings.toDF("user", "item", "rating").where(F.col("user").isNotNull()).groupBy("user").agg(F.collect_list(F.struct("item", "rating")).alias("own"))
+    users = stored(users.select("own"))
+    size = F.size("own").cast("double")
+    n, pairs = users.agg(F.coalesce(F.sum(size), F.lit(0.0)), F.coalesce(F.sum(size * (size - 1) / 2), F.lit(0.0))).first()
+    passes = max(1, math.ceil(pairs / max(2 * n, PAIR_ROWS)))
+
+    def links(k: int) -> DataFrame:
+        first = F.filter("own", lambda x: F.pmod(F.xxhash64(x["item"]), F.lit(passes)) == k)
+        p = users.select("own", F.explode(first).alias("a")).select("a", F.explode("own").alias("b"))
+        p = p.select(F.col("a.item").alias("item_1"), F.col("b.item").alias("item_2"), F.col("a.rating").alias("x"), F.col("b.rating").alias("y"))
+        return _pearson(p.where("item_1 < item_2")).where((F.col("n_common") >= min_common) & (F.col("r") > min_r))
+
+    return stored(*map(links, range(passes)))
+
+
 def item_cf(ratings: DataFrame, targets: DataFrame, min_common: int = 10, min_r: float = 0.5, neighbours: int = 10, descending: bool = False, item_weight: float = 0.6) -> DataFrame:
     """targets(row_id, user, item) to (row_id, user, item, prediction), a row for each.
 
@@ -71,7 +108,7 @@ def item_cf(ratings: DataFrame, targets: DataFrame, min_common: int = 10, min_r:
     """
     item_mean = ratings.groupBy("item").agg(F.avg("rating").alias("item_mean"))
     user_mean = ratings.groupBy("user").agg(F.avg("rating").alias("user_mean"))
-    p = item_pearson(ratings).where((F.col("n_common") >= min_common) & (F.col("r") > min_r))
+    p = item_links(ratings.select("user", "item", "rating"), min_common, min_r)
     sims = p.select(F.col("item_1").alias("item"), F.col("item_2").alias("other"), "r").union(p.select("item_2", "item_1", "r"))
     near = targets.join(sims, "item").join(ratings.select("user", F.col("item").alias("other"), "rating"), ["user", "other"])
     order = [F.desc("r"), "other"] if descending else ["r", "other"]

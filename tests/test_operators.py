@@ -121,6 +121,32 @@ def test_item_cf_takes_the_lowest_neighbours_and_covers_cold_starts(spark):
         assert got[row] == pytest.approx(want, abs=2e-6)
 
 
+def test_item_links_shuffle_pairs_in_passes(spark, monkeypatch):
+    rng = random.Random(5)
+    own = {u: rng.sample(range(45) if u < 30 else range(100, 4100), 40) for u in range(480)}  # few of the pairs have common users
+    r = spark.createDataFrame([(u, i, float(rng.randint(1, 50))) for u, items in own.items() for i in items] + [(None, 1, 2.0), (None, 2, 3.0)], "user long, item long, rating double").repartition(8, "user").cache()
+    t = r.where("user is not null").select((F.col("user") * 10000 + F.col("item")).alias("row_id"), "user", "item")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    doubles = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def stages():
+        s = store.stageList(None, False, False, doubles, None)
+        return {s.apply(k).stageId(): s.apply(k).shuffleWriteRecords() for k in range(s.size())}
+
+    want = rows(recommend.item_pearson(r).where("n_common >= 8 and r > 0.2"), "item_1", "item_2", "n_common", "r")
+    assert len(want) > 50
+    monkeypatch.setattr(recommend, "PAIR_ROWS", 1)
+    before = max(stages())
+    cf = recommend.item_cf(r, t, min_common=8, min_r=0.2)
+    assert len(cf.collect()) == 480 * 40
+    most = max(n for k, n in stages().items() if k > before)
+    assert most < 4 * 480 * 40  # all pairs are 19.5 times the ratings
+    got = rows(recommend.item_links(r, 8, 0.2), "item_1", "item_2", "n_common", "r")
+    assert [x[:3] for x in got] == [x[:3] for x in want] and all(a[3] == pytest.approx(b[3], abs=1e-9) for a, b in zip(got, want))
+    assert recommend.item_links(r.limit(0), 8, 0.2).count() == 0
+    r.unpersist()
+
+
 def test_features_of_missing_rows_and_missing_keys(spark):
     pairs = spark.createDataFrame([("u", "b1"), ("u", "b2"), ("x", "b9")], "user_id string, business_id string")
     business = spark.createDataFrame([("b1", "c", 4.0, 10, 1, {"NoiseLevel": "loud"}), ("b2", None, 2.0, 30, 0, None)], "business_id string, city string, stars double, review_count long, is_open int, attributes map<string,string>")
