@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import bitmap, components, materialize, sized, trimmed
 from .paragraphs import _bucket_links as _set_links
-from .paragraphs import _mix, tune_bands
 
 #: Members of a bucket that one task compares at once; larger buckets go the way of _midpoints.
 BUCKET_ROWS = 4096
@@ -156,18 +155,22 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, seed: i
 
 #: Bits of the long fingerprint that rejects pairs before the exact comparison, in longs.
 LONG = 4
-#: MinHash values of a band, by which near copies are looked up.
-ROWS = 4
+#: Fingerprints that share the bits of a lookup table by chance, at most; more documents take more bits and more tables.
+TABLE_ROWS = 256
+#: Lookup tables whose rows are shuffled at once.
+TABLES = 16
+#: Members of a table's bucket that one task compares at once; larger buckets are cut and compared by pairs of parts.
+PART_ROWS = 2048
 #: Shingles of a group of candidates that one task compares at once; larger groups are cut and compared by pairs of parts.
 GROUP_SHINGLES = 1 << 19
 
 
-def bits_apart(similarity: float, deviations: float = 0.0) -> int:
-    """The bits in which long fingerprints of two texts with this Jaccard similarity of shingles are expected to differ, and so many standard deviations more."""
+def bits_apart(similarity: float, deviations: float = 0.0, longs: int = LONG) -> int:
+    """The bits in which long fingerprints of two texts with this Jaccard similarity of shingles are expected to differ, and so many standard deviations more; or some longs of them."""
     import math
 
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(64 * LONG * p + deviations * math.sqrt(64 * LONG * p * (1 - p)))
+    return round(64 * longs * p + deviations * math.sqrt(64 * longs * p * (1 - p)))
 
 
 def shingle_set(text: str | None, width: int = 5):
@@ -193,53 +196,142 @@ def set_name(sh) -> int:
     return v - (1 << 64) if v >> 63 else v
 
 
-def sketch(sh, bands: int) -> tuple[list[int], list[int]]:
-    """LONG longs of SimHash over a shingle set, and its MinHash bands; no shingles have no bands."""
+def sketch(sh) -> list[int]:
+    """LONG longs of SimHash over a shingle set."""
     import numpy as np
 
     if not len(sh):
-        return [0] * LONG, []
-    k = bands * ROWS
-    mul = np.random.default_rng(21).integers(1 << 62, size=k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    low = np.full(k, np.iinfo(np.uint64).max, np.uint64)
-    for j in range(0, len(sh), 1 << 13):
-        part = sh[j : j + (1 << 13), None]
-        low = np.minimum(low, ((part ^ (part >> np.uint64(29))) * mul[None, :]).min(0))
+        return [0] * LONG
     mixed = lambda h, j: (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * j * 0x632BE59BD9B4E019 & (1 << 64) - 1 | 1)
-    return [_majority(mixed(mixed(sh, j), j + 5)) for j in range(LONG)], [_mix(x, j) for j, x in enumerate(low.reshape(bands, ROWS))]
+    return [_majority(mixed(mixed(sh, j), j + 5)) for j in range(LONG)]
 
 
-def _verified_buckets(limit: int):
-    """Rows (bucket, node, s0..), sorted by bucket, to a spanning forest of each bucket's links."""
+def lookup_tables(rows: int, similarity: float, recall: float = 0.99) -> tuple[int, int]:
+    """(bits, tables): of so many tables, each keyed by so many of a fingerprint's bits, one holds both ends of a pair at `similarity` with probability `recall`.
+
+    The bits leave at most TABLE_ROWS of `rows` unlike fingerprints in a bucket.
+    """
+    import math
+
+    n, p = 64 * LONG, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = max(0, math.ceil(math.log2(max(1, rows) / TABLE_ROWS)))
+    # a pair that differs in d bits agrees on a table's with probability C(n - d, bits) / C(n, bits)
+    meet = [(math.comb(n, d) * p**d * (1 - p) ** (n - d), math.comb(n - d, bits) / math.comb(n, bits)) for d in range(n + 1)]
+    missed = lambda t: sum(w * (1 - q) ** t for w, q in meet)
+    tables = 1
+    while missed(tables) > 1 - recall:
+        tables += 1
+    return bits, tables
+
+
+def _table_keys(bits: int, tables: range, whole: bool):
+    """Batches of (node, s0..) to a row a table: its number and the fingerprint's bits there, as `key`; with node and s0.. if whole."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def links(rows):
-            x = np.array([r[2:] for r in rows], np.int64).view(np.uint64)
-            near = np.arange(len(rows))
-            for i in range(1, len(rows)):
-                hit = np.flatnonzero(np.bitwise_count(x[:i] ^ x[i]).sum(1) <= limit)
-                for label in np.unique(near[hit]):
-                    yield rows[i][1], rows[hit[near[hit] == label][0]][1]
-                    near[near == label] = i
+        weight = np.zeros((64 * LONG, len(tables)))
+        for k, t in enumerate(tables):
+            weight[np.random.default_rng(1000 + t).permutation(64 * LONG)[:bits], k] = 2.0 ** np.arange(bits)
+        for b in batches:
+            fp = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]], 1).astype("<i8")
+            ones = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 8 * LONG), axis=1, bitorder="little")
+            key = (ones @ weight).astype(np.int64) + (np.array(tables, np.int64) << bits)[None, :]
+            cols = [pa.array(key.ravel())]
+            if whole:
+                at = pa.array(np.repeat(np.arange(len(fp)), len(tables)))
+                cols += [c.take(at) for c in b.columns]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "node", *[f"s{j}" for j in range(LONG)]][: len(cols)])
+
+    return run
+
 
-        held: list[tuple] = []
+def _stars(x, limit: int, first_limit: int):
+    """For rows of LONG longs each, the smallest row that links of at most `limit` bits lead to."""
+    import numpy as np
+
+    label = np.arange(len(x))
+    for i in range(0, len(x), 256):
+        part = x[i : i + 256]
+        u, v = np.nonzero(np.bitwise_count(part[:, :1] ^ x[None, : i + len(part), 0]) <= first_limit)
+        u, v = u[v < u + i] + i, v[v < u + i]
+        same = np.bitwise_count(x[u] ^ x[v]).sum(1) <= limit
+        a, b = label[u[same]], label[v[same]]
+        pairs = np.unique((a * len(x) + b)[a != b])
+        root = np.arange(len(x))
+        for a, b in zip((pairs // len(x)).tolist(), (pairs % len(x)).tolist()):
+            while root[a] != a:
+                root[a] = root[root[a]]
+                a = root[a]
+            while root[b] != b:
+                root[b] = root[root[b]]
+                b = root[b]
+            root[max(a, b)] = min(a, b)
+        if len(pairs):
+            while (root[root] != root).any():
+                root = root[root]
+            label = root[label]
+    return label
+
+
+def _bucket_stars(limit: int, first_limit: int):
+    """Rows (bucket, node, s0..), sorted by bucket, to links (u, v) whose components are those of each bucket's links."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def links(key, node, x):
+            us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            for a, b in zip(edge[:-1], edge[1:]):
+                if b - a > 1:
+                    label = _stars(x[a:b], limit, first_limit)
+                    far = np.flatnonzero(label != np.arange(b - a))
+                    us.append(node[a + far])
+                    vs.append(node[a + label[far]])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
+        held = None
         for b in batches:
-            found = []
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if held and held[0][0] != row[0]:
-                    found += links(held)
-                    held = []
-                held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], ["u", "v"])
-        last = list(links(held)) if held else []
-        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in last], pa.int64()), pa.array([v for _, v in last], pa.int64())], ["u", "v"])
+            if not b.num_rows:
+                continue
+            c = [x.to_numpy(zero_copy_only=False) for x in b.columns]
+            now = [c[0], c[1], np.stack(c[2:], 1).astype(np.int64).view(np.uint64)]
+            if held:
+                now = [np.concatenate(x) for x in zip(held, now)]
+            last = int(np.flatnonzero(np.concatenate([[True], now[0][1:] != now[0][:-1]]))[-1])
+            held = [x[last:] for x in now]
+            if last:
+                yield links(*(x[:last] for x in now))
+        if held:
+            yield links(*held)
 
     return run
 
 
+def _simhash_links(nodes: DataFrame, similarity: float, part_rows: int) -> DataFrame:
+    """nodes(node, s0..) to links (u, v) whose components hold, as far as the tables find them, all pairs of long fingerprints six deviations within `similarity`."""
+    spark, s = nodes.sparkSession, [f"s{j}" for j in range(LONG)]
+    bits, tables = lookup_tables(nodes.count(), similarity)
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small = nodes.select("node", *s).repartition(spread, F.xxhash64("node"))  # small rows that grow by the tables: more tasks than their bytes ask for
+    limit, first_limit = bits_apart(similarity, 6), bits_apart(similarity, 6, 1)
+    out = None
+    for t in range(0, tables, TABLES):
+        some = range(t, min(tables, t + TABLES))
+        count = small.mapInArrow(_table_keys(bits, some, False), "key long").groupBy("key").agg(F.count("*").alias("n"))
+        large = materialize(count.where(F.col("n") > part_rows).select(F.col("key").alias("hot"), F.ceil(2 * F.col("n") / part_rows).cast("int").alias("parts")))
+        keyed = small.mapInArrow(_table_keys(bits, some, True), "key long, node long, " + ", ".join(f"{c} long" for c in s))
+        placed = keyed.join(sized(large), keyed["key"] == F.col("hot"), "left").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
+        bucket = F.when(F.col("parts").isNull(), F.array("key")).otherwise(F.expr("transform(sequence(0, coalesce(parts, 1) - 1), k -> xxhash64(key, least(own, bigint(k)), greatest(own, bigint(k))))"))
+        rows = placed.select(F.explode(bucket).alias("bucket"), "node", *s)
+        found = materialize(rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(trimmed(_bucket_stars(limit, first_limit)), "u long, v long").distinct())
+        out = out.union(found) if out else found
+    return out
+
+
 def _candidate_sets(member):
     """Batches of (doc_id, text) to (node, h, set): the shingle sets of the documents whose id the bitmap holds."""
 
@@ -264,46 +356,31 @@ def _candidate_sets(member):
 def near_copies(docs: DataFrame, similarity: float = 0.8, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """docs(doc_id, text) to (doc_id, component_id): documents alike by their shingles of five words.
 
-    A fingerprint over shingles differs in about ten of 64 bits at a similarity of
-    0.8, more than small Hamming balls reach. So documents meet by MinHash bands
-    over the shingles, whose recall depends on the similarity alone, not on where
-    the edits are. What meets is rejected if the SimHash of 256 bits is six standard
-    deviations beyond the distance expected at `similarity`; the groups of the rest
-    are settled by exact Jaccard. Equal shingle sets are one node. Buckets beyond
-    bucket_rows are compared by joins: all with the smallest, then those that differ
-    from it with all. Groups beyond bucket_rows or GROUP_SHINGLES are cut into parts,
-    and every pair of parts is compared in full.
+    Found by SimHash: a fingerprint of 256 bits over the shingle set, which at a
+    similarity of 0.8 differs in some 39 bits, wherever the edits are. Documents
+    meet in tables keyed by sampled bits of it (lookup_tables), a bucket's pairs
+    within six standard deviations of the distance expected at `similarity` link,
+    and the groups are settled by exact Jaccard. Equal shingle sets are one node; sets
+    of fewer than similarity / (1 - similarity) shingles are like none but their equals.
+    Buckets beyond bucket_rows or PART_ROWS, and groups beyond bucket_rows or
+    GROUP_SHINGLES, are cut into parts, and every pair of parts is compared in full.
     """
     s = [f"s{j}" for j in range(LONG)]
-    bands = tune_bands(similarity, rows=ROWS)
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             sets = [shingle_set(t) for t in b.column(1).to_pylist()]
-            rows = [sketch(x, bands) for x in sets]
-            cols = [pa.array([r[0][j] for r in rows], pa.int64()) for j in range(LONG)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_name(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *cols, pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["doc_id", "h", "size", *s, "bands"])
+            rows = [sketch(x) for x in sets]
+            cols = [pa.array([r[j] for r in rows], pa.int64()) for j in range(LONG)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_name(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *cols], ["doc_id", "h", "size", *s])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    all_rows = materialize(d.mapInArrow(trimmed(run), "doc_id long, h long, size long, " + ", ".join(f"{c} long" for c in s) + ", bands array<long>"))
-    nodes = materialize(all_rows.groupBy("h").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("size", *s, "bands")]))
-    limit = bits_apart(similarity, 6)
-    keyed = nodes.where("node IS NOT NULL").select("node", F.explode("bands").alias("key"))
-    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1"))
-    hits = materialize(keyed.join(shared, "key"))
-    buckets = hits.where(F.col("n") <= bucket_rows).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
-    members = buckets.select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node")).join(nodes.select("node", *s), "node").select("bucket", "node", *s)
-    edges = members.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(trimmed(_verified_buckets(limit)), "u long, v long")
-    large = hits.where(F.col("n") > bucket_rows)
-    if large.limit(1).count():
-        apart = F.expr(" + ".join(f"bit_count(a.{c} ^ b.{c})" for c in s))
-        of = lambda pairs: pairs.join(nodes.alias("a"), F.col("u") == F.col("a.node")).join(nodes.alias("b"), F.col("v") == F.col("b.node")).select("u", "v", (apart <= limit).alias("same"))
-        first = materialize(of(large.where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()))
-        rest = large.join(first.where("NOT same").select(F.col("u").alias("node"), F.col("v").alias("low")), ["node", "low"], "left_semi").select("key", F.col("node").alias("u"))
-        more = rest.join(large.select("key", F.col("node").alias("v")), "key").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        edges = edges.union(first.where("same").select("u", "v")).union(of(more).where("same").select("u", "v"))
+    all_rows = materialize(d.mapInArrow(trimmed(run), "doc_id long, h long, size long, " + ", ".join(f"{c} long" for c in s)))
+    nodes = materialize(all_rows.groupBy("h").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("size", *s)]))
+    least = similarity / (1 - similarity) - 1e-9 if similarity < 1 else float("inf")
+    edges = _simhash_links(nodes.where(F.col("node").isNotNull() & (F.col("size") >= least)), similarity, min(bucket_rows, PART_ROWS))
     comp = components(_exact(d, nodes.select("node", "h", "size"), edges, similarity, bucket_rows))
     table = materialize(nodes.join(comp, "node", "left").select("h", F.coalesce("component", "node").alias("component_id")))
     return all_rows.select("doc_id", "h").join(table, "h").select("doc_id", "component_id")

@@ -226,6 +226,25 @@ def test_near_copies_of_every_kind_of_edit(spark):
     assert all(got[1000 + k] == 1000 + k for k, y in want.items() if not y) and all(got[3000 + k] == 3000 + k for k in range(20))
 
 
+def test_near_copies_are_looked_up_by_their_simhash(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TABLE_ROWS", 2)
+    monkeypatch.setattr(simhash, "TABLES", 8)
+    rng = random.Random(9)
+    fps = {k: [rng.getrandbits(64) for _ in range(4)] for k in range(700)}
+    for k in range(300):  # as far as texts of a similarity of 0.8 are, at a random place
+        bits = rng.sample(range(256), sum(rng.random() < 0.1515 for _ in range(256)))
+        fps[1000 + k] = [x ^ sum(1 << b % 64 for b in bits if b // 64 == j) for j, x in enumerate(fps[k])]
+    for k in range(40):  # one close group, larger than a part
+        fps[2000 + k] = [fps[699][0] ^ 1 << k, *fps[699][1:]]
+    nodes = spark.createDataFrame([(k, *(x - (1 << 64) if x >> 63 else x for x in v)) for k, v in fps.items()], "node long, s0 long, s1 long, s2 long, s3 long")
+    assert simhash.lookup_tables(1040, 0.8) > (9, 16)
+    for part_rows in (2048, 16):
+        got = {r["node"]: r["component"] for r in common.components(simhash._simhash_links(nodes, 0.8, part_rows)).collect()}
+        found = sum(got.get(1000 + k) == k for k in range(300))
+        assert found >= 290 and all(got[2000 + k] == 699 for k in range(40))
+        assert len(got) == 2 * found + 41  # and none that are not alike
+
+
 def test_substring_dedup(spark):
     passage, near = prose(70, 900), prose(80, 901)
     near2 = near.split()
