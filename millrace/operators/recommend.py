@@ -106,6 +106,8 @@ def item_cf(ratings: DataFrame, targets: DataFrame, min_common: int = 10, min_r:
     have it. Without any, or where the weighted sum is 0: item_weight of the item's
     mean and the rest of the user's. A rating of the target itself is left out.
     """
+    from ..plans.lineage import stored
+
     item_mean = ratings.groupBy("item").agg(F.avg("rating").alias("item_mean"))
     user_mean = ratings.groupBy("user").agg(F.avg("rating").alias("user_mean"))
     p = item_links(ratings.select("user", "item", "rating"), min_common, min_r)
@@ -113,7 +115,7 @@ def item_cf(ratings: DataFrame, targets: DataFrame, min_common: int = 10, min_r:
     near = targets.join(sims, "item").join(ratings.select("user", F.col("item").alias("other"), "rating"), ["user", "other"])
     order = [F.desc("r"), "other"] if descending else ["r", "other"]
     near = near.withColumn("k", F.row_number().over(Window.partitionBy("row_id").orderBy(*order))).where(F.col("k") <= neighbours)
-    score = near.groupBy("row_id").agg(F.sum(F.col("r") * F.col("rating")).alias("above"), F.sum(F.abs("r")).alias("below"))
+    score = stored(near.groupBy("row_id").agg(F.sum(F.col("r") * F.col("rating")).alias("above"), F.sum(F.abs("r")).alias("below")))  # its shuffles, the largest here, end with it
     out = targets.join(score, "row_id", "left").join(item_mean, "item", "left").join(user_mean, "user", "left").crossJoin(F.broadcast(ratings.agg(F.avg("rating").alias("mean"))))  # one row
     value = F.when(F.col("item_mean").isNull() & F.col("user_mean").isNull(), F.col("mean")).when(F.col("user_mean").isNull(), F.col("item_mean")).when(F.col("item_mean").isNull(), F.col("user_mean"))
     value = value.when((F.col("below") != 0) & (F.col("above") != 0), F.col("above") / F.col("below")).otherwise(item_weight * F.col("item_mean") + (1 - item_weight) * F.col("user_mean"))
