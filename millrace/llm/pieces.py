@@ -20,6 +20,8 @@ TASK_WORDS = 32_000
 CHUNK = 1 << 20
 #: Positions of a word that one inner fold takes: a fold copies its state at every position.
 SEGMENT = 64
+#: Bytes of words that are hashed at once, on the driver too.
+HASHED_BYTES = 1 << 18
 #: Answers about pairs of pieces that a Python worker keeps.
 KNOWN_PAIRS = 4_000_000
 
@@ -449,19 +451,25 @@ def _frequent(vocabulary: DataFrame) -> DataFrame:
 
 
 def _hashes(words):
-    """A 64-bit hash of each of an Arrow array of strings."""
+    """A 64-bit hash of each of an Arrow array of strings, made in parts of HASHED_BYTES: each byte takes some ten numbers of 64 bits meanwhile."""
     import numpy as np
 
     n = len(words)
-    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
-    size = np.diff(at)
-    data = np.frombuffer(words.buffers()[2], np.uint8)[at[0] : at[-1]].astype(np.uint64) if n and at[-1] > at[0] else np.empty(0, np.uint64)
-    place = np.arange(len(data)) - np.repeat(at[:-1] - at[0], size)
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8) if n and at[-1] > at[0] else np.empty(0, np.uint8)
     salt = np.random.default_rng(6).integers(1 << 63, size=256, dtype=np.uint64)
-    x = (data + np.uint64(1) + salt[place & 255]) * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(31)
-    total = np.concatenate(([np.uint64(0)], np.cumsum(x * np.uint64(0xD6E8FEB86659FD93), dtype=np.uint64)))
-    return (total[at[1:] - at[0]] - total[at[:-1] - at[0]]) ^ size.astype(np.uint64) if n else np.empty(0, np.uint64)
+    out, first = np.empty(n, np.uint64), 0
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(at, int(at[first]) + HASHED_BYTES, "right")) - 1)  # a longer word is a part of its own
+        own = at[first : last + 1].astype(np.int64) - int(at[first])
+        size, x = np.diff(own), data[at[first] : at[last]].astype(np.uint64)
+        place = np.arange(len(x)) - np.repeat(own[:-1], size)
+        x = (x + np.uint64(1) + salt[place & 255]) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(31)
+        total = np.concatenate(([np.uint64(0)], np.cumsum(x * np.uint64(0xD6E8FEB86659FD93), dtype=np.uint64)))
+        out[first:last] = (total[own[1:]] - total[own[:-1]]) ^ size.astype(np.uint64)
+        first = last
+    return out
 
 
 class _Dictionary:
@@ -483,7 +491,7 @@ class _Dictionary:
         h = _hashes(self.words)
         self.by_hash = np.argsort(h).astype(np.int32)
         self.hashes = h[self.by_hash]
-        self.clear = len(np.unique(h)) == len(h)
+        self.clear = bool((self.hashes[1:] != self.hashes[:-1]).all())
 
     def places(self, words):
         """Every word's place, or -1."""

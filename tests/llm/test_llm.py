@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -511,6 +513,23 @@ def test_pieces_of_rare_and_long_words(spark, monkeypatch):
         assert [i for w in words for i in sp.encode_as_ids("\n" + w)[len(sp.encode("\n")) :]] == sp.encode(t)
 
 
+def test_dictionary_is_made_in_bounded_memory(monkeypatch):
+    """Words are hashed in parts, on the driver: the same hashes by parts of any size, with little held meanwhile."""
+    words = pa.array(["", "a", "é" * 40, "x" * 999, *(f"▁word{i:013}" for i in range(100_000))])
+    want = pieces._hashes(words)
+    assert len(np.unique(want)) == len(words)
+    assert (pieces._hashes(words.slice(2, 500)) == want[2:502]).all() and len(pieces._hashes(words.slice(3, 0))) == 0
+    table = pa.table({"word": words, "ids": pa.array([b"\1\0\0\0"] * len(words), pa.binary()), "n": pa.array(range(len(words)), pa.int64())})
+    tracemalloc.start()
+    known = pieces._Dictionary(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20  # numpy's alone; the table has 4 MB
+    assert known.clear and known.places(pa.array(["x", "a", "▁word0000000099999", ""])).tolist() == [-1, len(words) - 2, 0, len(words) - 1]
+    monkeypatch.setattr(pieces, "HASHED_BYTES", 50)  # some words are longer
+    assert (pieces._hashes(words.slice(0, 2000)) == want[:2000]).all()
+
+
 def test_unigram_lattice_takes_the_best_path(spark):
     score = {"a": -3.0, "b": -3.0, "ab": -5.0, "ba": -1.0, "aba": -7.0, "c": -2.0}
     table = [(p, i, s) for i, (p, s) in enumerate(score.items())]
