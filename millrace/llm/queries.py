@@ -1,4 +1,4 @@
-"""The registered queries op1 to op10, and their SQL."""
+"""The registered queries op1 to op13, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .exact import exact_sql
+from .merkle import audit_sql
 from .urls import judge_sql
 
 
@@ -76,5 +78,29 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_sequences, op2_embedding_dedup, op3_url_filter, op4_media_avi, op5_sentencepiece, op6_substring_dedup, op7_lm_scoring, op8_simhash_dedup, op9_toxicity, op10_suffix_dedup)}
-ORACLE_SQL: dict[str, str] = {"op3_url_filter": judge_sql()}
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import alignment
+
+    return alignment(read_table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact import exact_groups
+
+    return exact_groups(read_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import audit
+
+    return audit(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pack_sequences, op2_embedding_dedup, op3_url_filter, op4_media_avi, op5_sentencepiece, op6_substring_dedup, op7_lm_scoring, op8_simhash_dedup,
+        op9_toxicity, op10_suffix_dedup, op11_cross_tokenizer, op12_exact_dedup, op13_merkle_manifest,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": judge_sql(), "op12_exact_dedup": exact_sql(), "op13_merkle_manifest": audit_sql()}
