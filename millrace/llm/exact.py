@@ -79,7 +79,7 @@ class Trie:
     def spill(self, closed: bool):
         """(string, terminal) of the largest subtrees, until half the limit is left; where strings still come, they stay closed.
 
-        Subtrees hang below the first node that branches; a trie of one string has none, and keeps it.
+        Subtrees hang below the first node that branches; the smallest always stays, so that something is settled.
         """
         node, prefix = self.root, b""
         while len(node[1] or {}) == 1 and node[2] is None:
@@ -92,7 +92,7 @@ class Trie:
                 x = todo.pop()
                 sizes[key] += len(x[0]) + NODE_BYTES
                 todo.extend((x[1] or {}).values())
-        for key in sorted(sizes, key=sizes.get, reverse=True):
+        for key in sorted(sizes, key=sizes.get, reverse=True)[:-1]:
             if self.size <= self.limit // 2:
                 break
             kid = node[1][key]
@@ -242,7 +242,7 @@ def exact_groups(docs: DataFrame, limit: int = TRIE_BYTES, carriers: int = CARRI
         many = sized(materialize(many.select("length", "hash", F.ceil(F.col("of") / carriers).alias("parts"))))
         parted = left.join(many, ["length", "hash"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("local"), F.col("parts")) + 1, F.lit(0)))
         n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nbytes // PART_BYTES))
-        dealt = parted.select(*names, "part").repartition(n, "length", "hash", "part")
+        dealt = parted.select(*names, "part").repartition(n, "length", "hash", "part", F.lit(len(rounds)))  # other neighbours each round
         rounds.append(materialize(dealt.mapInArrow(trimmed(_owned(limit)), OWNED)))
         left = rounds[-1].where("text is not null").select(*names)
         if not left.limit(1).count():
