@@ -79,15 +79,17 @@ class Aligner:
         between neighbouring ends of either side lies in one token of each, which
         are a link; where both sides end a group closes.
         """
+        from itertools import chain
+
         import numpy as np
 
         got = [self.tokens(t) for t in texts]
         count_a, count_b = (np.array([len(g[k]) for g in got], np.int64) for k in (0, 1))
-        ids_a, ids_b = (np.array([i for g in got for i in g[k]], np.int64) for k in (0, 1))
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(g[k] for g in got), np.int64) for k in (0, 1))
         ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
         cuts = np.union1d(ends_a, ends_b)
-        shared = np.intersect1d(ends_a, ends_b)
         link_a, link_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
+        shared = cuts[(ends_a[link_a] == cuts) & (ends_b[link_b] == cuts)]
         doc_a = np.repeat(np.arange(len(texts)), count_a)
         last_a = np.searchsorted(ends_a, shared)
         return {
