@@ -54,23 +54,46 @@ def connected(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
             return labels
 
 
-def edge_betweenness(edges: DataFrame) -> DataFrame:
-    """(u, v, score), u < v: the sum over roots of shortest-path shares, halved.
+#: (root, node) rows that one batch of searches may come to, about; one root's always go together.
+ROOT_ROWS = 1 << 24
 
-    All roots' breadth-first searches advance together, a join a level; credits
-    then flow back a level a join, each edge passing on a child's credit in the
-    parents' shares of its paths.
+
+def edge_betweenness(edges: DataFrame, root_rows: int = ROOT_ROWS) -> DataFrame:
+    """(u, v, score), u < v, of undirected edges (src, dst), both directions: the sum over roots of shortest-path shares, halved.
+
+    Roots go in batches of about `root_rows` / nodes of them, and a batch's shares
+    are summed by edge before the next, so what is held does not grow with the
+    square of the nodes.
     """
-    front = edges.select(F.col("src").alias("root")).distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(1.0).alias("paths"))
-    levels = [cut(front)]
-    seen = levels[0].select("root", "node")
+    roots = cut(edges.select(F.col("src").alias("root")).distinct())
+    n = roots.count()
+    batches, total = max(1, -(-n * n // root_rows)), None
+    for k in range(batches):
+        own = roots if batches == 1 else roots.where(F.pmod(F.xxhash64("root"), F.lit(batches)) == k)
+        part = _shares(edges, own)
+        if part is not None:
+            total = part if total is None else cut(total.union(part).groupBy("u", "v").agg(F.sum("score").alias("score")))
+    if total is None:
+        return edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(0.0).alias("score")).limit(0)
+    return total
+
+
+def _shares(edges: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """(u, v, score) from the given roots alone, a stored table; None without any level.
+
+    All searches advance together, a join a level; a level's neighbours lie in it
+    or the levels next to it. Credits then flow back a level a join, each edge
+    passing on a child's credit in the parents' shares of its paths.
+    """
+    levels = [cut(roots.select("root", F.col("root").alias("node"), F.lit(1.0).alias("paths")))]
     while True:
-        nxt = levels[-1].join(edges, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("node")).agg((F.max("depth") + 1).alias("depth"), F.sum("paths").alias("paths"))
-        nxt = cut(nxt.join(seen, ["root", "node"], "left_anti"))
+        nxt = levels[-1].join(edges, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        for near in levels[-2:]:
+            nxt = nxt.join(near.select("root", "node"), ["root", "node"], "left_anti")
+        nxt = cut(nxt)
         if not nxt.limit(1).count():
             break
         levels.append(nxt)
-        seen = seen.union(nxt.select("root", "node"))
     shares, credit = None, None
     for k in range(len(levels) - 1, 0, -1):
         own = levels[k].select("root", F.col("node").alias("child"), F.col("paths").alias("all"))
@@ -80,8 +103,8 @@ def edge_betweenness(edges: DataFrame) -> DataFrame:
         shares = flow if shares is None else shares.union(flow)
         credit = flow.groupBy("root", F.col("node").alias("child")).agg(F.sum("share").alias("got"))
     if shares is None:
-        return edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(0.0).alias("score")).limit(0)
-    return shares.groupBy(F.least("node", "child").alias("u"), F.greatest("node", "child").alias("v")).agg((F.sum("share") / 2).alias("score"))
+        return None
+    return cut(shares.groupBy(F.least("node", "child").alias("u"), F.greatest("node", "child").alias("v")).agg((F.sum("share") / 2).alias("score")))
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -92,22 +115,82 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return e.crossJoin(F.broadcast(total)).agg(F.round(F.sum(F.col("inner") / F.col("m2") - F.pow(F.col("deg") / F.col("m2"), F.lit(2))), 6).alias("modularity"))
 
 
-def divisive_communities(edges: DataFrame, score_initial: bool = False, rounds: int | None = None) -> DataFrame:
-    """(id, component) of the first division with the best modularity: all edges tied at the top score go, round by round.
-
-    Scores are rounded to 1e-9 before they are compared. The uncut graph counts only if score_initial.
+#: Edges, counted in both directions, of a component that one task searches; larger ones go by joins.
+TASK_EDGES = 4096
+
+
+def _searched(key, pdf):
+    """A component's edges (src, dst) to its scores (u, v, score) and, with a null score, its nodes' labels (id, component) after the cut."""
+    import pandas as pd
+
+    beside: dict = {}
+    for a, b in zip(pdf["src"].tolist(), pdf["dst"].tolist()):
+        beside.setdefault(a, []).append(b)
+    label, score = {}, dict.fromkeys(((a, b) for a in beside for b in beside[a] if a < b), 0.0)
+    for root in sorted(beside):
+        depth, paths, order = {root: 0}, {root: 1.0}, [root]
+        for v in order:  # grows as nodes are found
+            for w in beside[v]:
+                if w not in depth:
+                    depth[w], paths[w] = depth[v] + 1, 0.0
+                    order.append(w)
+                if depth[w] == depth[v] + 1:
+                    paths[w] += paths[v]
+        credit = dict.fromkeys(order, 1.0)
+        for w in reversed(order):
+            label.setdefault(w, root)
+            for v in beside[w]:
+                if depth[v] == depth[w] - 1:
+                    share = credit[w] * paths[v] / paths[w]
+                    credit[v] += share
+                    score[min(v, w), max(v, w)] += share / 2
+    rows = [(*e, x) for e, x in score.items()] + [(n, c, None) for n, c in label.items()]
+    return pd.DataFrame({"u": [r[0] for r in rows], "v": [r[1] for r in rows], "score": pd.array([r[2] for r in rows], "Float64")})
+
+
+def scored_components(edges: DataFrame, nodes: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """edges(src, dst, of) and nodes(id) to scores (u, v, score) and, with a null score, (id, component) as (u, v): betweenness and components in one.
+
+    `of` names parts that no edge joins: those of at most `task_edges` edges are
+    searched in a task each, the others by edge_betweenness() and connected().
     """
-    edges = cut(edges)
-    nodes, left, best, k = edges.select(F.col("src").alias("id")).distinct(), edges, None, 0
-    if score_initial:
-        own = connected(left, nodes)
-        best = (modularity(edges, own).first()[0], own)
-    while (rounds is None or k < rounds) and left.limit(1).count():
-        b = cut(edge_betweenness(left).withColumn("score", F.round("score", 9)))
-        top = b.agg(F.max("score")).first()[0]
-        gone = b.where(F.col("score") == top).select("u", "v")
-        left = cut(left.join(gone.union(gone.select("v", "u")).toDF("src", "dst"), ["src", "dst"], "left_anti"))
-        own = cut(connected(left, nodes))
+    kind = edges.schema["src"].dataType.simpleString()
+    many = cut(edges.groupBy("of").agg(F.count("*").alias("_n")).where(F.col("_n") > task_edges).select("of"))
+    out = edges.join(many, "of", "left_anti").groupBy("of").applyInPandas(_searched, f"u {kind}, v {kind}, score double")
+    alone = nodes.join(edges, F.col("id") == F.col("src"), "left_anti").select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(None).cast("double").alias("score"))
+    out = out.union(alone)
+    if many.limit(1).count():
+        rest = cut(edges.join(many, "of", "left_semi").select("src", "dst"))
+        own = connected(rest).select(F.col("id").alias("u"), F.col("component").alias("v"), F.lit(None).cast("double").alias("score"))
+        out = out.union(edge_betweenness(rest)).union(own)
+    return cut(out.withColumn("score", F.round("score", 9)))
+
+
+def divisive_communities(edges: DataFrame, score_initial: bool = False, rounds: int | None = None, task_edges: int = TASK_EDGES) -> DataFrame:
+    """(id, component) of the first division with the best modularity: all edges tied at the top score go, round by round, until none is left.
+
+    A cut changes scores and components only where it was made, so a round searches
+    just the components that lost an edge. Scores are rounded to 1e-9 before they
+    are compared. The uncut graph counts only if score_initial.
+    """
+    edges = cut(edges.select("src", "dst"))
+    nodes = cut(edges.select(F.col("src").alias("id")).distinct())
+    own = connected(edges, nodes)
+    best, k = (modularity(edges, own).first()[0], own) if score_initial else None, 0
+    found = scored_components(edges.join(own.select(F.col("id").alias("src"), F.col("component").alias("of")), "src").select("src", "dst", "of"), nodes, task_edges)
+    while rounds is None or k < rounds:
+        scores = found.where("score IS NOT NULL")
+        top = scores.agg(F.max("score")).first()[0]
+        if top is None:
+            break
+        own = found.where("score IS NULL").select(F.col("u").alias("id"), F.col("v").alias("of"))
+        touched = cut(scores.where(F.col("score") == top).join(own, F.col("u") == F.col("id")).select("of").distinct())
+        left = scores.where(F.col("score") != top).join(own, F.col("u") == F.col("id")).join(touched, "of", "left_semi").select("u", "v", "of")
+        left = cut(left.select(F.col("u").alias("src"), F.col("v").alias("dst"), "of").union(left.select("v", "u", "of")))
+        inside = own.join(touched, "of", "left_semi").select("id")
+        kept = found.join(inside, F.col("u") == F.col("id"), "left_anti")
+        found = cut(kept.union(scored_components(left, inside, task_edges)))
+        own = found.where("score IS NULL").select(F.col("u").alias("id"), F.col("v").alias("component"))
         q = modularity(edges, own).first()[0]
         if best is None or q > best[0]:
             best = (q, own)

@@ -9,14 +9,52 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import affine, coefficients, flag, map_sum, noise_level, number
+from ..plans.lineage import ranked, stored
+
+
+def _least(share: float):
+    """How many of n a share of them is at least; a hair below a whole number counts as that."""
+    return F.ceil(F.lit(share) * F.col("n") - 1e-9)
+
+
+def similar_candidates(pairs: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """(small, large, n1, n2), small the item with fewer users (the lesser of equal ones): all item pairs that may reach the threshold.
+
+    Users of an item are ranked rarest first. Sets that overlap enough share a user
+    among the first n - ceil(t * n) + 1 of the larger and the first
+    n - ceil(2 t / (1 + t) * n) + 1 of the smaller, so only these prefixes meet, by
+    user and by a class of sizes, a factor 1 / t wide, and its neighbour. What is
+    left after the first shared user must still suffice. A user that most items
+    have stands behind the others' prefixes.
+    """
+    t = threshold
+    seen = pairs.groupBy("user").agg(F.count("*").alias("seen"))
+    x = ranked(pairs.join(seen, "user").select("item", "user", "seen"), ["item"], ["seen", "user"], "at").join(sizes, "item")
+    size_class = F.floor(F.log("n") / math.log(1 / t) * (1 - 1e-9)) if t < 1 else F.col("n")  # a hair narrower, so that a factor 1 / t never spans three
+    x = x.withColumn("class", size_class.cast("long"))
+    small = x.where(F.col("at") <= F.col("n") - _least(2 * t / (1 + t)) + 1).select("user", "class", F.col("item").alias("small"), F.col("n").alias("n1"), F.col("at").alias("at1"))
+    large = x.where(F.col("at") <= F.col("n") - _least(t) + 1)
+    large = large.select("user", F.explode(F.array("class", F.col("class") - 1)).alias("class"), F.col("item").alias("large"), F.col("n").alias("n2"), F.col("at").alias("at2"))
+    met = small.join(large, ["user", "class"]).where("(n1 < n2 OR n1 = n2 AND small < large)").where(F.col("n2") * t <= F.col("n1") + 1e-9)
+    first = met.groupBy("small", "large", "n1", "n2").agg(F.min("at1").alias("at1"), F.min("at2").alias("at2"))
+    most = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) + 1
+    return first.where(most >= F.lit(t / (1 + t)) * (F.col("n1") + F.col("n2")) - 1e-9).select("small", "large", "n1", "n2")
 
 
 def jaccard_pairs(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """pairs(item, user), distinct, to (item_1, item_2, similarity): exact Jaccard by an inverted index on users."""
-    size = pairs.groupBy("item").agg(F.count("*").alias("n"))
-    a, b = pairs.select(F.col("item").alias("item_1"), "user"), pairs.select(F.col("item").alias("item_2"), "user")
-    both = a.join(b, "user").where("item_1 < item_2").groupBy("item_1", "item_2").agg(F.count("*").alias("c"))
-    return _similar(both, size, threshold)
+    """pairs(item, user), distinct, to (item_1, item_2, similarity) with at least `threshold` (over 0 to 1): an exact set-similarity join.
+
+    Candidates are counted in full from the smaller set's users. A null user
+    belongs to an item's size but is shared by none; a null item has no pairs.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be over 0 and at most 1")
+    sizes = stored(pairs.where("item IS NOT NULL").groupBy("item").agg(F.count("*").alias("n")))
+    cand = similar_candidates(pairs, sizes, threshold)
+    u1, u2 = pairs.select(F.col("item").alias("small"), "user"), pairs.select(F.col("item").alias("large"), "user")
+    both = cand.join(u1, "small").join(u2, ["large", "user"]).groupBy("small", "large", "n1", "n2").agg(F.count("*").alias("c"))
+    out = both.withColumn("similarity", F.col("c") / (F.col("n1") + F.col("n2") - F.col("c"))).where(F.col("similarity") >= threshold)
+    return out.select(F.least("small", "large").alias("item_1"), F.greatest("small", "large").alias("item_2"), F.round("similarity", 6).alias("similarity"))
 
 
 def _similar(both: DataFrame, size: DataFrame, threshold: float) -> DataFrame:
@@ -78,8 +116,6 @@ def item_links(ratings: DataFrame, min_common: int, min_r: float) -> DataFrame:
     of some two rows a rating (one item_1 has at most one a rating), and only
     what links stays of a pass.
     """
-    from ..plans.lineage import stored
-
     # by position, as in item_pearson; pairs come out of a user's list, so that a pass shuffles nothing but them
     users = ratings.toDF("user", "item", "rating").where(F.col("user").isNotNull()).groupBy("user").agg(F.collect_list(F.struct("item", "rating")).alias("own"))
     users = stored(users.select("own"))
@@ -106,8 +142,6 @@ def item_cf(ratings: DataFrame, targets: DataFrame, min_common: int = 10, min_r:
     have it. Without any, or where the weighted sum is 0: item_weight of the item's
     mean and the rest of the user's. A rating of the target itself is left out.
     """
-    from ..plans.lineage import stored
-
     item_mean = ratings.groupBy("item").agg(F.avg("rating").alias("item_mean"))
     user_mean = ratings.groupBy("user").agg(F.avg("rating").alias("user_mean"))
     p = item_links(ratings.select("user", "item", "rating"), min_common, min_r)

@@ -431,7 +431,7 @@ def edge_betweenness(spark, d):
 
 @query()
 def divisive_communities(spark, d):
-    return graph.divisive_communities(_edges(spark, d), rounds=3)
+    return graph.divisive_communities(_edges(spark, d))
 
 
 # -- streams: events in order of (ts, event_id), 1,000 a batch
