@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, running
 
 
 def coshare_edges(pairs: DataFrame, threshold: int) -> DataFrame:
@@ -109,23 +109,22 @@ def _shares(edges: DataFrame, roots: DataFrame) -> DataFrame | None:
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: the sum over communities of inner edges / m less (degree / 2m) squared, m and degrees of `edges`."""
+    return _quality(edges, labels).select(F.round("q", 6).alias("modularity"))
+
+
+def _quality(edges: DataFrame, labels: DataFrame) -> DataFrame:
     a, b = labels.toDF("src", "a"), labels.toDF("dst", "b")
     e = edges.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("c")).agg(F.count("*").alias("deg"), F.count_if(F.col("a") == F.col("b")).alias("inner"))
     total = e.agg(F.sum("deg").alias("m2"))
-    return e.crossJoin(F.broadcast(total)).agg(F.round(F.sum(F.col("inner") / F.col("m2") - F.pow(F.col("deg") / F.col("m2"), F.lit(2))), 6).alias("modularity"))
+    return e.crossJoin(F.broadcast(total)).agg(F.sum(F.col("inner") / F.col("m2") - F.pow(F.col("deg") / F.col("m2"), F.lit(2))).alias("q"))  # one row of totals
 
 
-#: Edges, counted in both directions, of a component that one task searches; larger ones go by joins.
-TASK_EDGES = 4096
+#: Edges, counted in both directions, of a component that one task searches or divides; larger ones go by joins.
+TASK_EDGES = 1024
 
 
-def _searched(key, pdf):
-    """A component's edges (src, dst) to its scores (u, v, score) and, with a null score, its nodes' labels (id, component) after the cut."""
-    import pandas as pd
-
-    beside: dict = {}
-    for a, b in zip(pdf["src"].tolist(), pdf["dst"].tolist()):
-        beside.setdefault(a, []).append(b)
+def _search(beside: dict) -> tuple[dict, dict]:
+    """(score by edge, smallest node reachable by node) of a graph given as each node's neighbours."""
     label, score = {}, dict.fromkeys(((a, b) for a in beside for b in beside[a] if a < b), 0.0)
     for root in sorted(beside):
         depth, paths, order = {root: 0}, {root: 1.0}, [root]
@@ -144,6 +143,17 @@ def _searched(key, pdf):
                     share = credit[w] * paths[v] / paths[w]
                     credit[v] += share
                     score[min(v, w), max(v, w)] += share / 2
+    return score, label
+
+
+def _searched(key, pdf):
+    """A component's edges (src, dst) to its scores (u, v, score) and, with a null score, its nodes' labels (id, component)."""
+    import pandas as pd
+
+    beside: dict = {}
+    for a, b in zip(pdf["src"].tolist(), pdf["dst"].tolist()):
+        beside.setdefault(a, []).append(b)
+    score, label = _search(beside)
     rows = [(*e, x) for e, x in score.items()] + [(n, c, None) for n, c in label.items()]
     return pd.DataFrame({"u": [r[0] for r in rows], "v": [r[1] for r in rows], "score": pd.array([r[2] for r in rows], "Float64")})
 
@@ -166,31 +176,139 @@ def scored_components(edges: DataFrame, nodes: DataFrame, task_edges: int = TASK
     return cut(out.withColumn("score", F.round("score", 9)))
 
 
+def _turns(tops: list) -> list[tuple]:
+    """For each step of a component, its place among those of all: steps of several components follow in the order of these, equal ones together.
+
+    A step waits until no component has a higher top, and the steps after it that
+    are not below it come before any other component's lower ones. So a place is
+    minus the least top so far, then, but for the first step with that least top,
+    the place among the steps since.
+    """
+    out, todo = [()] * len(tops), [(0, len(tops), ())]
+    while todo:
+        at, end, before = todo.pop()
+        while at < end:
+            upto = at + 1
+            while upto < end and tops[upto] >= tops[at]:
+                upto += 1
+            out[at] = (*before, -tops[at])
+            todo.append((at + 1, upto, out[at]))
+            at = upto
+    return out
+
+
+def _divided(total: float):
+    """Over a component's (src, dst, live, degree), all edges between its nodes, live ones uncut: its whole division, step by step.
+
+    Rows (of, step, turn, gain, id, component): a step's gain in modularity with a
+    null id, and a row for each node that gets another component by it.
+    """
+
+    def run(key, pdf):
+        import pandas as pd
+
+        inner, live, degree = {}, {}, {}
+        for a, b, alive, d in zip(pdf["src"].tolist(), pdf["dst"].tolist(), pdf["live"].tolist(), pdf["degree"].tolist()):
+            inner.setdefault(a, []).append(b)
+            degree[a] = d
+            if alive:
+                live.setdefault(a, []).append(b)
+
+        def quality(part):
+            return sum(b in part for a in part for b in inner[a]) / total - (sum(degree[a] for a in part) / total) ** 2
+
+        score, label = _search(live)
+        score, members = {e: round(x, 9) for e, x in score.items()}, {}
+        for n, c in label.items():
+            members.setdefault(c, set()).add(n)
+        tops, gains, moves = [], [], []
+        while score:
+            top = max(score.values())
+            gone = [e for e, x in score.items() if x == top]
+            for a, b in gone:
+                live[a].remove(b)
+                live[b].remove(a)
+                del score[a, b]
+            gain, moved = 0.0, []
+            for c in {label[a] for a, _ in gone}:
+                old = members.pop(c)
+                own, new = _search({n: live[n] for n in old})
+                score.update((e, round(x, 9)) for e, x in own.items())
+                for n, k in new.items():
+                    members.setdefault(k, set()).add(n)
+                    if k != c:
+                        moved.append((n, k))
+                label.update(new)
+                if moved:
+                    gain += sum(quality(members[k]) for k in set(new.values())) - quality(old)
+            tops.append(top)
+            gains.append(gain)
+            moves.append(moved)
+        rows = []
+        for k, turn in enumerate(_turns(tops)):
+            rows += [(key[0], k, list(turn), gains[k], None, None), *((key[0], k, list(turn), None, n, c) for n, c in moves[k])]
+        out = pd.DataFrame(rows, columns=["of", "step", "turn", "gain", "id", "component"])
+        if not isinstance(key[0], str):
+            out = out.astype({"of": "Int64", "id": "Int64", "component": "Int64"})
+        return out
+
+    return run
+
+
+def _divide_small(edges: DataFrame, own: DataFrame, live: DataFrame) -> tuple[float, DataFrame] | None:
+    """(modularity, (id, component)) of the first best division from `own` on, if every component is divided in a task; None without live edges."""
+    kind = edges.schema["src"].dataType.simpleString()
+    degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
+    e = edges.join(own.toDF("src", "of"), "src").join(own.toDF("dst", "other"), "dst").where("of = other").select("src", "dst", "of")
+    e = e.join(degree, "src").join(live.select("src", "dst", F.lit(True).alias("live")), ["src", "dst"], "left").fillna(False, ["live"])
+    some = live.join(own.toDF("src", "of"), "src").select("of").distinct()
+    e = e.join(some, "of", "left_semi").select("of", "src", "dst", "live", "degree")
+    steps = cut(e.groupBy("of").applyInPandas(_divided(float(edges.count())), f"of {kind}, step int, turn array<double>, gain double, id {kind}, component {kind}"))
+    base = _quality(edges, own).first()[0]
+    turns = running(steps.where("gain IS NOT NULL").groupBy("turn").agg(F.sum("gain").alias("gain")), ["turn"], "gain", "sum")
+    best = turns.agg(F.max(F.struct(F.round(F.col("sum") + base, 6).alias("q"), (-F.col("seq")).alias("seq"))).alias("b")).select("b.*").first()
+    if best["q"] is None:
+        return None
+    last = turns.where(F.col("seq") == -best["seq"]).select(F.col("turn").alias("upto"))  # one row
+    moved = steps.where("gain IS NULL").crossJoin(F.broadcast(last)).where("turn <= upto").groupBy("id").agg(F.max_by("component", "step").alias("new"))
+    return best["q"], cut(own.join(moved, "id", "left").select("id", F.coalesce("new", "component").alias("component")))
+
+
 def divisive_communities(edges: DataFrame, score_initial: bool = False, rounds: int | None = None, task_edges: int = TASK_EDGES) -> DataFrame:
     """(id, component) of the first division with the best modularity: all edges tied at the top score go, round by round, until none is left.
 
     A cut changes scores and components only where it was made, so a round searches
-    just the components that lost an edge. Scores are rounded to 1e-9 before they
-    are compared. The uncut graph counts only if score_initial.
+    just the components that lost an edge. Once none has over `task_edges` edges,
+    each is divided to its end in a task, and the tasks' steps are put in the order
+    in which the rounds would take them. Scores are rounded to 1e-9 before they are
+    compared. The uncut graph counts only if score_initial. With `rounds`, only so
+    many rounds are made.
     """
     edges = cut(edges.select("src", "dst"))
     nodes = cut(edges.select(F.col("src").alias("id")).distinct())
-    own = connected(edges, nodes)
-    best, k = (modularity(edges, own).first()[0], own) if score_initial else None, 0
-    found = scored_components(edges.join(own.select(F.col("id").alias("src"), F.col("component").alias("of")), "src").select("src", "dst", "of"), nodes, task_edges)
+    own, live = cut(connected(edges, nodes)), edges
+    best, k, found = (modularity(edges, own).first()[0], own) if score_initial else None, 0, None
     while rounds is None or k < rounds:
+        if rounds is None and not live.join(own.toDF("src", "of"), "src").groupBy("of").count().where(F.col("count") > task_edges).limit(1).count():
+            rest = _divide_small(edges, own, live)
+            if rest and (best is None or rest[0] > best[0]):
+                best = rest
+            break
+        if found is None:
+            found = scored_components(edges.join(own.toDF("src", "of"), "src").select("src", "dst", "of"), nodes, task_edges)
         scores = found.where("score IS NOT NULL")
         top = scores.agg(F.max("score")).first()[0]
         if top is None:
             break
-        own = found.where("score IS NULL").select(F.col("u").alias("id"), F.col("v").alias("of"))
-        touched = cut(scores.where(F.col("score") == top).join(own, F.col("u") == F.col("id")).select("of").distinct())
-        left = scores.where(F.col("score") != top).join(own, F.col("u") == F.col("id")).join(touched, "of", "left_semi").select("u", "v", "of")
+        touched = cut(scores.where(F.col("score") == top).join(own.toDF("u", "of"), "u").select("of").distinct())
+        left = scores.where(F.col("score") != top).join(own.toDF("u", "of"), "u").join(touched, "of", "left_semi").select("u", "v", "of")
         left = cut(left.select(F.col("u").alias("src"), F.col("v").alias("dst"), "of").union(left.select("v", "u", "of")))
-        inside = own.join(touched, "of", "left_semi").select("id")
+        inside = own.toDF("id", "of").join(touched, "of", "left_semi").select("id")
         kept = found.join(inside, F.col("u") == F.col("id"), "left_anti")
         found = cut(kept.union(scored_components(left, inside, task_edges)))
         own = found.where("score IS NULL").select(F.col("u").alias("id"), F.col("v").alias("component"))
+        live = found.where("score IS NOT NULL").select(F.col("u").alias("src"), F.col("v").alias("dst"))
+        live = live.union(live.select("dst", "src"))
         q = modularity(edges, own).first()[0]
         if best is None or q > best[0]:
             best = (q, own)

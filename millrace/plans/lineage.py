@@ -70,3 +70,15 @@ def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank"
     before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition that has rows of the group
     runs = runs.select(*group, "_part", (F.coalesce(before, F.lit(0)) + 1 - F.col("_low")).alias("_shift"))
     return s.join(runs, [*group, "_part"]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
+
+
+def running(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """The sum of `value` up to each row in the order given, and the row's place `seq` from 1: sums within sorted partitions, and those of the partitions before."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = stored(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = s.withColumn(name, F.sum(value).over(w)).withColumn("seq", F.count("*").over(w))
+    past = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    before = s.groupBy("_part").agg(F.sum(value).alias("_v"), F.count("*").alias("_n"))
+    before = before.select("_part", F.coalesce(F.sum("_v").over(past), F.lit(0)).alias("_v"), F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_n"))
+    return own.join(F.broadcast(before), "_part").withColumn(name, F.col(name) + F.col("_v")).withColumn("seq", F.col("seq") + F.col("_n")).drop("_part", "_v", "_n")

@@ -90,9 +90,25 @@ def divided(edges):
     return best[1]
 
 
-@pytest.mark.parametrize("task_edges", [4096, 8])
+def test_turns_are_those_of_rounds_over_all_components():
+    rng = random.Random(9)
+    for _ in range(300):
+        lists = [[rng.randint(1, 4) for _ in range(rng.randint(0, 6))] for _ in range(3)]
+        at, rounds = [0] * 3, []
+        while any(k < len(x) for k, x in zip(at, lists)):
+            top = max(x[k] for k, x in zip(at, lists) if k < len(x))
+            rounds.append([(c, k) for c, (k, x) in enumerate(zip(at, lists)) if k < len(x) and x[k] == top])
+            at = [k + (k < len(x) and x[k] == top) for k, x in zip(at, lists)]
+        turns = {}
+        for c, x in enumerate(lists):
+            for k, turn in enumerate(graph._turns(x)):
+                turns.setdefault(turn, []).append((c, k))
+        assert [turns[t] for t in sorted(turns)] == rounds
+
+
+@pytest.mark.parametrize("task_edges", [4096, 12])
 def test_the_divisive_loop_to_its_end(spark, task_edges):
-    e = {(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (4, 5), (3, 5), (5, 6), (6, 7), (7, 8), (6, 8)} | ({(20, 21), (21, 22), (22, 23)} if task_edges > 8 else set())
+    e = {(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (4, 5), (3, 5), (5, 6), (6, 7), (7, 8), (6, 8)} | ({(20, 21), (21, 22), (22, 23)} if task_edges > 12 else set())
     got = dict(rows(graph.divisive_communities(frame(spark, e), task_edges=task_edges), "id", "component"))
     assert got == divided(e)
 
