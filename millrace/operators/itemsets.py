@@ -50,21 +50,103 @@ def frequent_itemsets(pairs: DataFrame, support: int, max_size: int | None = Non
     return out
 
 
-def son_candidates(pairs: DataFrame, support: int, partitions: int, max_size: int | None = None) -> DataFrame:
-    """itemsets frequent in some of `partitions` parts of the baskets at ceil(support / partitions): SON's first phase. Sizes grow until no part has a set left."""
+#: Items times rows of a part, at most, that one task mines in bitmaps (256 MB of them); larger parts go by joins.
+PART_CELLS = 1 << 31
+
+
+def _mined(local: int, max_size: int | None):
+    """(part, key, item), a part's rows together, to the sets of two or more items in at least `local` of its baskets.
+
+    An item is a bitmap over the part's baskets. Sets grow depth first by items
+    that sort after their last, each by one `and` with all that may follow.
+    """
+
+    def sets(rows):
+        import numpy as np
+        import pyarrow as pa
+
+        t = pa.Table.from_batches(rows).drop_null()
+        key = t["key"].combine_chunks().dictionary_encode().indices.to_numpy()
+        item = t["item"].combine_chunks().dictionary_encode()
+        names = item.dictionary.to_pylist()
+        order = sorted(range(len(names)), key=names.__getitem__)
+        names, place = [names[k] for k in order], np.argsort(order)
+        bits = np.zeros((len(names), -(-(int(key.max(initial=0)) + 1) // 8)), np.uint8)
+        np.bitwise_or.at(bits, (place[item.indices.to_numpy()], key >> 3), (1 << (key & 7)).astype(np.uint8))
+        todo = [([k], bits[k], np.arange(k + 1, len(names))) for k in range(len(names))]
+        while todo:
+            own, mask, after = todo.pop()
+            if not len(after) or max_size is not None and len(own) >= max_size:
+                continue
+            both = bits[after] & mask
+            enough = np.bitwise_count(both).sum(axis=1) >= local
+            after, both = after[enough], both[enough]
+            for k, (x, m) in enumerate(zip(after.tolist(), both)):
+                yield [names[i] for i in (*own, x)]
+                todo.append(([*own, x], m.copy(), after[k + 1 :]))
+
+    def run(batches):
+        import pyarrow as pa
+
+        def parts():
+            held, last = [], None
+            for b in batches:
+                starts = [k for k in range(b.num_rows) if not k or b.column(0)[k] != b.column(0)[k - 1]] if b.num_rows and b.column(0)[0] != b.column(0)[-1] else [0]
+                for s, e in zip(starts, [*starts[1:], b.num_rows]):
+                    if e > s and held and b.column(0)[s].as_py() != last:
+                        yield held
+                        held = []
+                    if e > s:
+                        last = b.column(0)[s].as_py()
+                        held.append(b.slice(s, e - s))
+            if held:
+                yield held
+
+        for rows in parts():
+            kind, out = pa.list_(rows[0].schema.field("item").type), []
+            for x in sets(rows):
+                out.append(x)
+                if len(out) >= 1 << 14:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, kind)], ["itemset"])
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out, kind)], ["itemset"])
+
+    return run
+
+
+def son_candidates(pairs: DataFrame, support: int, partitions: int, max_size: int | None = None, cells: int = PART_CELLS) -> DataFrame:
+    """itemsets frequent in some of `partitions` parts of the baskets at ceil(support / partitions): SON's first phase, sets of every size up to max_size.
+
+    Items are counted for all parts first. A part whose frequent items times rows
+    are at most `cells` is then mined in a task, others level by level by joins, as
+    a part may be of any size. A null item is a set of its own only; a null key
+    makes no larger sets.
+    """
     local = -(-support // partitions)
-    out, size = None, 0
-    part = pairs.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(partitions)))
-    level = part.select("part", "key", F.array("item").alias("itemset"), F.col("item").alias("last"))
-    ones = part.select("part", "key", "item")
-    while max_size is None or size < max_size:
-        found = cut(level.groupBy("part", "itemset").agg(F.count("*").alias("n")).where(F.col("n") >= local))
-        out = found.select("itemset") if out is None else out.union(found.select("itemset"))
-        if not found.limit(1).count():
-            break
-        kept = cut(level.join(found.select("part", "itemset"), ["part", "itemset"], "left_semi"))
-        level = kept.join(ones, ["part", "key"]).where(F.col("item") > F.col("last")).select("part", "key", F.concat("itemset", F.array("item")).alias("itemset"), F.col("item").alias("last"))
-        size += 1
+    part = pairs.select(F.pmod(F.xxhash64("key"), F.lit(partitions)).cast("long").alias("part"), "key", "item")
+    ones = cut(part.groupBy("part", "item").agg(F.count("*").alias("n")).where(F.col("n") >= local))
+    out = ones.select(F.array("item").alias("itemset"))
+    if max_size is not None and max_size < 2:
+        return (out if max_size == 1 else out.limit(0)).distinct()
+    live = cut(part.join(ones.select("part", "item"), ["part", "item"], "left_semi").select("part", "key", "item"))
+    size = ones.groupBy("part").agg(F.sum("n").alias("rows"), F.count("*").alias("items"))
+    small = cut(size.where(F.col("rows") * F.col("items") <= cells).select("part"))
+    rows = live.join(small, "part", "left_semi").repartition(partitions, "part").sortWithinPartitions("part")
+    kind = pairs.schema["item"].dataType.simpleString()
+    out = out.union(rows.mapInArrow(_mined(local, max_size), f"itemset array<{kind}>"))
+    live, k = live.join(small, "part", "left_anti"), 1
+    if live.limit(1).count():
+        live = cut(live)
+        level = live.select("part", "key", F.array("item").alias("itemset"), F.col("item").alias("last"))
+        while max_size is None or k < max_size:
+            grown = level.join(live, ["part", "key"]).where(F.col("item") > F.col("last")).select("part", "key", F.concat("itemset", F.array("item")).alias("itemset"), F.col("item").alias("last"))
+            found = cut(grown.groupBy("part", "itemset").agg(F.count("*").alias("n")).where(F.col("n") >= local).select("part", "itemset"))
+            if not found.limit(1).count():
+                break
+            out = out.union(found.select("itemset"))
+            level = cut(grown.join(found, ["part", "itemset"], "left_semi"))
+            k += 1
     return out.distinct()
 
 

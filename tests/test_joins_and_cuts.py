@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import graph, recommend
+from millrace.operators import graph, itemsets, recommend
 from millrace.plans.lineage import ranked
 from test_operators import _brandes, _random_graph, rows
 
@@ -118,3 +118,24 @@ def test_a_division_of_text_nodes_and_of_no_edges(spark):
     own = rows(graph.divisive_communities(frame(spark, e, "string")), "id", "component")
     assert own == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "d")]
     assert graph.divisive_communities(frame(spark, e, "string").where(F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize("cells", [itemsets.PART_CELLS, 150, 0])
+def test_parts_are_mined_as_brute_force_does(spark, cells):
+    rng = random.Random(12)
+    baskets = {k: set(rng.choices("abcdefgh", weights=range(8, 0, -1), k=6)) for k in range(50)}
+    pairs = spark.createDataFrame([(k, i) for k, b in baskets.items() for i in b] + [(k, None) for k in range(20)] + [(None, i) for i in "abc"], "key long, item string")
+    dealt = dict(rows(pairs.select("key", F.pmod(F.xxhash64("key"), F.lit(3)).alias("part")).distinct().where("key is not null"), "key", "part"))
+    for top in (None, 1, 2, 3):
+        want = set()
+        for p in range(3):
+            counts = {("a",): 1, ("b",): 1, ("c",): 1} if p == 42 % 3 else {}  # the null key's, whose hash is the seed
+            for k, b in baskets.items():
+                for n in range(1, 9):
+                    for c in itertools.combinations(sorted(b), n) if dealt[k] == p else ():
+                        counts[c] = counts.get(c, 0) + 1
+            want |= {c for c, n in counts.items() if n >= 4 and (top is None or len(c) <= top)}
+        got = [tuple(r[0]) for r in itemsets.son_candidates(pairs, 12, 3, top, cells).collect()]
+        assert len(got) == len(set(got)) and set(got) - {(None,)} == want
+        if cells != 150:
+            break
