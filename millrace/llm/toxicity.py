@@ -156,8 +156,8 @@ def _learnable(labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS):
     """(model, fitted ids): fitted on at most `sample_rows` labelled documents, those with the smallest hash of doc_id.
 
-    Of these, nine in ten are fitted on, as long as their texts have `sample_chars`
-    characters at most. Null labels, and documents without a text, teach nothing;
+    Of these, nine in ten are fitted on, but for those whose texts would bring the
+    characters of all chosen over `sample_chars`. Null labels, and documents without a text, teach nothing;
     without both kinds of label the model is untrained. Of documents that share an id
     each text is learnt.
     """
@@ -173,8 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
     d = docs.select("doc_id", "text").join(F.broadcast(pick), F.col("doc_id") == F.col("_id")).select(F.col("_id").cast("long").alias("_id"), "_y", "text")
     total, chosen = 0, []
     for k, r in enumerate(d.groupBy("_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n")).orderBy(F.xxhash64("_id"), "_id").collect()):  # at most sample_rows
-        total += r["n"]
-        if k % 10 and total <= sample_chars:
+        if k % 10 and total + r["n"] <= sample_chars:  # a text that does not fit is passed over, not the rest
+            total += r["n"]
             chosen.append(r["_id"])
     fitted = docs.sparkSession.createDataFrame([(i,) for i in chosen], "_fit long")
     got = d.join(F.broadcast(fitted), F.col("_id") == F.col("_fit"), "left_semi").mapInArrow(ids, "id long, y int, ids array<int>").toArrow()

@@ -630,7 +630,7 @@ def test_thresholds_by_language():
 
 
 def test_classifier_equals_a_plain_convolution():
-    """pooled() over chunks against loops over all positions, and a step of training against numeric gradients."""
+    """pooled() over chunks against loops over all positions; training moves scores apart."""
     model = toxicity.TextCNN()
     for n in (0, 1, 2, 3, 50):
         ids = toxicity.word_ids(prose(n, n) if n else "")
@@ -649,6 +649,51 @@ def test_classifier_equals_a_plain_convolution():
     assert model.score(ids) > max(before, 0.6) and model.score(toxicity.word_ids("quite other ones")) < 0.4
 
 
+def test_a_step_of_training_follows_numeric_gradients():
+    """The first Adagrad step is -rate * g / sqrt(0.01 + g * g), from which g comes back."""
+    from copy import deepcopy
+
+    model = toxicity.TextCNN()
+    for name in ("words", "heads", "out"):
+        setattr(model, name, getattr(model, name).astype(np.float64))
+    model.filters = {w: f.astype(np.float64) for w, f in model.filters.items()}
+    model.bias = {w: b.astype(np.float64) for w, b in model.bias.items()}
+    ids = toxicity.word_ids("some words of one text and others")
+    before = deepcopy(model)
+    model.fit([ids], [1], epochs=1, rate=0.05)
+
+    def loss(m):
+        return -0.5 * np.log(m.score(ids))  # the weight of a class that is all there is
+
+    rng, compared = np.random.default_rng(1), 0
+    parts = [lambda m: m.out, lambda m: m.words, lambda m: m.heads, *(lambda m, w=w: m.filters[w] for w in toxicity.WIDTHS), *(lambda m, w=w: m.bias[w] for w in toxicity.WIDTHS)]
+    for part in parts:
+        old, new = part(before), part(model)
+        moved = np.argwhere(old != new)
+        assert len(moved)
+        for at in map(tuple, rng.permutation(moved)[:8]):
+            u = (old[at] - new[at]) / 0.05
+            found, ends = u * 0.1 / np.sqrt(1 - u * u), []
+            for sign in (1, -1):
+                m = deepcopy(before)
+                part(m)[at] += sign * 1e-5
+                ends.append(loss(m))
+            assert abs(found - (ends[0] - ends[1]) / 2e-5) < 1e-3 * abs(found) + 1e-5
+            compared += 1
+    assert compared > 40
+
+
+def test_an_over_long_text_does_not_stop_learning(spark):
+    rng = random.Random(8)
+    texts = {k: ("grunk blarf " if k % 2 else "fine words ") * rng.randint(2, 4) for k in range(60)}
+    docs = spark.createDataFrame([(k, t if k % 7 else t * 400) for k, t in texts.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in texts], "doc_id long, toxic int")
+    model, fitted = toxicity.train(docs, labels, sample_chars=1500)
+    own = {r[0] for r in fitted.collect()}
+    assert len(own) > 20 and not any(k % 7 == 0 for k in own)
+    assert model.score(toxicity.word_ids("grunk blarf grunk")) > 0.5 > model.score(toxicity.word_ids("fine words fine"))
+
+
 def test_toxicity(spark):
     slurs = ["grunk", "blarf", "snode", "vexil", "quorp"]
     texts, toxic = [], []
