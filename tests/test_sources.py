@@ -79,3 +79,55 @@ def test_text_users(spark):
     pairs = spark.createDataFrame([("x", u) for u in names[:10]] + [("y", u) for u in names[:8]] + [("z", "q")], "item string, user string")
     assert [(r["item_1"], r["item_2"], r["similarity"]) for r in recommend.lsh_pairs(pairs).collect()] == [("x", "y", 0.8)]
     assert sorted((r["n"], r["user"]) for r in recommend.user_index(pairs).collect()) == [(n, u) for n, u in enumerate(sorted({*names[:10], "q"}))]
+
+
+def test_timing_report_finds_the_same_rows_both_ways(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from millrace.operators import relational
+
+    reviews = spark.createDataFrame([(f"b{k % 13}", float(k % 5)) for k in range(200)] + [("b99", 9.0)], "business_id string, stars double")
+    business = spark.createDataFrame([(f"b{k}", f"c{k % 4}" if k else None) for k in range(13)], "business_id string, city string")
+    load = lambda: reviews.join(business, "business_id").groupBy("city").agg({"stars": "avg"}).toDF("city", "stars")
+    got = sinks.timing_report(load, str(tmp_path / "t.json"), "city", "stars", 3)
+    assert json.load(open(tmp_path / "t.json")) == got and list(got) == ["m1", "m2", "reason"] and got["m1"] > 0 and got["m2"] > 0
+    ties = spark.createDataFrame([("b", 1.0), (None, 1.0), ("a", 1.0), ("z", None)], "city string, stars double")
+    sinks.timing_report(lambda: ties, str(tmp_path / "u.json"), "city", "stars", 2)
+    sinks.timing_report(lambda: ties.limit(0), str(tmp_path / "v.json"), "city", "stars")
+    shown = iter([ties, ties.where("city = 'b'")])
+    with pytest.raises(ValueError):
+        sinks.timing_report(lambda: next(shown), str(tmp_path / "w.json"), "city", "stars", 2)
+
+
+def test_basket_file_is_one_file_and_is_read_again(spark, tmp_path):
+    p = tmp_path / "t.csv"
+    p.write_text('"DATE","C","x","y","z","P"\n"11/1/2000","007","a,b","","","0471"\n"11/12/2001","8","","","","52"\n"11/12/2001","8","","","","052"\n')
+    pairs = transaction_pairs(tables.transactions(spark, str(p)))
+    out = tmp_path / "out.csv"
+    sinks.basket_file(pairs, str(out))
+    text = open(out, newline="").read()
+    assert text.startswith("DATE-CUSTOMER_ID,PRODUCT_ID\r\n") and sorted(text.split("\r\n")[1:]) == ["", "11/1/00-7,471", "11/12/01-8,52"]
+    again = tables.header_csv(spark, str(out), "key STRING, item STRING")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, pairs.collect()))
+
+
+def test_json_folder_feeds_the_features(spark, tmp_path):
+    from millrace.operators import recommend
+
+    lines = {
+        "business": ['{"business_id":"b","city":"Reno","stars":4,"review_count":10,"is_open":1,"attributes":{"NoiseLevel":"loud"}}', '{"business_id":"c","stars":2}'],
+        "tip": ['{"business_id":"b","user_id":"u","likes":2,"text":"x"}', '{"business_id":"b","user_id":"u","likes":3}', '{"business_id":"c"}'],
+        "checkin": ['{"business_id":"b","time":{"Mon-1":3,"Tue-2":1}}'],
+        "user": ['{"user_id":"u","review_count":5,"average_stars":3.5,"useful":7,"fans":1,"name":"n"}', '{"user_id":"v"}'],
+    }
+    for name, rows in lines.items():
+        (tmp_path / f"{name}.json").write_text("\n".join(rows) + "\n")
+    read = lambda name, schema: tables.json_lines(spark, str(tmp_path / f"{name}.json"), schema)
+    tips, users = read("tip", tables.TIP), read("user", tables.USER)
+    assert sorted((r["business_id"], r["likes"] or 0) for r in tips.collect()) == [("b", 2), ("b", 3), ("c", 0)]
+    assert {r["user_id"]: r["fans"] for r in users.collect()} == {"u": 1, "v": None}
+    pairs = spark.createDataFrame([("u", "b")], "user_id string, business_id string")
+    x = recommend.features(pairs, read("business", tables.BUSINESS), tips, read("checkin", tables.CHECKIN), users).first()
+    assert (x["tip_likes"], x["noise"], x["checkin_norm"], x["user_avg_stars"], x["useful"], x["fans"]) == (5.0, 3.0, 1.0, 3.5, 7.0, 1.0)
