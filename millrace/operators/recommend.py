@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import affine, coefficients, flag, map_sum, noise_level, number
 from ..plans.lineage import ranked, stored
+from . import trees
 
 
 def _least(share: float):
@@ -189,14 +190,9 @@ def features(pairs: DataFrame, business: DataFrame, tips: DataFrame, checkins: D
     )
 
 
-def boosted(train: DataFrame, rows: DataFrame, label: str = "stars", columns=FEATURES, rounds: int = 20, depth: int = 5, seed: int = 1) -> DataFrame:
-    """rows with `prediction` by gradient-boosted trees, learning rate 0.2."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    v = VectorAssembler(inputCols=list(columns), outputCol="_features", handleInvalid="keep")
-    model = GBTRegressor(featuresCol="_features", labelCol=label, stepSize=0.2, maxIter=rounds, maxDepth=depth, seed=seed).fit(v.transform(train))
-    return model.transform(v.transform(rows)).drop("_features")
+def boosted(train: DataFrame, rows: DataFrame, label: str = "stars", columns=FEATURES, rounds: int = 100, depth: int = 6) -> DataFrame:
+    """rows with `prediction` by gradient-boosted trees, learning rate 0.2: see trees.fit() and trees.predict()."""
+    return trees.predict(trees.fit(train, label, columns, rounds=rounds, depth=depth), rows)
 
 
 def hybrid(tree: DataFrame, cf: DataFrame, weight: float = 0.78) -> DataFrame:

@@ -320,7 +320,7 @@ def features_16(spark, d):
 
 
 def _boosted(spark, d):
-    x = cut(recommend.features(*_review_tables(spark, d)))
+    x = stored(recommend.features(*_review_tables(spark, d)))
     held = F.pmod("row_id", F.lit(5)) == 0
     return recommend.boosted(x.where(~held), x.where(held))
 
