@@ -108,25 +108,45 @@ def _pearson(pairs: DataFrame) -> DataFrame:
 #: Pair rows that one pass of item_links may shuffle, however few the ratings are.
 PAIR_ROWS = 1 << 23
 
+#: Ratings of a block that a user's history is cut into, and parts in which a longer history finds its size.
+HISTORY_ROWS, SALTS = 256, 64
 
-def item_links(ratings: DataFrame, min_common: int, min_r: float) -> DataFrame:
+
+def history_blocks(ratings: DataFrame, block_rows: int = HISTORY_ROWS) -> DataFrame:
+    """ratings(user, item, rating) to (user, block, blocks, own): a user's ratings in blocks of about block_rows by the hash of the item.
+
+    Only users beyond one block are looked up, by user and one of SALTS parts, so
+    that no task gets a whole history.
+    """
+    size = ratings.groupBy("user").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")).where("blocks > 1")
+    size = size.select("user", "blocks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    x = ratings.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int")).join(size, ["user", "salt"], "left")
+    x = x.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "item"), F.col("blocks")).cast("int"))
+    return x.groupBy("user", "block", "blocks").agg(F.collect_list(F.struct("item", "rating")).alias("own"))
+
+
+def item_links(ratings: DataFrame, min_common: int, min_r: float, block_rows: int = HISTORY_ROWS) -> DataFrame:
     """item_pearson() where n_common >= min_common and r > min_r, as a stored table.
 
     A user with d ratings has d * (d - 1) / 2 pairs, so all pairs are many times
     the ratings. They are made and summed in passes by the hash of item_1, each
     of some two rows a rating (one item_1 has at most one a rating), and only
-    what links stays of a pass.
+    what links stays of a pass. A history of one block gives its pairs where it is;
+    of a longer one, each block meets what the pass takes of the user's blocks.
     """
-    # by position, as in item_pearson; pairs come out of a user's list, so that a pass shuffles nothing but them
-    users = ratings.toDF("user", "item", "rating").where(F.col("user").isNotNull()).groupBy("user").agg(F.collect_list(F.struct("item", "rating")).alias("own"))
-    users = stored(users.select("own"))
-    size = F.size("own").cast("double")
-    n, pairs = users.agg(F.coalesce(F.sum(size), F.lit(0.0)), F.coalesce(F.sum(size * (size - 1) / 2), F.lit(0.0))).first()
+    # by position, as in item_pearson
+    ratings = ratings.toDF("user", "item", "rating").where(F.col("user").isNotNull())
+    own = stored(history_blocks(ratings, block_rows))
+    size = F.sum(F.size("own").cast("double"))
+    n, pairs = own.groupBy("user").agg(size.alias("d")).agg(F.coalesce(F.sum("d"), F.lit(0.0)), F.coalesce(F.sum(F.expr("d * (d - 1) / 2")), F.lit(0.0))).first()
     passes = max(1, math.ceil(pairs / max(2 * n, PAIR_ROWS)))
+    short, long = own.where("blocks = 1"), own.where("blocks > 1")
 
     def links(k: int) -> DataFrame:
         first = F.filter("own", lambda x: F.pmod(F.xxhash64(x["item"]), F.lit(passes)) == k)
-        p = users.select("own", F.explode(first).alias("a")).select("a", F.explode("own").alias("b"))
+        taken = long.select("user", first.alias("some"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block")).where(F.size("some") > 0)
+        met = short.select(first.alias("some"), "own").unionByName(taken.join(long.select("user", "block", "own"), ["user", "block"]).select("some", "own"))
+        p = met.select("own", F.explode("some").alias("a")).select("a", F.explode("own").alias("b"))
         p = p.select(F.col("a.item").alias("item_1"), F.col("b.item").alias("item_2"), F.col("a.rating").alias("x"), F.col("b.rating").alias("y"))
         return _pearson(p.where("item_1 < item_2")).where((F.col("n_common") >= min_common) & (F.col("r") > min_r))
 

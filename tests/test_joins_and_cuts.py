@@ -45,6 +45,22 @@ def test_similarity_join_equals_all_pairs(spark, threshold):
     assert recommend.jaccard_pairs(df.limit(0), threshold).count() == 0
 
 
+@pytest.mark.parametrize("block_rows, pair_rows", [(256, 1 << 23), (16, 1 << 23), (16, 50)])
+def test_item_links_in_blocks_and_passes_equal_the_self_join(spark, monkeypatch, block_rows, pair_rows):
+    monkeypatch.setattr(recommend, "PAIR_ROWS", pair_rows)
+    rng = random.Random(4)
+    data = [(0, i, rng.random()) for i in range(150)] + [(u, i, rng.random()) for u in range(1, 30) for i in rng.sample(range(40), rng.randint(1, 17))]
+    df = spark.createDataFrame(data + [(None, 1, 0.5), (None, 2, 0.1), (3, None, 0.5)], "user long, item long, rating double").cache()
+    want = recommend.item_pearson(df).where("n_common >= 3 AND r > 0.2")
+    key = ("item_1", "item_2", "n_common", F.round("r", 6).alias("r"))
+    got = recommend.item_links(df, 3, 0.2, block_rows).select(*key)
+    assert rows(got, "item_1", "item_2", "n_common", "r") == rows(want.select(*key), "item_1", "item_2", "n_common", "r") != []
+    blocks = recommend.history_blocks(df, block_rows).collect()
+    assert max(len(b["own"]) for b in blocks) <= max(3 * block_rows, 32) and sum(len(b["own"]) for b in blocks) == df.count()
+    assert recommend.item_links(df.limit(0), 3, 0.2).count() == 0
+    df.unpersist()
+
+
 def test_a_user_of_all_items_makes_no_pairs(spark):
     rng = random.Random(3)
     data = [(i, u) for i in range(500) for u in [0, *rng.sample(range(1, 4000), 5)]] + [(900, u) for u in (1, 2, None)] + [(901, u) for u in (1, 2, 3)]
