@@ -11,6 +11,15 @@ from .common import components, materialize, sized
 PASSES, BITS, BLOCK, WINDOW = 12, 60, 1024, 512
 
 
+def _unit(vectors):
+    """Vectors of one dimension, none of them zero, to unit length in doubles; scaled by a power of two first, so that no square leaves the range."""
+    import numpy as np
+
+    x = np.array(vectors, np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _keys(passes: int):
     """Batches of (node, label, v) to a row a pass: the signs of BITS random projections as one sortable long."""
 
@@ -24,7 +33,7 @@ def _keys(passes: int):
             out = {}
             for dim in {len(v) for v in vs}:
                 at = [i for i, v in enumerate(vs) if len(v) == dim]
-                x = np.array([vs[i] for i in at], np.float64)
+                x = _unit([vs[i] for i in at])
                 for p in range(passes):
                     if (dim, p) not in planes:
                         planes[dim, p] = np.random.default_rng([dim, p]).normal(size=(dim, BITS))
@@ -64,8 +73,7 @@ def _compare(cosine: float):
             for r in rows:
                 groups.setdefault((r[2], len(r[4])), []).append(r)
             for own in groups.values():
-                x = np.array([r[4] for r in own], np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = _unit([r[4] for r in own])
                 core = np.flatnonzero([r[1] for r in own])
                 ids, near = [r[3] for r in own], np.arange(len(own))
                 for s in range(0, len(core), 256):
@@ -101,8 +109,7 @@ def _counted_links(cosine: float):
         import pyarrow as pa
 
         def counts(rows):
-            x = np.array([r[4] for r in rows], np.float64)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x = _unit([r[4] for r in rows])
             part, copies = np.array([r[1] for r in rows]), np.array([r[3] for r in rows], np.int64)
             more = np.zeros(len(rows), np.int64)
             one = np.flatnonzero(part == part.min())
@@ -159,10 +166,11 @@ def links(vectors: DataFrame, cosine: float = 0.98, passes: int = PASSES) -> Dat
     WINDOW rows after them, are compared in full.
     """
     spark = vectors.sparkSession
-    keyed = vectors.mapInArrow(_keys(passes), "pass int, key long, node long, label int, v array<float>")
+    kind = vectors.schema["v"].dataType.simpleString()
+    keyed = vectors.mapInArrow(_keys(passes), f"pass int, key long, node long, label int, v {kind}")
     order = ["pass", "label", F.size("v"), "key", "node"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = materialize(keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_numbered, "pass int, key long, node long, label int, v array<float>, part int, at long"))
+    sorted_ = materialize(keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_numbered, f"pass int, key long, node long, label int, v {kind}, part int, at long"))
     total, rows = 0, []
     for r in sorted_.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # a row a partition
         rows.append((r["part"], total))
@@ -175,23 +183,34 @@ def links(vectors: DataFrame, cosine: float = 0.98, passes: int = PASSES) -> Dat
     return materialize(placed.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_compare(cosine), "u long, v long").distinct())
 
 
+def _class():
+    """The key of a row's label and vector; vectors that share one are told apart."""
+    return F.xxhash64("label", "v")
+
+
 def near_vectors(embeddings: DataFrame, cosine: float = 0.98, passes: int = PASSES) -> DataFrame:
     """embeddings(vec_id, embedding, label) to (vec_id, n_links, component_id, kept), a row for each.
 
-    Only vectors of equal labels are compared. Vectors that are null, zero or hold
-    null or non-finite components, and those with a null label, link with nothing.
-    Copies are one node and link with each other; a node's links count with its
-    copies, so a group of copies costs no pairs. The passes only have to connect a
-    group: its links are counted by comparing all of its vectors.
+    Only vectors of equal labels are compared, in double precision whatever their
+    type. Vectors that are null, zero or hold null or non-finite components, and
+    those with a null label, link with nothing. Copies are one node and link with
+    each other; a node's links count with its copies, so a group of copies costs no
+    pairs. The passes only have to connect a group: its links are counted by
+    comparing all of its vectors.
     """
-    e = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"), F.col("label").cast("int").alias("label"))
+    single = embeddings.schema["embedding"].dataType.simpleString() == "array<float>"  # doubles of them are the same numbers
+    e = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("v"), F.col("label").cast("int").alias("label"))
     fine = F.col("label").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    e = e.withColumn("class", F.when(F.coalesce(fine, F.lit(False)), F.xxhash64("label", "v")))
-    classes = materialize(e.where("class IS NOT NULL AND vec_id IS NOT NULL").groupBy("class").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")))
+    e = e.withColumn("class", F.when(F.coalesce(fine, F.lit(False)), _class()))
+    classes = e.where("class IS NOT NULL AND vec_id IS NOT NULL").groupBy("class", "label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
+    classes = materialize(classes)
     comp = materialize(components(links(classes.select("node", "label", "v"), cosine, passes)))
     more = link_counts(classes.select("node", "copies", "v"), comp, cosine)
-    found = classes.select("class", "node", "copies").join(more, "node", "left").join(comp, "node", "left")
-    found = materialize(found.select(F.col("class").alias("_class"), (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id")))
-    out = e.select("vec_id", "class").join(sized(found), F.col("class") == F.col("_class"), "left")
+    shared = classes.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class", F.lit(True).alias("shared"))
+    told = classes.join(sized(materialize(shared)), "class", "left").select("class", "node", "copies", *[F.when(F.col("shared"), F.col(c)).alias(f"_{c}") for c in ("label", "v")])
+    found = told.join(more, "node", "left").join(comp, "node", "left")
+    found = materialize(found.select(F.col("class").alias("_class"), "_label", "_v", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id")))
+    same = (F.col("class") == F.col("_class")) & (F.col("_v").isNull() | (F.col("_v") == F.col("v")) & (F.col("_label") == F.col("label")))
+    out = e.join(sized(found), same, "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

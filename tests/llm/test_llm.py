@@ -392,6 +392,28 @@ def test_embeddings(spark):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_doubles_and_of_classes_that_collide(spark, monkeypatch):
+    """Doubles beyond the floats' range link by their cosine, and vectors whose class is the same are not copies."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(40, 8))
+    x = np.concatenate([base, base * 1e300, base * 1e-300, base + rng.normal(size=base.shape) * 1e-9, base])
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+
+    def found():
+        return [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_vectors(df).orderBy("vec_id").collect()]
+
+    unit = x / np.abs(x).max(1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.98) & (np.arange(200)[:, None] % 2 == np.arange(200) % 2)
+    ids = list(range(200))
+    comp = brute_groups(ids, lambda a, b: near[a, b])
+    want = [(i, int(near[i].sum()) - 1, ids[comp[i]], comp[i] == i) for i in ids]
+    assert found() == want and want[40][1:] == (4, 0, False)
+    monkeypatch.setattr(embeddings, "_class", lambda: F.pmod(F.xxhash64("label", "v"), F.lit(3)))
+    assert found() == want
+
+
 def test_embeddings_of_a_dense_group_beyond_the_window(spark):
     rng = np.random.default_rng(9)
     center, n = rng.normal(size=32), 9000
