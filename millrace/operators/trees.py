@@ -7,15 +7,19 @@ of whole units, so a model is the same however rows are dealt.
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import stored
 
+register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
+
 #: Bins of a feature, at most 256; the first is for null and NaN.
 BINS = 64
 
