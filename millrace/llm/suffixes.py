@@ -133,23 +133,28 @@ def repeat_classes(text, min_length: int):
 
     n = len(text)
     order = suffix_order(text)
-    place = np.empty(n + 1, np.int32)
-    place[order], place[n] = np.arange(n, dtype=np.int32), -1
-    after = place[np.minimum(order + 1, n)]  # the inverse of the backward step
+    place = np.empty(n + 1, np.intp)
+    place[order], place[n] = np.arange(n), 0
+    after = place[order + 1]  # the inverse of the backward step
     first = text[order]
-    starts = np.ones(n, bool)
+    starts, interval = np.ones(n, np.int32), np.empty(n, np.int32)
     starts[1:] = first[1:] != first[:-1]
-    open_ = np.flatnonzero(~starts).astype(np.int32)
+    open_ = np.flatnonzero(starts == 0)
     a, b = after[open_], after[open_ - 1]
+    ended = (order[open_] == n - 1) | (order[open_ - 1] == n - 1)  # the last byte and what follows it share one byte alone
     for _ in range(1, min_length):
-        if not len(open_):
-            break
-        interval = np.cumsum(starts, dtype=np.int32)
-        stay = (interval[a] == interval[b]) & (a >= 0) & (b >= 0)
-        if not stay.all():
-            starts[open_[~stay]] = True
-            open_, a, b = open_[stay], a[stay], b[stay]
-    return order, starts
+        np.cumsum(starts, out=interval)
+        apart = interval.take(a, mode="clip") != interval.take(b, mode="clip")
+        if ended is not None:
+            apart, ended = apart | ended, None
+        settled = open_[apart]
+        if starts[settled].all():
+            break  # nothing new, and so it is at every further level
+        starts[settled] = 1
+        if len(settled) > len(open_) // 8:  # settled ones may stay among the open, where they change nothing
+            still = np.flatnonzero(~apart)
+            open_, a, b = open_[still], a[still], b[still]
+    return order, starts.astype(bool)
 
 
 def _found(rows, min_length: int = MIN_LENGTH):
