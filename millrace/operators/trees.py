@@ -1,8 +1,10 @@
 """Boosted regression trees grown level by level from histograms that Spark sums.
 
 Rows alike in all binned features count as one cell with a weight, so that what a
-round reads is the different cells, however often one occurs. Gradients are sums
-of whole units, so a model is the same however rows are dealt.
+round reads is the different cells, however often one occurs. Cells are held in
+blocks, a binary a column, feature by feature, so that a level costs few calls a
+block. Gradients are sums of whole units, so a model is the same however rows are
+dealt, and a node's sums less one child's are the other child's.
 """
 
 from __future__ import annotations
@@ -26,8 +28,14 @@ BINS = 64
 #: A label, and a gradient, is counted in units of 1 / UNIT.
 UNIT = 1 << 16
 
-#: Rounds between two tables of the cells' margins; a task adds up no more trees than these.
-KEEP = 10
+#: Rounds after which margins are added up anew from the cells, so that no longer chain of cached steps leads to them.
+KEEP = 20
+
+#: Tasks that sum a level's histograms: they are small, and a default of 200 costs more than the rest of the level.
+SUMMING = 4
+
+#: Sums of doubles that stay below this are exact.
+EXACT = 2.0**53
 
 
 def _rounded(v: np.ndarray) -> np.ndarray:
@@ -54,19 +62,21 @@ class Trees:
 
     def binned(self, values) -> np.ndarray:
         """Columns of doubles, NaN for null, to a matrix of bins."""
-        out = np.empty((len(values[0]), len(self.edges)), np.uint8)
+        out = np.empty((len(values[0]), len(self.edges)), np.uint8, order="F")
         for j, (v, e) in enumerate(zip(values, self.edges)):
             out[:, j] = np.where(np.isnan(v), 0, np.searchsorted(e, _rounded(v), side="right") + 1)
         return out
 
     def place(self, bins: np.ndarray, t: int, levels: int) -> np.ndarray:
-        """The node of tree t at which each row stands after so many levels."""
-        at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+        """The node of tree t at which each row stands after so many levels; a table gives the next node by node and bin."""
+        feature, size = self.feature[t], len(self.feature[t])
+        heap, bin_ = np.arange(size)[:, None], np.arange(256)
+        right = np.where(bin_ == 0, ~self.null_left[t][:, None], bin_ > self.cut[t][:, None])
+        following = np.where(feature[:, None] < 0, heap, 2 * heap + 1 + right).ravel()
+        flat, start, rows = bins.ravel(order="F"), np.maximum(feature, 0) * len(bins), np.arange(len(bins))
+        at = np.zeros(len(bins), np.int64)
         for _ in range(levels):
-            f = self.feature[t][at]
-            b = bins[rows, np.maximum(f, 0)]
-            right = np.where(b == 0, ~self.null_left[t][at], b > self.cut[t][at])
-            at = np.where(f < 0, at, 2 * at + 1 + right)
+            at = following.take(at * 256 + flat.take(start.take(at) + rows))
         return at
 
     def margin(self, bins: np.ndarray, margin: np.ndarray) -> np.ndarray:
@@ -91,10 +101,27 @@ def _doubles(batch: pa.RecordBatch, n: int) -> list:
     return [batch.column(j).to_numpy(zero_copy_only=False).astype(np.float64) for j in range(n)]
 
 
-def _cells(batch: pa.RecordBatch, width: int) -> np.ndarray:
-    column = batch.column("cell")
-    low = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
-    return np.frombuffer(column.buffers()[2], np.uint8)[low : low + len(column) * width].reshape(-1, width)
+def _bytes(column: pa.Array, kind=np.uint8) -> np.ndarray:
+    """All bytes of a column of binaries, one after the other."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind)
+
+
+def _cells(batch: pa.RecordBatch, width: int):
+    """(cells, n, y, margin) of each block; a batch of single cells is one block."""
+    if pa.types.is_binary(batch.schema.field("n").type):
+        for cell, *others in zip(*(batch.column(c) for c in ("cell", "n", "y", "margin"))):
+            n, y, margin = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(others, (np.int64, np.int64, np.float64)))
+            yield np.frombuffer(cell.as_buffer(), np.uint8).reshape(width, -1).T, n, y, margin
+    elif batch.num_rows:
+        yield np.asfortranarray(_bytes(batch.column("cell")).reshape(-1, width)), *(batch.column(c).to_numpy() for c in ("n", "y", "margin"))
+
+
+BLOCK = "cell binary, n binary, y binary, margin binary"
+
+
+def _block(cells, n, y, margin) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes(order="F")], pa.binary()) for x in (cells, n, y, margin)], names=["cell", "n", "y", "margin"])
 
 
 def _values(width: int):
@@ -147,34 +174,46 @@ def _binned(model: Trees):
     return run
 
 
-def _histogram(model: Trees, level: int, bins: int):
-    """In a task: (key, g, n), the gradients and rows of each node of the level, feature and bin of the last tree of those not yet in the margins."""
+def _histogram(model: Trees, level: int, bins: int, wanted: np.ndarray):
+    """In a task: (key, g, n), the gradients and rows of each wanted node of the level, feature and bin of the last tree, the only one not yet in the margins."""
     width, last = len(model.columns), len(model.value) - 1
-    before, size = model.part(0, last), 2**level * width * bins
+    before, slots = model.part(0, last), int(wanted.sum())
+    slot = np.where(wanted, np.cumsum(wanted) - 1, slots)  # the others' rows go to a last slot
 
     def run(batches):
-        sums = np.zeros((2, size), np.int64)
+        sums = np.zeros((2, width, (slots + 1) * bins), np.int64)
         for b in batches:
-            cells = _cells(b, width)
-            n, y, margin = (b.column(c).to_numpy() for c in ("n", "y", "margin"))
-            g = n * np.rint(before.margin(cells, margin) * UNIT).astype(np.int64) - y
-            node = model.place(cells, last, level) - (2**level - 1)
-            here = node >= 0
-            key = ((node[here, None] * width + np.arange(width)) * bins + cells[here]).ravel()
-            np.add.at(sums[0], key, np.repeat(g[here], width))
-            np.add.at(sums[1], key, np.repeat(n[here], width))
-        key = np.flatnonzero(sums[1])
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sums[0][key]), pa.array(sums[1][key])], names=["key", "g", "n"])
+            for cells, n, y, margin in _cells(b, width):
+                g = n * np.rint(before.margin(cells, margin) * UNIT).astype(np.int64) - y
+                node = model.place(cells, last, level) - (2**level - 1)
+                start = np.where(node < 0, slots, slot.take(node, mode="clip"))  # leaves of earlier levels are done
+                some = np.flatnonzero(start < slots)
+                start, g, n, cells = start[some] * bins, g[some], n[some], cells if len(some) == len(cells) else cells.T.take(some, axis=1).T
+                exact = max(np.abs(g, dtype=np.float64).sum(), n.sum(dtype=np.float64)) < EXACT
+                for j in range(width):
+                    key = start + cells[:, j]
+                    for total, x in zip(sums, (g, n)):
+                        if exact:
+                            total[j] += np.bincount(key, x, total.shape[1]).astype(np.int64)
+                        else:
+                            np.add.at(total[j], key, x)
+        nodes = np.flatnonzero(wanted)
+        by_node = sums.reshape(2, width, slots + 1, bins)[:, :, :slots].transpose(0, 2, 1, 3)
+        at, feature, bin_ = np.nonzero(by_node[1])
+        g, n = by_node[:, at, feature, bin_]
+        yield pa.RecordBatch.from_arrays([pa.array((nodes[at] * width + feature) * bins + bin_), pa.array(g), pa.array(n)], names=["key", "g", "n"])
 
     return run
 
 
 def _advanced(model: Trees):
-    """In a task: the cells with the trees' values in their margins."""
+    """In a task: the blocks with the trees' values in their margins; single cells are made blocks."""
+    width = len(model.columns)
+
     def run(batches):
         for b in batches:
-            margin = model.margin(_cells(b, len(model.columns)), b.column("margin").to_numpy())
-            yield pa.RecordBatch.from_arrays([b.column("cell"), b.column("n"), b.column("y"), pa.array(margin)], names=["cell", "n", "y", "margin"])
+            for cells, n, y, margin in _cells(b, width):
+                yield _block(cells, n, y, model.margin(cells, margin))
 
     return run
 
@@ -203,8 +242,9 @@ def fit(train: DataFrame, label: str, columns, rounds: int = 100, depth: int = 6
     a bin of their own, infinite ones belong to the outermost. With nothing to learn
     from, predictions are null. A level is one job that sums gradients and rows by
     node, feature and bin, so that what reaches the driver is at most 2 ** (depth - 1)
-    nodes' histograms, whatever the rows and tasks. Every KEEP rounds the margins are
-    written beside the checkpoints, so that a lost executor costs a level.
+    nodes' histograms, whatever the rows and tasks. Of two children only the one of
+    fewer rows is summed. A round's margins are cached with its first level, and
+    every KEEP rounds they are added up anew from the written cells.
     """
     y = F.col(label).cast("double")
     rows = train.where(F.abs(y) < F.lit(float("inf"))).select(*[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(columns)], F.round(y * UNIT).cast("long").alias("y"))
@@ -215,26 +255,52 @@ def fit(train: DataFrame, label: str, columns, rounds: int = 100, depth: int = 6
     if not n:
         return model
     model.base, first = total / n / UNIT, 0
-    cells = cells.withColumn("margin", F.lit(model.base)).persist()
+    fresh = cells.withColumn("margin", F.lit(model.base))
+    blocks = fresh.mapInArrow(_advanced(model), BLOCK).persist()
     for t in range(rounds):
-        if t - first == KEEP:
-            old, cells = cells, stored(cells.mapInArrow(_advanced(model.part(first)), cells.schema)).persist()
-            old.unpersist()
-            first = t
+        old = None
+        if t:
+            old, whole = blocks, t % KEEP == 0
+            blocks = (fresh if whole else old).mapInArrow(_advanced(model.part(0) if whole else model.part(t - 1)), BLOCK).persist()
         model.open_tree()
+        g = n = None
         for level in range(depth):
-            g, n = _summed(cells, model.part(first), level, bins)
+            g, n = _level(blocks, model, level, bins, g, n)
+            if not level and old is not None:
+                old.unpersist()
             if not _grown(model, level, g, n, rate, l2, least):
                 break
-    cells.unpersist()
+    blocks.unpersist()
     return model
 
 
-def _summed(cells: DataFrame, model: Trees, level: int, bins: int):
-    """Gradients and rows of a level's nodes over all cells, both (node, feature, bin)."""
-    found = cells.mapInArrow(_histogram(model, level, bins), "key long, g long, n long")
+def _level(blocks: DataFrame, model: Trees, level: int, bins: int, g, n):
+    """_summed() for the newest tree from the sums of the level before: its nodes' smaller children are summed, the others are what is left."""
+    tree = model.part(-1)
+    if not level:
+        return _summed(blocks, tree, level, bins)
+    feature, first = tree.feature[0], 2 ** (level - 1) - 1
+    wanted, halves = np.zeros(2**level, bool), []
+    for k in range(len(g)):
+        f = feature[first + k]
+        if f >= 0:
+            left = np.arange(bins) <= tree.cut[0][first + k]
+            left[0] = tree.null_left[0][first + k]
+            small = 2 * k + (2 * n[k, f, left].sum() > n[k, f].sum())
+            wanted[small] = True
+            halves.append((k, small, small ^ 1))
+    g_new, n_new = _summed(blocks, tree, level, bins, wanted)
+    for k, small, large in halves:
+        g_new[large], n_new[large] = g[k] - g_new[small], n[k] - n_new[small]
+    return g_new, n_new
+
+
+def _summed(cells: DataFrame, model: Trees, level: int, bins: int, wanted: np.ndarray | None = None):
+    """Gradients and rows of a level's nodes, or the wanted ones of them, over all cells, both (node, feature, bin)."""
+    wanted = np.ones(2**level, bool) if wanted is None else wanted
+    found = cells.mapInArrow(_histogram(model, level, bins, wanted), "key long, g long, n long")
     if cells.rdd.getNumPartitions() > 1:
-        found = found.groupBy("key").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
+        found = found.repartition(SUMMING, "key").groupBy("key").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
     found, shape = found.toArrow(), (2**level, len(model.columns), bins)
     sums = np.zeros((2, shape[0] * shape[1] * bins), np.int64)
     for row, name in zip(sums, ("g", "n")):

@@ -107,3 +107,24 @@ def test_odd_rows(spark):
     assert [r["prediction"] for r in trees.predict(none, df).collect()] == [None] * 10
     same = trees.fit(df.where("id < 3"), "y", ("a", "b"), rounds=2)
     assert {r["prediction"] for r in trees.predict(same, df).collect()} == {1.0}
+
+
+def test_smaller_children_of_blocks_give_whole_levels_whatever_the_rounds_between_fresh_margins(spark, monkeypatch):
+    data = _table(600, 5)
+    df = spark.createDataFrame(data, SCHEMA).repartition(3)
+    summed, real = [], trees._summed
+
+    def watched(cells, model, level, bins, wanted=None):
+        g, n = real(cells, model, level, bins, wanted)
+        summed.append((level, int(n[:, 0].sum())))
+        return g, n
+
+    monkeypatch.setattr(trees, "_summed", watched)
+    fits = []
+    for keep in (2, 50):
+        monkeypatch.setattr(trees, "KEEP", keep)
+        fits.append(trees.fit(df, "y", ("a", "b"), rounds=5, depth=3))
+    assert all(n <= (600 if not level else 300) for level, n in summed) and {level for level, _ in summed} == {0, 1, 2}
+    assert all((x == y).all() for k in ("feature", "cut", "null_left", "value") for x, y in zip(getattr(fits[0], k), getattr(fits[1], k)))
+    got, want = _predicted(fits[0], df), _plain(data, 5, 3)
+    assert all(abs(got[k] - want[k]) < 1e-3 for k in want)
