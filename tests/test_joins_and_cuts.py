@@ -155,3 +155,18 @@ def test_parts_are_mined_as_brute_force_does(spark, cells):
         assert len(got) == len(set(got)) and set(got) - {(None,)} == want
         if cells != 150:
             break
+
+
+def test_shared_items_are_counted_in_blocks_and_in_tasks_for_their_pairs(spark):
+    rng = random.Random(21)
+    held = {n: {0, *rng.sample(range(1, 30), 6)} for n in range(80)}  # item 0 is everyone's
+    data = [(n, i) for n, s in held.items() for i in s]
+    want = [(a, b, len(held[a] & held[b])) for a, b in itertools.combinations(range(80), 2)]
+    df = spark.createDataFrame(data + [(None, 0), (None, 3), (5, None), (6, None)], "node long, item long").cache()
+    for block_nodes, task_pairs in ((256, 1 << 22), (8, 500)):
+        got = graph.share_counts(df, block_nodes, task_pairs)
+        assert rows(got, "src", "dst", "n") == want
+        assert got.rdd.getNumPartitions() >= sum(n for _, _, n in want) // task_pairs
+    assert most_shuffled(spark, lambda: graph.share_counts(df).count()) < sum(n for _, _, n in want) // 4
+    assert graph.share_counts(df.limit(0)).count() == 0
+    df.unpersist()
