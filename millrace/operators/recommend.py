@@ -42,18 +42,43 @@ def similar_candidates(pairs: DataFrame, sizes: DataFrame, threshold: float) ->
     return first.where(most >= F.lit(t / (1 + t)) * (F.col("n1") + F.col("n2")) - 1e-9).select("small", "large", "n1", "n2")
 
 
-def jaccard_pairs(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
+#: Candidates that go to every task, at most, and rows of the two ways to count them: a row by items is shuffled, one by users is not.
+BROADCAST_PAIRS, USER_ROWS = 1 << 16, 8
+
+
+def _by_items(cand: DataFrame, pairs: DataFrame) -> DataFrame:
+    """A row (small, large, n1, n2) for each user that a candidate's items share: the smaller one's users are looked up in the larger one."""
+    u1, u2 = pairs.select(F.col("item").alias("small"), "user"), pairs.select(F.col("item").alias("large"), "user")
+    return cand.join(u1, "small").join(u2, ["large", "user"])
+
+
+def _by_users(cand: DataFrame, own: DataFrame) -> DataFrame:
+    """The same rows from history_blocks(), pairs of a user's items that are a candidate, which go to every task; a task sums its own before any shuffle."""
+    short, long = own.where("blocks = 1").select("own", F.col("own").alias("other")), own.where("blocks > 1")
+    met = long.select("user", "own").join(long.select("user", F.col("own").alias("other")), "user").select("own", "other")
+    p = short.union(met).select(F.explode("own.item").alias("small"), F.col("other.item").alias("other")).select("small", F.explode("other").alias("large"))
+    return p.join(F.broadcast(cand), ["small", "large"])
+
+
+def jaccard_pairs(pairs: DataFrame, threshold: float = 0.5, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
     """pairs(item, user), distinct, to (item_1, item_2, similarity) with at least `threshold` (over 0 to 1): an exact set-similarity join.
 
-    Candidates are counted in full from the smaller set's users. A null user
-    belongs to an item's size but is shared by none; a null item has no pairs.
+    Candidates are counted in full from the smaller set's users, or, where few
+    candidates hold most of what users share, from the pairs of each user's items. A
+    null user belongs to an item's size but is shared by none; a null item has no pairs.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
     sizes = stored(pairs.where("item IS NOT NULL").groupBy("item").agg(F.count("*").alias("n")))
     cand = similar_candidates(pairs, sizes, threshold)
-    u1, u2 = pairs.select(F.col("item").alias("small"), "user"), pairs.select(F.col("item").alias("large"), "user")
-    both = cand.join(u1, "small").join(u2, ["large", "user"]).groupBy("small", "large", "n1", "n2").agg(F.count("*").alias("c"))
+    cand = stored(cand)
+    n, by_items = cand.agg(F.count("*"), F.coalesce(F.sum("n1"), F.lit(0))).first()
+    met = None
+    if 0 < n <= broadcast_pairs:
+        own = stored(history_blocks(pairs.where("user IS NOT NULL AND item IS NOT NULL").select("user", "item", F.lit(0).alias("rating"))))
+        by_users = own.groupBy("user").agg(F.sum(F.size("own").cast("double")).alias("d")).agg(F.sum(F.col("d") * F.col("d"))).first()[0]
+        met = _by_users(cand, own) if by_users <= USER_ROWS * by_items else None
+    both = (_by_items(cand, pairs) if met is None else met).groupBy("small", "large", "n1", "n2").agg(F.count("*").alias("c"))
     out = both.withColumn("similarity", F.col("c") / (F.col("n1") + F.col("n2") - F.col("c"))).where(F.col("similarity") >= threshold)
     return out.select(F.least("small", "large").alias("item_1"), F.greatest("small", "large").alias("item_2"), F.round("similarity", 6).alias("similarity"))
 

@@ -170,3 +170,21 @@ def test_shared_items_are_counted_in_blocks_and_in_tasks_for_their_pairs(spark):
     assert most_shuffled(spark, lambda: graph.share_counts(df).count()) < sum(n for _, _, n in want) // 4
     assert graph.share_counts(df.limit(0)).count() == 0
     df.unpersist()
+
+
+def test_dense_sets_are_counted_by_their_users_without_a_row_each_in_a_shuffle(spark):
+    rng = random.Random(22)
+    sets = {i: set(rng.sample(range(600), 400)) for i in range(20)}
+    want = [(a, b, round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6)) for a, b in itertools.combinations(sets, 2) if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])]
+    data = [(i, u) for i, s in sets.items() for u in s]
+    df = spark.createDataFrame(data, "item long, user long").cache()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for it
+    try:
+        for most in (recommend.BROADCAST_PAIRS, 0):
+            got = []
+            n = most_shuffled(spark, lambda: got.extend(rows(recommend.jaccard_pairs(df, 0.5, most), "item_1", "item_2", "similarity")))
+            assert got == want != [] and (n <= 3 * len(data)) == (most > 0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        df.unpersist()
