@@ -54,8 +54,48 @@ def frequent_itemsets(pairs: DataFrame, support: int, max_size: int | None = Non
 PART_CELLS = 1 << 31
 
 
+#: Rows of a slice of a part, about, that one task turns into bitmaps.
+SLICE_ROWS = 1 << 20
+
+
+def _groups(batches, columns: tuple):
+    """(values, batches) of each run of rows with equal values in the columns."""
+    import numpy as np
+
+    held, last = [], None
+    for b in batches:
+        values = np.stack([b.column(c).to_numpy() for c in columns], 1)
+        starts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1).tolist(), b.num_rows]
+        for s, e in zip(starts, starts[1:]):
+            if e > s:
+                if held and tuple(values[s]) != last:
+                    yield last, held
+                    held = []
+                last = tuple(values[s])
+                held.append(b.slice(s, e - s))
+    if held:
+        yield last, held
+
+
+def _bitmaps(batches):
+    """In a task: (part, slice, key, item), a slice's rows together, to (part, slice, item, bits), an item's bitmap over the slice's baskets."""
+    import numpy as np
+    import pyarrow as pa
+
+    for (part, slice_), rows in _groups(batches, ("part", "slice")):
+        t = pa.Table.from_batches(rows).drop_null()
+        if not t.num_rows:
+            continue
+        key = t["key"].combine_chunks().dictionary_encode().indices.to_numpy()
+        item = t["item"].combine_chunks().dictionary_encode()
+        bits = np.zeros((len(item.dictionary), -(-(int(key.max()) + 1) // 8)), np.uint8)
+        np.bitwise_or.at(bits, (item.indices.to_numpy(), key >> 3), (1 << (key & 7)).astype(np.uint8))
+        n = len(bits)
+        yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int64()), pa.array([slice_] * n, pa.int64()), item.dictionary, pa.array([x.tobytes() for x in bits], pa.binary())], names=["part", "slice", "item", "bits"])
+
+
 def _mined(local: int, max_size: int | None):
-    """(part, key, item), a part's rows together, to the sets of two or more items in at least `local` of its baskets.
+    """(part, slice, item, bits), a part's rows together and by slice, to the sets of two or more items in at least `local` of its baskets.
 
     An item is a bitmap over the part's baskets. Sets grow depth first by items
     that sort after their last, each by one `and` with all that may follow.
@@ -65,14 +105,17 @@ def _mined(local: int, max_size: int | None):
         import numpy as np
         import pyarrow as pa
 
-        t = pa.Table.from_batches(rows).drop_null()
-        key = t["key"].combine_chunks().dictionary_encode().indices.to_numpy()
-        item = t["item"].combine_chunks().dictionary_encode()
+        t = pa.Table.from_batches(rows)
+        item, size = t["item"].combine_chunks().dictionary_encode(), pa.compute.binary_length(t["bits"]).to_numpy()
         names = item.dictionary.to_pylist()
         order = sorted(range(len(names)), key=names.__getitem__)
         names, place = [names[k] for k in order], np.argsort(order)
-        bits = np.zeros((len(names), -(-(int(key.max(initial=0)) + 1) // 8)), np.uint8)
-        np.bitwise_or.at(bits, (place[item.indices.to_numpy()], key >> 3), (1 << (key & 7)).astype(np.uint8))
+        new = np.concatenate(([True], np.diff(t["slice"].to_numpy()) != 0))
+        start = np.concatenate(([0], np.cumsum(size[new])))
+        bits = np.zeros((len(names), start[-1]), np.uint8)
+        for k, at, own in zip(place[item.indices.to_numpy()], start[np.cumsum(new) - 1], t["bits"]):
+            own = np.frombuffer(own.as_buffer(), np.uint8)
+            bits[k, at : at + len(own)] = own
         todo = [([k], bits[k], np.arange(k + 1, len(names))) for k in range(len(names))]
         while todo:
             own, mask, after = todo.pop()
@@ -87,22 +130,9 @@ def _mined(local: int, max_size: int | None):
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute  # noqa: F401
 
-        def parts():
-            held, last = [], None
-            for b in batches:
-                starts = [k for k in range(b.num_rows) if not k or b.column(0)[k] != b.column(0)[k - 1]] if b.num_rows and b.column(0)[0] != b.column(0)[-1] else [0]
-                for s, e in zip(starts, [*starts[1:], b.num_rows]):
-                    if e > s and held and b.column(0)[s].as_py() != last:
-                        yield held
-                        held = []
-                    if e > s:
-                        last = b.column(0)[s].as_py()
-                        held.append(b.slice(s, e - s))
-            if held:
-                yield held
-
-        for rows in parts():
+        for _, rows in _groups(batches, ("part",)):
             kind, out = pa.list_(rows[0].schema.field("item").type), []
             for x in sets(rows):
                 out.append(x)
@@ -115,11 +145,12 @@ def _mined(local: int, max_size: int | None):
     return run
 
 
-def son_candidates(pairs: DataFrame, support: int, partitions: int, max_size: int | None = None, cells: int = PART_CELLS) -> DataFrame:
+def son_candidates(pairs: DataFrame, support: int, partitions: int, max_size: int | None = None, cells: int = PART_CELLS, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """itemsets frequent in some of `partitions` parts of the baskets at ceil(support / partitions): SON's first phase, sets of every size up to max_size.
 
     Items are counted for all parts first. A part whose frequent items times rows
-    are at most `cells` is then mined in a task, others level by level by joins, as
+    are at most `cells` is turned into bitmaps in slices of its baskets, each in a
+    task, and mined in a task that reads only these; others level by level by joins, as
     a part may be of any size. A null item is a set of its own only; a null key
     makes no larger sets.
     """
@@ -132,8 +163,11 @@ def son_candidates(pairs: DataFrame, support: int, partitions: int, max_size: in
     live = cut(part.join(ones.select("part", "item"), ["part", "item"], "left_semi").select("part", "key", "item"))
     size = ones.groupBy("part").agg(F.sum("n").alias("rows"), F.count("*").alias("items"))
     small = cut(size.where(F.col("rows") * F.col("items") <= cells).select("part"))
-    rows = live.join(small, "part", "left_semi").repartition(partitions, "part").sortWithinPartitions("part")
+    slices = -(-(size.join(small, "part", "left_semi").agg(F.max("rows")).first()[0] or 1) // slice_rows)
+    rows = live.join(small, "part", "left_semi").select("part", F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(slices)).cast("long").alias("slice"), "key", "item")
+    rows = rows.repartition(partitions * slices, "part", "slice").sortWithinPartitions("part", "slice")
     kind = pairs.schema["item"].dataType.simpleString()
+    rows = rows.mapInArrow(_bitmaps, f"part long, slice long, item {kind}, bits binary").repartition(partitions, "part").sortWithinPartitions("part", "slice")
     out = out.union(rows.mapInArrow(_mined(local, max_size), f"itemset array<{kind}>"))
     live, k = live.join(small, "part", "left_anti"), 1
     if live.limit(1).count():

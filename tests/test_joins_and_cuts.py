@@ -188,3 +188,12 @@ def test_dense_sets_are_counted_by_their_users_without_a_row_each_in_a_shuffle(s
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         df.unpersist()
+
+
+def test_parts_in_slices_give_the_same_sets(spark):
+    rng = random.Random(23)
+    data = [(k, i) for k in range(200) for i in set(rng.choices("abcdefgh", weights=range(8, 0, -1), k=5))] + [(None, "a"), (3, None)]
+    df = spark.createDataFrame(data, "key long, item string").cache()
+    sets = [sorted(tuple(r[0]) for r in itemsets.son_candidates(df, 12, 2, 4, slice_rows=n).collect() if None not in r[0]) for n in (1 << 20, 40)]
+    assert sets[0] == sets[1] and max(map(len, sets[0])) > 2
+    df.unpersist()
