@@ -24,6 +24,8 @@ SEGMENT = 64
 HASHED_BYTES = 1 << 18
 #: Answers about pairs of pieces that a Python worker keeps.
 KNOWN_PAIRS = 4_000_000
+#: Times that edges of a batch are looked at for neighbours, at most; words that still have a choice then are folded.
+LOOKS = 32
 
 
 def processor(path: str):
@@ -253,11 +255,12 @@ class Joiner:
         return end[order], length[order], ids[order], scores[order]
 
 
-def _before(end, length, ids, first, last, names, merges):
+def _before(end, length, ids, first, last, names, merges, looks):
     """For edges by end: (edge, edge before) of all that may stand side by side, and which edges may be on a path.
 
     first, last: where an edge's word begins and ends. An edge is left out if nothing
-    allowed comes before it, or nothing allowed after it, looked at twice over.
+    allowed comes before it, or nothing allowed after it, until all others have both
+    (they are then on a path), or `looks` times.
     """
     import numpy as np
 
@@ -268,25 +271,31 @@ def _before(end, length, ids, first, last, names, merges):
     prev = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
     pairs, which = np.unique((ids[prev].astype(np.int64) + 1 << 32) | (ids[at].astype(np.int64) + 1), return_inverse=True)
     keep = merges.known(pairs, names)[which] if len(at) else np.zeros(0, bool)
-    at, prev, alive = at[keep], prev[keep], np.ones(len(end), bool)
-    for _ in range(2):
+    at, prev, alive, left = at[keep], prev[keep], np.ones(len(end), bool), len(end)
+    for _ in range(looks):
         for here, there, edge in ((at, prev, start == first), (prev, at, end == last)):
             edge[here[alive[there]]] = True
             alive &= edge
-    keep = alive[at] & alive[prev]
-    return at[keep], prev[keep], alive
+        keep = alive[at] & alive[prev]
+        at, prev, now = at[keep], prev[keep], int(alive.sum())
+        if now == left:
+            break
+        left = now
+    return at, prev, alive
 
 
 EDGES = "array<array<array<struct<length:int,id:int,score:double,prev:array<int>>>>>"
 
 
-def lattice(vocabulary: DataFrame, pieces: list[tuple[str, int, float]], path: str | None = None) -> DataFrame:
-    """vocabulary(word) to (word, edges): its lattice by end position, in segments of SEGMENT positions.
+def lattice(vocabulary: DataFrame, pieces: list[tuple[str, int, float]], path: str | None = None, looks: int = LOOKS) -> DataFrame:
+    """vocabulary(word) to (word, edges, cells): its lattice by end position, in segments of SEGMENT positions.
 
     Every substring of up to the longest piece's characters is made and joined with
     pieces (piece, id, score), in columns of a batch of words; its edges are grouped
     by word and end. path: of a byte-pair model, whose edges also hold the ids that may
-    stand before (prev); else null. Null and empty words have no edges.
+    stand before (prev); else null. Null and empty words have no edges. A word whose
+    edges are one path, as those that are left spell it just once, has these as the
+    cells of viterbi() and no edges; others have no cells.
     """
 
     def run(batches):
@@ -303,25 +312,36 @@ def lattice(vocabulary: DataFrame, pieces: list[tuple[str, int, float]], path: s
             ends = np.cumsum(size)
             end, length, ids, scores = joiner.edges(code, np.repeat(ends, size))
             if path:
-                of = np.repeat(np.arange(len(size)), size)[end - 1]
-                at, prev, alive = _before(end, length, ids, (ends - size)[of], ends[of], names, merges)
+                word = np.repeat(np.arange(len(size)), size)
+                of = word[end - 1]
+                at, prev, alive = _before(end, length, ids, (ends - size)[of], ends[of], names, merges, looks)
+                many = np.bincount(of[alive], length[alive], len(size)) != size
+                own = alive & ~many[of]
+                step, piece = np.zeros(len(code), np.int32), np.zeros(len(code), np.int32)
+                step[end[own] - 1], piece[end[own] - 1] = length[own], ids[own]
+                alone = ~many[word]
+                cells = pa.StructArray.from_arrays([pa.array(step[alone]), pa.array(piece[alone])], ["length", "id"])
+                cells = pa.ListArray.from_arrays(offsets(np.where(many, 0, size)), cells, mask=pa.array(many))
+                alive, keep = alive & many[of], many[of[at]]
+                at, prev = at[keep], prev[keep]
                 before = pa.ListArray.from_arrays(offsets(np.bincount(at, minlength=len(end))[alive]), pa.array(ids[prev], pa.int32()))
-                end, length, ids, scores = end[alive], length[alive], ids[alive], scores[alive]
+                end, length, ids, scores = (end - np.concatenate(([0], np.cumsum(alone)))[end])[alive], length[alive], ids[alive], scores[alive]
+                code, size = code[~alone], np.where(many, size, 0)
             else:
-                before = pa.nulls(len(end), pa.list_(pa.int32()))
+                before, cells = pa.nulls(len(end), pa.list_(pa.int32())), pa.nulls(len(b), pa.list_(pa.struct([("length", pa.int32()), ("id", pa.int32())])))
             edge = pa.StructArray.from_arrays([pa.array(length, pa.int32()), pa.array(ids, pa.int32()), pa.array(scores, pa.float64()), before], ["length", "id", "score", "prev"])
             by_end = pa.ListArray.from_arrays(offsets(np.bincount(end - 1, minlength=len(code))), edge)
             rows = (size + SEGMENT - 1) // SEGMENT
             full = np.full(int(rows.sum()), SEGMENT)
             full[np.cumsum(rows)[rows > 0] - 1] = (size - (rows - 1) * SEGMENT)[rows > 0]
             segments = pa.ListArray.from_arrays(offsets(full), by_end)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets(rows), segments)], ["word", "edges"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets(rows), segments), cells], ["word", "edges", "cells"])
 
-    return vocabulary.select("word").mapInArrow(trimmed(run), f"word string, edges {EDGES}")
+    return vocabulary.select("word").mapInArrow(trimmed(run), f"word string, edges {EDGES}, cells array<struct<length:int,id:int>>")
 
 
 def viterbi(lattices: DataFrame, longest: int) -> DataFrame:
-    """(word, cells): for every end position the length and id of the last edge of the best path to it.
+    """(word, cells): for every end position the length and id of the last edge of the best path to it; cells that the lattice has stay.
 
     A fold over the end positions keeps the best score, and the edge that reaches it, of
     paths whose neighbours are allowed. It runs over segments, of which the next one
@@ -346,7 +366,8 @@ def viterbi(lattices: DataFrame, longest: int) -> DataFrame:
 
     kind = f"struct<tail:array<{cell}>,done:array<array<struct<length:int,id:int>>>>"
     start = F.expr(f"CAST(named_struct('tail', array(named_struct('score', 0D, 'length', 0, 'id', -2)), 'done', array()) AS {kind})")
-    return lattices.select("word", F.flatten(F.aggregate("edges", start, lambda s, e: segment(s, e).cast(kind))["done"]).alias("cells"))
+    folded = F.flatten(F.aggregate("edges", start, lambda s, e: segment(s, e).cast(kind))["done"])
+    return lattices.select("word", F.when(F.col("cells").isNull(), folded).otherwise(F.col("cells")).alias("cells"))
 
 
 def best_paths(cells):
@@ -570,16 +591,17 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             codes, names = [[] for _ in range(n)], [[] for _ in range(n)]
             for part in cut.parts(b.column(2).to_pylist()):
                 counts, got, rare_words = known.codes(cut, part)
+                far = got >= base
+                row = np.repeat([r for r, _ in part], counts)[far]
+                both, at = np.unique(row * (1 << 32) + got[far] - base, return_inverse=True)
+                first = np.searchsorted(both >> 32, np.arange(n + 1))
+                got[far] = base + np.array([len(x) for x in names], np.int64)[row] + at - first[row]
+                own = rare_words.take(pa.array(both & 0xFFFFFFFF)).to_pylist()
+                for r in {r for r, _ in part}:
+                    names[r] += own[first[r] : first[r + 1]]
                 ends = np.cumsum(counts)
-                for (row, _), s, e in zip(part, ends - counts, ends):
-                    c = got[s:e]
-                    far = c >= base
-                    if far.any():
-                        own, at = np.unique(c[far], return_inverse=True)
-                        c = c.copy()
-                        c[far] = base + len(names[row]) + at
-                        names[row] += rare_words.take(pa.array(own - base)).to_pylist()
-                    codes[row].append(c)
+                for (r, _), s, e in zip(part, ends - counts, ends):
+                    codes[r].append(got[s:e])
             out = []
             for own in codes:
                 c = np.concatenate(own).astype("<u4") if own else np.empty(0, "<u4")

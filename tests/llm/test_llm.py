@@ -535,6 +535,23 @@ def test_pieces_of_rare_and_long_words(spark, monkeypatch):
         assert [i for w in words for i in sp.encode_as_ids("\n" + w)[len(sp.encode("\n")) :]] == sp.encode(t)
 
 
+def test_words_with_one_path_left_are_not_folded(spark):
+    """Pruned until nothing changes, a byte-pair lattice is its path; words still open after one look are folded to the same."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    sp = pieces.processor(path)
+    words = ["▁unbelievable", "internationalization", "a" * 150, "aaab" * 40, "th" * 90, "▁日本x", "", *(w for w in ("▁" + prose(300, 4).replace(" ", " ▁")).split())]
+    table = spark.createDataFrame([(w,) for w in dict.fromkeys(words)], "word string").coalesce(1)
+    want = {w: sp.encode_as_ids("\n" + w)[len(sp.encode("\n")) :] for w in words}
+    lat = pieces.lattice(table, pieces.ordinary_pieces(path), path)
+    assert all(r["cells"] is not None and not r["edges"] and len(r["cells"]) == len(r["word"]) for r in lat.collect())
+    coded = pieces.encode_words(table, path, 1).collect()
+    assert {r["word"]: np.frombuffer(r["ids"], "<i4").tolist() for r in coded} == want
+    once = pieces.lattice(table, pieces.ordinary_pieces(path), path, 1)
+    assert any(r["cells"] is None and r["edges"] for r in once.collect())
+    paths = [pieces.best_paths(pieces.viterbi(x, 16).toArrow()["cells"].combine_chunks()) for x in (lat, once)]
+    assert all((x == y).all() for x, y in zip(*paths))
+
+
 def test_dictionary_is_made_in_bounded_memory(monkeypatch):
     """Words are hashed in parts, on the driver: the same hashes by parts of any size, with little held meanwhile."""
     words = pa.array(["", "a", "é" * 40, "x" * 999, *(f"▁word{i:013}" for i in range(100_000))])
