@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import short_date, strip_zeros
-from ..plans.lineage import cut
+from ..plans.lineage import cut, stored
 
 
 def baskets(pairs: DataFrame, key: str, item: str, more_than: int = 0) -> DataFrame:
@@ -184,14 +184,37 @@ def son_candidates(pairs: DataFrame, support: int, partitions: int, max_size: in
     return out.distinct()
 
 
+def equal_baskets(pairs: DataFrame, key: str, item: str) -> DataFrame:
+    """(items, n): every different basket's sorted items, and how many keys have just these; pairs may repeat. Written once."""
+    sets = pairs.groupBy(F.col(key).alias("key")).agg(F.sort_array(F.collect_set(item)).alias("items"))
+    return stored(sets.groupBy("items").agg(F.count("*").alias("n")))
+
+
 def fp_growth(baskets_: DataFrame, support: int) -> DataFrame:
-    """The same sets by FP-growth; half a basket less keeps the fraction from rounding up."""
-    from pyspark.ml.fpm import FPGrowth
+    """The same sets by FP-growth over baskets(items[, n]), n of each (one without that column).
 
-    n = baskets_.count()
-    if not n:
-        return baskets_.select(F.col("items").alias("itemset"), F.lit(0).cast("long").alias("n"))
-    return FPGrowth(itemsCol="items", minSupport=max(0.0, (support - 0.5) / n)).fit(baskets_).freqItemsets.select(F.sort_array("items").alias("itemset"), F.col("freq").alias("n"))
+    Baskets keep their frequent items, the most frequent first, and equal ones are one
+    row. The base of a set is the part of each such row before the set's last
+    item, again with equal ones as one row; items frequent in it extend the set. Bases of
+    all sets of a size are grouped together, so no task holds a whole base or tree.
+    """
+    rows = baskets_.select("items", (F.col("n") if "n" in baskets_.columns else F.lit(1)).cast("long").alias("n"))
+    rows = cut(rows.groupBy("items").agg(F.sum("n").alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    single = rows.select("id", "n", F.explode("items").alias("item"))
+    ones = cut(single.groupBy("item").agg(F.sum("n").alias("c")).where(F.col("c") >= support))
+    ordered = single.join(ones, "item").groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), "item"))).alias("before"))
+    kind = rows.schema["items"].dataType.simpleString()
+    base = cut(ordered.groupBy("before").agg(F.sum("n").alias("n")).select(F.array().cast(kind).alias("itemset"), "before", "n"))
+    out = None
+    while True:
+        grown = base.select("itemset", "n", "before", F.posexplode("before").alias("at", "x"))
+        grown = grown.select(F.array_append("itemset", F.col("x.item")).alias("itemset"), F.slice("before", F.lit(1), F.col("at")).alias("before"), "n")
+        found = cut(grown.groupBy("itemset").agg(F.sum("n").alias("n")).where(F.col("n") >= support))
+        out = found if out is None else out.union(found)
+        if not found.limit(1).count():
+            return out.select(F.sort_array("itemset").alias("itemset"), "n")
+        base = grown.where(F.size("before") > 0).join(found.select("itemset"), "itemset", "left_semi")
+        base = cut(base.groupBy("itemset", "before").agg(F.sum("n").alias("n")))
 
 
 def longest(itemsets: DataFrame) -> DataFrame:

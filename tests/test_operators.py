@@ -67,6 +67,20 @@ def test_frequent_itemsets_match_brute_force_and_all_paths_agree(spark):
         assert parts > 1 or cand == set(want)
 
 
+def test_fp_growth_over_equal_baskets(spark):
+    """Repeated pairs and baskets, null items, several keys' items as one row; as brute force, each set once."""
+    rng = random.Random(4)
+    baskets = {k: set(rng.choices("abcdefghij", [9, 8, 7, 6, 5, 4, 3, 2, 1, 1], k=6)) for k in range(60)} | {60: set()}
+    pairs = spark.createDataFrame([(k, i) for k, b in baskets.items() for i in [*b, *b, None]], "key long, item string")
+    sets = itemsets.equal_baskets(pairs, "key", "item")
+    assert {tuple(r["items"]): r["n"] for r in sets.collect()} == Counter(tuple(sorted(b)) for b in baskets.values())
+    for support in (2, 12):
+        want = Counter(c for b in baskets.values() for n in range(1, 8) for c in itertools.combinations(sorted(b), n))
+        got = [(tuple(r["itemset"]), r["n"]) for r in itemsets.fp_growth(sets, support).collect()]
+        assert sorted(got) == sorted((k, v) for k, v in want.items() if v >= support)
+    assert itemsets.fp_growth(sets.limit(0), 2).count() == 0
+
+
 def test_son_candidates_of_every_size(spark):
     pairs = spark.createDataFrame([(k, i) for k in range(12) for i in "abcde"], "key long, item string")
     want = {c for n in range(1, 6) for c in itertools.combinations("abcde", n)}
