@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import affine, coefficients, flag, map_sum, noise_level, number
-from ..plans.lineage import ranked, stored
-from . import trees
+from ..plans.lineage import numbered, ranked, stored
+from . import links, trees
 
 
 def _least(share: float):
@@ -125,12 +125,16 @@ def item_pearson(ratings: DataFrame) -> DataFrame:
 def _pearson(pairs: DataFrame) -> DataFrame:
     """pairs(item_1, item_2, x, y), a row for each common user, to (item_1, item_2, n_common, r)."""
     s = pairs.groupBy("item_1", "item_2").agg(F.count("*").alias("n"), *[F.sum(F.expr(e)).alias(k) for k, e in (("sx", "x"), ("sy", "y"), ("xx", "x * x"), ("yy", "y * y"), ("xy", "x * y"))])
+    return _correlated(s)
+
+
+def _correlated(s: DataFrame) -> DataFrame:
     vx, vy = F.col("xx") - F.col("sx") * F.col("sx") / F.col("n"), F.col("yy") - F.col("sy") * F.col("sy") / F.col("n")
     r = F.when((vx > 1e-9) & (vy > 1e-9), (F.col("xy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(vx * vy)).otherwise(0.0)
     return s.select("item_1", "item_2", F.col("n").alias("n_common"), r.alias("r"))
 
 
-#: Pair rows that one pass of item_links may shuffle, however few the ratings are.
+#: Entries of lists that one pass of item_links may shuffle, however few the ratings are.
 PAIR_ROWS = 1 << 23
 
 #: Ratings of a block that a user's history is cut into, and parts in which a longer history finds its size.
@@ -154,28 +158,34 @@ def item_links(ratings: DataFrame, min_common: int, min_r: float, block_rows: in
     """item_pearson() where n_common >= min_common and r > min_r, as a stored table.
 
     A user with d ratings has d * (d - 1) / 2 pairs, so all pairs are many times
-    the ratings. They are made and summed in passes by the hash of item_1, each
-    of some two rows a rating (one item_1 has at most one a rating), and only
-    what links stays of a pass. A history of one block gives its pairs where it is;
-    of a longer one, each block meets what the pass takes of the user's blocks.
+    the ratings. They are summed in tasks from lists of items, see links.py, in
+    passes of some four entries of lists a rating. A history of one block is a
+    list; of a longer one, any two blocks are.
     """
     # by position, as in item_pearson
-    ratings = ratings.toDF("user", "item", "rating").where(F.col("user").isNotNull())
+    ratings = ratings.toDF("user", "item", "rating").where("user IS NOT NULL AND item IS NOT NULL").withColumn("rating", F.col("rating").cast("double"))
+    kind, names = ratings.schema["item"].dataType, None
+    if kind.typeName() not in ("byte", "short", "integer", "long"):
+        names = stored(numbered(ratings.select("item").distinct(), ["item"], "k"))
+        ratings = ratings.join(names, "item").select("user", F.col("k").alias("item"), "rating")
+    ratings = ratings.withColumn("item", F.col("item").cast("long"))
     own = stored(history_blocks(ratings, block_rows))
     size = F.sum(F.size("own").cast("double"))
     n, pairs = own.groupBy("user").agg(size.alias("d")).agg(F.coalesce(F.sum("d"), F.lit(0.0)), F.coalesce(F.sum(F.expr("d * (d - 1) / 2")), F.lit(0.0))).first()
-    passes = max(1, math.ceil(pairs / max(2 * n, PAIR_ROWS)))
     short, long = own.where("blocks = 1"), own.where("blocks > 1")
-
-    def links(k: int) -> DataFrame:
-        first = F.filter("own", lambda x: F.pmod(F.xxhash64(x["item"]), F.lit(passes)) == k)
-        taken = long.select("user", first.alias("some"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block")).where(F.size("some") > 0)
-        met = short.select(first.alias("some"), "own").unionByName(taken.join(long.select("user", "block", "own"), ["user", "block"]).select("some", "own"))
-        p = met.select("own", F.explode("some").alias("a")).select("a", F.explode("own").alias("b"))
-        p = p.select(F.col("a.item").alias("item_1"), F.col("b.item").alias("item_2"), F.col("a.rating").alias("x"), F.col("b.rating").alias("y"))
-        return _pearson(p.where("item_1 < item_2")).where((F.col("n_common") >= min_common) & (F.col("r") > min_r))
-
-    return stored(*map(links, range(passes)))
+    side = lambda c, k: F.transform(c, lambda _: F.lit(k).cast("byte"))
+    no_side = F.lit(None).cast("array<byte>")
+    alone = short.unionByName(long).select(F.xxhash64("user", "block").alias("h"), F.col("own.item").alias("item"), F.col("own.rating").alias("rating"), no_side.alias("side"))
+    later = long.select("user", F.col("block").alias("block_2"), F.col("own").alias("own_2"))
+    met = long.join(later, "user").where("block < block_2")
+    met = met.select(F.xxhash64("user", "block", "block_2").alias("h"), F.concat("own.item", "own_2.item").alias("item"), F.concat("own.rating", "own_2.rating").alias("rating"), F.concat(side("own.item", 1), side("own_2.item", 2)).alias("side"))
+    sums = links.pair_sums(alone.unionByName(met), pairs, max(4 * int(n), PAIR_ROWS), min_common, min_r)
+    out = _correlated(sums).where((F.col("n_common") >= min_common) & (F.col("r") > min_r))
+    if names is not None:
+        for c in ("item_1", "item_2"):
+            out = out.join(names.select(F.col("k").alias(c), F.col("item").alias("_name")), c).withColumn(c, F.col("_name")).drop("_name")
+        return stored(out.select("item_1", "item_2", "n_common", "r"))
+    return stored(out.select(F.col("item_1").cast(kind).alias("item_1"), F.col("item_2").cast(kind).alias("item_2"), "n_common", "r"))
 
 
 def item_cf(ratings: DataFrame, targets: DataFrame, min_common: int = 10, min_r: float = 0.5, neighbours: int = 10, descending: bool = False, item_weight: float = 0.6) -> DataFrame:
@@ -251,8 +261,6 @@ def rmse(df: DataFrame, label: str, prediction: str = "prediction") -> DataFrame
 
 def user_index(pairs: DataFrame, user: str = "user") -> DataFrame:
     """(user, n): users numbered from 0 in their order, without one sort task."""
-    from ..plans.lineage import numbered
-
     return numbered(pairs.select(user).where(F.col(user).isNotNull()).distinct(), [user], "_n").select(user, (F.col("_n") - 1).alias("n"))
 
 
