@@ -1,9 +1,9 @@
 """Boosted regression trees grown level by level from histograms that Spark sums.
 
 Rows alike in all binned features count as one cell with a weight, so that what a
-round reads is the different cells, however often one occurs. Cells are held in
-blocks, a binary a column, feature by feature, so that a level costs few calls a
-block. Gradients are sums of whole units, so a model is the same however rows are
+round reads is the different cells, however often one occurs. Features of few bins
+share a code, whose sums give theirs. Cells are held in blocks, a binary a column,
+code by code, so that a level costs few calls a block. Gradients are sums of whole units, so a model is the same however rows are
 dealt, and a node's sums less one child's are the other child's.
 """
 
@@ -25,6 +25,9 @@ register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the
 #: Bins of a feature, at most 256; the first is for null and NaN.
 BINS = 64
 
+#: Values of a code that features share, cells of a block, and those placed at once.
+CODES, BLOCK_CELLS, PLACED = 2048, 1 << 17, 1 << 14
+
 #: A label, and a gradient, is counted in units of 1 / UNIT.
 UNIT = 1 << 16
 
@@ -34,6 +37,9 @@ KEEP = 20
 #: Tasks that sum a level's histograms: they are small, and a default of 200 costs more than the rest of the level.
 SUMMING = 4
 
+#: Tasks whose histograms, of fixed size, the driver adds up itself.
+DIRECT = 16
+
 #: Sums of doubles that stay below this are exact.
 EXACT = 2.0**53
 
@@ -47,6 +53,19 @@ def _rounded(v: np.ndarray) -> np.ndarray:
     return np.where(some & np.isfinite(got), got, v)
 
 
+def _groups(sizes: list) -> list:
+    """Features in groups whose bins have at most CODES combinations, the largest first."""
+    groups, held = [], []
+    for j in sorted(range(len(sizes)), key=lambda j: (-sizes[j], j)):
+        k = next((k for k, n in enumerate(held) if n * sizes[j] <= CODES), len(held))
+        if k == len(held):
+            groups.append([])
+            held.append(1)
+        groups[k].append(j)
+        held[k] *= sizes[j]
+    return groups
+
+
 @dataclass
 class Trees:
     """A fitted model: complete trees in heap order (children of k: 2k + 1 and 2k + 2), feature -1 where a node is a leaf."""
@@ -60,6 +79,38 @@ class Trees:
     null_left: list = field(default_factory=list)
     value: list = field(default_factory=list)
 
+    def __post_init__(self):
+        sizes = [len(e) + 2 for e in self.edges]
+        self.groups = _groups(sizes)
+        self.sizes = [[sizes[j] for j in g] for g in self.groups]
+        self._next = {}
+
+    def coded(self, bins: np.ndarray) -> np.ndarray:
+        """A matrix of bins to one of codes, the last feature of a group counting in ones."""
+        out = np.empty((len(bins), len(self.groups)), np.uint16, order="F")
+        for k, (group, sizes) in enumerate(zip(self.groups, self.sizes)):
+            code = np.zeros(len(bins), np.int64)
+            for j, size in zip(group, sizes):
+                code = code * size + bins[:, j]
+            out[:, k] = code
+        return out
+
+    def following(self, t: int) -> np.ndarray:
+        """The next node of tree t by node and code of the group that the node's feature is in, and each node's group."""
+        if t not in self._next:
+            feature = self.feature[t]
+            inner = len(feature) // 2
+            table = np.repeat(np.arange(len(feature))[:, None], CODES, 1).astype(np.min_scalar_type(len(feature)))
+            group = np.zeros(len(feature), np.int64)
+            for k in np.flatnonzero(feature[:inner] >= 0):
+                group[k] = next(i for i, g in enumerate(self.groups) if feature[k] in g)
+                g, sizes = self.groups[group[k]], self.sizes[group[k]]
+                at = g.index(feature[k])
+                bin_ = np.arange(int(np.prod(sizes))) // int(np.prod(sizes[at + 1 :])) % sizes[at]
+                table[k, : len(bin_)] = 2 * k + 1 + np.where(bin_ == 0, not self.null_left[t][k], bin_ > self.cut[t][k])
+            self._next[t] = table.ravel(), group
+        return self._next[t]
+
     def binned(self, values) -> np.ndarray:
         """Columns of doubles, NaN for null, to a matrix of bins."""
         out = np.empty((len(values[0]), len(self.edges)), np.uint8, order="F")
@@ -67,22 +118,25 @@ class Trees:
             out[:, j] = np.where(np.isnan(v), 0, np.searchsorted(e, _rounded(v), side="right") + 1)
         return out
 
-    def place(self, bins: np.ndarray, t: int, levels: int) -> np.ndarray:
-        """The node of tree t at which each row stands after so many levels; a table gives the next node by node and bin."""
-        feature, size = self.feature[t], len(self.feature[t])
-        heap, bin_ = np.arange(size)[:, None], np.arange(256)
-        right = np.where(bin_ == 0, ~self.null_left[t][:, None], bin_ > self.cut[t][:, None])
-        following = np.where(feature[:, None] < 0, heap, 2 * heap + 1 + right).ravel()
-        flat, start, rows = bins.ravel(order="F"), np.maximum(feature, 0) * len(bins), np.arange(len(bins))
-        at = np.zeros(len(bins), np.int64)
-        for _ in range(levels):
-            at = following.take(at * 256 + flat.take(start.take(at) + rows))
-        return at
-
-    def margin(self, bins: np.ndarray, margin: np.ndarray) -> np.ndarray:
+    def place(self, codes: np.ndarray, t: int, levels: int) -> np.ndarray:
+        """The node of tree t at which each row stands after so many levels; a table gives the next node by node and code."""
+        out = np.zeros(len(codes), np.int64)
+        if levels:
+            following, group = self.following(t)
+            for low in range(0, len(codes), PLACED):
+                some = codes[low : low + PLACED]
+                at = np.zeros(len(some), np.int64)
+                flat, rows = some.ravel(order="F"), np.arange(len(some))
+                start = group * len(some)
+                for _ in range(levels):
+                    at = following.take(at * CODES + flat.take(start.take(at) + rows)).astype(np.int64)
+                out[low : low + PLACED] = at
+        return out
+
+    def margin(self, codes: np.ndarray, margin: np.ndarray) -> np.ndarray:
         """Margins with the trees' values added, in their order."""
         for t in range(len(self.value)):
-            margin = margin + self.value[t][self.place(bins, t, self.depth)]
+            margin = margin + self.value[t][self.place(codes, t, self.depth)]
         return margin
 
     def part(self, first: int, last: int | None = None) -> Trees:
@@ -107,21 +161,51 @@ def _bytes(column: pa.Array, kind=np.uint8) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind)
 
 
-def _cells(batch: pa.RecordBatch, width: int):
-    """(cells, n, y, margin) of each block; a batch of single cells is one block."""
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the fewest bytes that hold them all."""
+    low, high = x.min(), x.max()
+    return x.astype(next((k for k in (np.int8, np.int16, np.int32) if np.iinfo(k).min <= low and high <= np.iinfo(k).max), np.int64))
+
+
+def _whole(x, rows: int) -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), f"i{len(x.as_buffer()) // rows}")
+
+
+def _cells(batch: pa.RecordBatch, model: Trees):
+    """(codes, n, y, margin) of each block; a batch of single cells, which are bins, is one block."""
     if pa.types.is_binary(batch.schema.field("n").type):
-        for cell, *others in zip(*(batch.column(c) for c in ("cell", "n", "y", "margin"))):
-            n, y, margin = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(others, (np.int64, np.int64, np.float64)))
-            yield np.frombuffer(cell.as_buffer(), np.uint8).reshape(width, -1).T, n, y, margin
+        for cell, n, y, margin in zip(*(batch.column(c) for c in ("cell", "n", "y", "margin"))):
+            margin = np.frombuffer(margin.as_buffer(), np.float64)
+            yield _codes(cell, model), _whole(n, len(margin)), _whole(y, len(margin)), margin
     elif batch.num_rows:
-        yield np.asfortranarray(_bytes(batch.column("cell")).reshape(-1, width)), *(batch.column(c).to_numpy() for c in ("n", "y", "margin"))
+        yield model.coded(_bytes(batch.column("cell")).reshape(-1, len(model.columns))), *(batch.column(c).to_numpy() for c in ("n", "y", "margin"))
+
+
+def _codes(cell, model: Trees) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), np.uint16).reshape(len(model.groups), -1).T
 
 
-BLOCK = "cell binary, n binary, y binary, margin binary"
+def _gradients(batch: pa.RecordBatch, model: Trees):
+    """(codes, n, g) of each block, g the gradients by their margins; single cells' lack all trees but the last."""
+    if "g" in batch.schema.names:
+        for cell, n, g in zip(*(batch.column(c) for c in ("cell", "n", "g"))):
+            codes = _codes(cell, model)
+            yield codes, _whole(n, len(codes)).astype(np.int64), _whole(g, len(codes)).astype(np.int64)
+    else:
+        for codes, n, y, margin in _cells(batch, model):
+            yield codes, n, _gradient(n, y, model.part(0, -1).margin(codes, margin))
 
 
-def _block(cells, n, y, margin) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x.tobytes(order="F")], pa.binary()) for x in (cells, n, y, margin)], names=["cell", "n", "y", "margin"])
+def _gradient(n, y, margin) -> np.ndarray:
+    return n * np.rint(margin * UNIT).astype(np.int64) - y
+
+
+BLOCK = "cell binary, n binary, y binary, margin binary, g binary"
+
+
+def _block(codes, n, y, margin) -> pa.RecordBatch:
+    columns = codes, _narrow(n), _narrow(y), margin, _narrow(_gradient(n, y, margin))
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes(order="F")], pa.binary()) for x in columns], names=["cell", "n", "y", "margin", "g"])
 
 
 def _values(width: int):
@@ -177,28 +261,36 @@ def _binned(model: Trees):
 def _histogram(model: Trees, level: int, bins: int, wanted: np.ndarray):
     """In a task: (key, g, n), the gradients and rows of each wanted node of the level, feature and bin of the last tree, the only one not yet in the margins."""
     width, last = len(model.columns), len(model.value) - 1
-    before, slots = model.part(0, last), int(wanted.sum())
+    slots = int(wanted.sum())
     slot = np.where(wanted, np.cumsum(wanted) - 1, slots)  # the others' rows go to a last slot
 
     def run(batches):
-        sums = np.zeros((2, width, (slots + 1) * bins), np.int64)
+        codes = [int(np.prod(x)) for x in model.sizes]
+        sums = [np.zeros((2, slots * size), np.int64) for size in codes]
         for b in batches:
-            for cells, n, y, margin in _cells(b, width):
-                g = n * np.rint(before.margin(cells, margin) * UNIT).astype(np.int64) - y
-                node = model.place(cells, last, level) - (2**level - 1)
-                start = np.where(node < 0, slots, slot.take(node, mode="clip"))  # leaves of earlier levels are done
-                some = np.flatnonzero(start < slots)
-                start, g, n, cells = start[some] * bins, g[some], n[some], cells if len(some) == len(cells) else cells.T.take(some, axis=1).T
+            for cells, n, g in _gradients(b, model):
+                if level:
+                    node = model.place(cells, last, level) - (2**level - 1)
+                    start = np.where(node < 0, slots, slot.take(node, mode="clip"))  # leaves of earlier levels are done
+                    some = np.flatnonzero(start < slots)
+                    start, g, n = start[some], g[some], n[some]
+                else:
+                    start, some = 0, None
                 exact = max(np.abs(g, dtype=np.float64).sum(), n.sum(dtype=np.float64)) < EXACT
-                for j in range(width):
-                    key = start + cells[:, j]
-                    for total, x in zip(sums, (g, n)):
+                weights = [x.astype(np.float64) for x in (g, n)] if exact else (g, n)
+                for k, size in enumerate(codes):
+                    key = start * size + (cells[:, k] if some is None else cells[:, k].take(some)).astype(np.int64)
+                    for total, x in zip(sums[k], weights):
                         if exact:
-                            total[j] += np.bincount(key, x, total.shape[1]).astype(np.int64)
+                            total += np.bincount(key, x, len(total)).astype(np.int64)
                         else:
-                            np.add.at(total[j], key, x)
+                            np.add.at(total, key, x)
         nodes = np.flatnonzero(wanted)
-        by_node = sums.reshape(2, width, slots + 1, bins)[:, :, :slots].transpose(0, 2, 1, 3)
+        by_node = np.zeros((2, slots, width, bins), np.int64)
+        for group, sizes, x in zip(model.groups, model.sizes, sums):
+            x = x.reshape(2, slots, *sizes)
+            for k, j in enumerate(group):
+                by_node[:, :, j, : sizes[k]] = x.sum(axis=tuple(2 + i for i in range(len(group)) if i != k))
         at, feature, bin_ = np.nonzero(by_node[1])
         g, n = by_node[:, at, feature, bin_]
         yield pa.RecordBatch.from_arrays([pa.array((nodes[at] * width + feature) * bins + bin_), pa.array(g), pa.array(n)], names=["key", "g", "n"])
@@ -208,12 +300,26 @@ def _histogram(model: Trees, level: int, bins: int, wanted: np.ndarray):
 
 def _advanced(model: Trees):
     """In a task: the blocks with the trees' values in their margins; single cells are made blocks."""
-    width = len(model.columns)
 
     def run(batches):
+        held, size = [], 0
         for b in batches:
-            for cells, n, y, margin in _cells(b, width):
-                yield _block(cells, n, y, model.margin(cells, margin))
+            for cells, n, y, margin in _cells(b, model):
+                if pa.types.is_binary(b.schema.field("n").type):
+                    yield _block(cells, n, y, model.margin(cells, margin))
+                    continue
+                held.append((cells, n, y, margin))
+                size += len(n)
+            if size >= BLOCK_CELLS:
+                yield made(held)
+                held, size = [], 0
+        if held:
+            yield made(held)
+
+    def made(held):
+        codes, n, y, margin = (np.concatenate(x) for x in zip(*held))
+        codes = np.asfortranarray(codes)
+        return _block(codes, n, y, model.margin(codes, margin))
 
     return run
 
@@ -297,14 +403,16 @@ def _level(blocks: DataFrame, model: Trees, level: int, bins: int, g, n):
 
 def _summed(cells: DataFrame, model: Trees, level: int, bins: int, wanted: np.ndarray | None = None):
     """Gradients and rows of a level's nodes, or the wanted ones of them, over all cells, both (node, feature, bin)."""
-    wanted = np.ones(2**level, bool) if wanted is None else wanted
+    wanted, parts = np.ones(2**level, bool) if wanted is None else wanted, cells.rdd.getNumPartitions()
+    if "g" in cells.columns:
+        cells = cells.select("cell", "n", "g")
     found = cells.mapInArrow(_histogram(model, level, bins, wanted), "key long, g long, n long")
-    if cells.rdd.getNumPartitions() > 1:
+    if parts > DIRECT:
         found = found.repartition(SUMMING, "key").groupBy("key").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
     found, shape = found.toArrow(), (2**level, len(model.columns), bins)
     sums = np.zeros((2, shape[0] * shape[1] * bins), np.int64)
     for row, name in zip(sums, ("g", "n")):
-        row[found.column("key").to_numpy()] = found.column(name).to_numpy()
+        np.add.at(row, found.column("key").to_numpy(), found.column(name).to_numpy())
     return sums[0].reshape(shape), sums[1].reshape(shape)
 
 
@@ -339,6 +447,6 @@ def predict(model: Trees, rows: DataFrame, name: str = "prediction") -> DataFram
         import pandas as pd
 
         bins = model.binned([x[c].to_numpy(np.float64) for c in x.columns])
-        return pd.Series(model.margin(bins, np.full(len(bins), model.base)))
+        return pd.Series(model.margin(model.coded(bins), np.full(len(bins), model.base)))
 
     return rows.withColumn(name, of(F.struct(*[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(model.columns)])))
